@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         start = size = 0
-        for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+        for i, n in enumerate(pc.binary_length(column).to_pylist()):
             if size and size + (n or 0) > SLICE_BYTES:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
