@@ -1,4 +1,4 @@
-"""The subpackage's queries, their SQL and the corpus pipeline, for the driver's entry module."""
+"""The subpackage's queries and their SQL, for the driver's entry module."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sentence_pieces
+from . import archives, packing, sentence_pieces, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_exact_topk": topk.op5_exact_topk,
+    "op6_warc": archives.op6_warc,
     "op9_sentencepiece": sentence_pieces.op9_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_exact_topk": topk.SQL,
+    "op6_warc": archives.SQL,
+}

@@ -92,7 +92,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     asked = saved(blocks(whole.where(F.col(key) % every == 0).dropDuplicates([key]).coalesce(8), QUERIES), "queries")
     n = max(1, candidates.select("dims").count())
     met = candidates.select(F.pmod(F.xxhash64("ids"), F.lit(n)).alias("g"), "ids", "dims", "data").join(
-        asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("g"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data")), "g")
+        asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("g"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data")), "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
