@@ -12,6 +12,7 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
    comes from when suffixes are ordered by their first h bytes, a stable distribution of the ranks by the two bytes before
    them gives the same for h + 2. Where neighbours part for the first time, their common prefix ends. Intervals that have
    not parted after `length` bytes are the repeated strings; each has a least document id. No suffix is sorted again.
+   Before that, contexts are cut to the strings whose hashes more than one context has.
 4. Each context gets back the least ids of its strings, and the chunks mark what is to go.
 
 An exact string comparison decides (contexts travel as bytes); hashes only choose candidates, and a collision adds
@@ -26,16 +27,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, slices, table
+from .common import bucketed, saved, slices, table
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text for which there is one bucket; bytes of contexts in a shard.
-BUCKET, SHARD = 16 << 20, 1 << 20
+BUCKET, SHARD = 8 << 20, 1 << 19
+PRIME = 0x100000001B3
 END = 0xFF  # ends a context; no UTF-8 text holds this byte
 NO_ID = np.iinfo(np.int64).max
 
@@ -47,7 +50,7 @@ def chunked(docs: DataFrame, text: str) -> DataFrame:
         part = TaskContext.get().partitionId()
         for i, batch in enumerate(slices(batches, text)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_batch(batch)
             n = batch.column(batch.schema.get_field_index(text)).nbytes
             yield pa.record_batch([pa.array([part << 33 | i], pa.int64()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "n_bytes", "rows"])
@@ -78,9 +81,7 @@ class Chunk:
         full = self.sizes >= self.length
         if not full.any():
             return
-        h = data.astype(np.uint64)
-        for k in (1, 2, 4, 8):
-            h = h[:-k] * np.uint64(pow(0x100000001B3, k, 1 << 64)) + h[k:]
+        h = _rolling(data, GRAM)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -112,21 +113,51 @@ class Chunk:
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         return h[starts] | (np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)).astype(np.uint64)
 
-    def contexts(self, shared: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Of the runs with shared anchors: their numbers and contexts' numbers; the distinct contexts, their least ids and buckets."""
-        runs = np.flatnonzero(np.isin(self.hash, shared))
+    def contexts(self, shared: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of the runs with shared anchors: their numbers and contexts' numbers; the distinct contexts, their least and greatest ids and buckets."""
+        wide = np.uint64(40)
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(x["bucket"]) << wide | unpacked(x["shared"]) for x in shared)])
+        runs = np.flatnonzero(np.isin(bucket_of(self.hash, buckets).astype(np.uint64) << wide | self.hash & LOW, keys))
         seen: dict[bytes, int] = {}
         which = np.array([seen.setdefault(self.data[a:b], len(seen)) for a, b in zip(self.first[runs].tolist(), (self.last[runs] + self.length).tolist(), strict=True)], np.int64)
-        least, bucket = np.full(len(seen), NO_ID), np.zeros(len(seen), np.int64)
+        least, most, bucket = np.full(len(seen), NO_ID), np.full(len(seen), -1 - NO_ID), np.zeros(len(seen), np.int64)
         np.minimum.at(least, which, self.ids[self.row[runs]])
+        np.maximum.at(most, which, self.ids[self.row[runs]])
         bucket[which] = bucket_of(self.hash[runs], buckets)
-        return runs, which, list(seen), least, bucket
+        return runs, which, list(seen), least, most, bucket
+
+
+def _rolling(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n bytes; by doubling, and a byte more where n's binary form has a one."""
+    h = one = data.astype(np.uint64)
+    width = 1
+    for bit in bin(n)[3:]:
+        h = h[:-width] * np.uint64(pow(PRIME, width, 1 << 64)) + h[width:]
+        width *= 2
+        if bit == "1":
+            h = h[:-1] * np.uint64(PRIME) + one[width:]
+            width += 1
+    return h
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
+LOW = np.uint64((1 << 40) - 1)
+
+
+def packed(h: np.ndarray) -> bytes:
+    """The low 40 bits of each hash; with the bucket they tell anchors apart well enough for candidates."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of a partition that is sorted by its first column, a group at a time."""
     rows = ((b.column(0)[i].as_py(), b, i) for b in batches for i in range(b.num_rows))
@@ -211,6 +242,63 @@ def least_ids(shards: list[list[bytes]], least: np.ndarray, length: int) -> tupl
     return np.bincount(owner[new], minlength=len(sizes)), lengths, ids[new]
 
 
+def repeated(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last string of each context whose hash another context has too; first > last where none has."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    h = _rolling(data, length)
+    strings = sizes - length + 1
+    owner = np.repeat(np.arange(len(sizes)), strings)
+    offset = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+    h = h[np.repeat(np.cumsum(sizes) - sizes, strings) + offset]
+    order = np.argsort(h)
+    starts = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+    size = np.diff(np.concatenate([starts, [len(h)]]))
+    some = np.zeros(len(h), bool)
+    some[order] = np.repeat(np.minimum.reduceat(owner[order], starts) != np.maximum.reduceat(owner[order], starts), size)
+    first, last = strings.copy(), np.full(len(sizes), -1)
+    np.minimum.at(first, owner[some], offset[some])
+    np.maximum.at(last, owner[some], offset[some])
+    return first, last
+
+
+def answer(contexts: list[bytes], least: np.ndarray, several: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As least_ids, for a bucket's contexts. several: which of them more than one document has.
+
+    Contexts are cut to the strings that may repeat before their transforms are built; what is cut off keeps the
+    context's own least id.
+    """
+    strings = np.array([len(c) for c in contexts], np.int64) - length + 1
+    first, last = repeated(contexts, length)
+    first, last = np.where(several, 0, first), np.where(several, strings - 1, last)
+    number: dict[bytes, int] = {}
+    kept = np.flatnonzero(first <= last)
+    cut = np.array([number.setdefault(contexts[i][a : b + length], len(number)) for i, a, b in zip(kept.tolist(), first[kept].tolist(), last[kept].tolist(), strict=True)], np.int64)
+    shards, size = [[]], 0
+    for c in number:
+        if size > SHARD:
+            shards.append([])
+            size = 0
+        shards[-1].append(c)
+        size += len(c) + 1
+    own = np.full(len(number), NO_ID)
+    np.minimum.at(own, cut, least[kept])
+    counts, lengths, values = least_ids(shards, own, length) if number else (np.zeros(0, np.int64),) * 3
+    # a run before, the runs of the part that was kept, a run behind
+    n = np.full(len(contexts), 2)
+    n[kept] += counts[cut]
+    begins = np.cumsum(n) - n
+    out_lengths, out_values = np.zeros(n.sum(), np.int64), np.repeat(least, n)
+    out_lengths[begins] = np.where(first <= last, first, strings)
+    out_lengths[begins[kept] + n[kept] - 1] = strings[kept] - 1 - last[kept]
+    m = counts[cut]
+    steps = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    to = np.repeat(begins[kept] + 1, m) + steps
+    source = np.repeat((np.cumsum(counts) - counts)[cut], m) + steps
+    out_lengths[to], out_values[to] = lengths[source], values[source]
+    return n, out_lengths, out_values
+
+
 def _binary(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
@@ -223,7 +311,7 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
     """
     if length % 2 or length < GRAM + 2:
         raise ValueError("length must be even and at least 18")
-    chunks = saved(chunked(docs, text), "chunks")
+    chunks = bucketed(chunked(docs, text), "chunks", "chunk")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = total // BUCKET + 8
 
@@ -234,66 +322,55 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
                 of = bucket_of(h, buckets)
                 order = np.argsort(of, kind="stable")
                 used, starts = np.unique(of[order], return_index=True)
-                data = [part.tobytes() for part in np.split(h[order], starts[1:])] if len(used) else []
+                data = [packed(part) for part in np.split(h[order], starts[1:])] if len(used) else []
                 yield pa.record_batch([pa.array(used), pa.array([batch.column(0)[i].as_py()] * len(used), pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "hashes"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups(batches):
-            each = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        for bucket, rows in groups(batches):
+            each = [unpacked(r["hashes"]) for r in rows]
             h = np.sort(np.concatenate(each))
             one = np.uint64(1)
             same = h[1:] >> one == h[:-1] >> one
             shared = np.unique(np.concatenate([h[1:][same], h[h & one == one]]) & ~one)
             found = [np.intersect1d(x & ~one, shared, assume_unique=True) for x in each]
-            yield pa.record_batch([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["chunk", "shared"])
+            yield pa.record_batch([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(map(packed, found), pa.binary())], ["chunk", "bucket", "shared"])
 
     dealt = chunks.select("chunk", "rows").mapInArrow(anchors, "bucket long, chunk long, hashes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(meet, "chunk long, shared binary").where(F.octet_length("shared") > 0)
-    shared = saved(shared.groupBy("chunk").agg(F.collect_list("shared").alias("shared")), "shared")
+    shared = dealt.mapInArrow(meet, "chunk long, bucket long, shared binary").where(F.octet_length("shared") > 0)
+    shared = saved(shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared")), "shared")
     joined = chunks.select("chunk", "rows").join(shared, "chunk")
 
     def opened(batch: pa.RecordBatch, i: int) -> tuple:
         chunk = Chunk(batch.column("rows")[i].as_py(), key, text, length)
-        lists = batch.column("shared")[i].as_py() or []
-        return chunk, *chunk.contexts(np.frombuffer(b"".join(lists), np.uint64), buckets)
+        return chunk, *chunk.contexts(batch.column("shared")[i].as_py() or [], buckets)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                _, _, _, contexts, least, bucket = opened(batch, i)
+                _, _, _, contexts, least, most, bucket = opened(batch, i)
                 out: list[tuple] = []
                 for b in np.unique(bucket).tolist():
                     own = np.flatnonzero(bucket == b)
-                    out.append((b, batch.column("chunk")[i].as_py(), b"\xff".join([contexts[j] for j in own.tolist()]), least[own].tobytes()))
+                    out.append((b, batch.column("chunk")[i].as_py(), zstandard.compress(b"\xff".join([contexts[j] for j in own.tolist()]), 3), zstandard.compress(_binary(least[own], most[own]), 3)))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "contexts", "least"]) if out else pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["bucket", "chunk", "contexts", "least"])
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in groups(batches):
             number: dict[bytes, int] = {}
-            shards: list[list[bytes]] = [[]]
-            size, which, ids = 0, [], []
+            which, ids = [], []
             for r in rows:
-                own = []
-                for c in r["contexts"].split(b"\xff"):
-                    if (k := number.get(c)) is None:
-                        k = number[c] = len(number)
-                        if size > SHARD:
-                            shards.append([])
-                            size = 0
-                        shards[-1].append(c)
-                        size += len(c) + 1
-                    own.append(k)
-                which.append(np.array(own, np.int64))
-                ids.append(np.frombuffer(r["least"], np.int64))
-            least = np.full(len(number), NO_ID)
-            np.minimum.at(least, np.concatenate(which), np.concatenate(ids))
-            counts, lengths, values = least_ids(shards, least, length)
+                which.append(np.array([number.setdefault(c, len(number)) for c in zstandard.decompress(r["contexts"]).split(b"\xff")], np.int64))
+                ids.append(np.frombuffer(zstandard.decompress(r["least"]), np.int64).reshape(2, -1))
+            least, most = np.full(len(number), NO_ID), np.full(len(number), -1 - NO_ID)
+            np.minimum.at(least, np.concatenate(which), np.concatenate([x[0] for x in ids]))
+            np.maximum.at(most, np.concatenate(which), np.concatenate([x[1] for x in ids]))
+            counts, lengths, values = answer(list(number), least, most > least, length)
             begins = np.cumsum(counts) - counts
             for r, own in zip(rows, which, strict=True):
                 n = counts[own]
                 runs = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 data = _binary(n.astype(np.uint8), lengths[runs].astype(np.uint8), values[runs])
-                yield pa.record_batch([pa.array([r["chunk"]], pa.int64()), pa.array([bucket], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "n", "answer"])
+                yield pa.record_batch([pa.array([r["chunk"]], pa.int64()), pa.array([bucket], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([zstandard.compress(data, 3)], pa.binary())], ["chunk", "bucket", "n", "answer"])
 
     met = joined.mapInArrow(around, "bucket long, chunk long, contexts binary, least binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     answers = met.mapInArrow(repeats, "chunk long, bucket long, n int, answer binary")
@@ -302,12 +379,12 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, runs, which, contexts, _, bucket = opened(batch, i)
+                chunk, runs, which, contexts, _, _, bucket = opened(batch, i)
                 counts = np.zeros(len(contexts), np.int64)
                 parts = {}
                 for a in batch.column("answers")[i].as_py() or []:
                     own = np.flatnonzero(bucket == a["bucket"])
-                    data, n = a["answer"], a["n"]
+                    data, n = zstandard.decompress(a["answer"]), a["n"]
                     counts[own] = np.frombuffer(data, np.uint8, n)
                     m = int(counts[own].sum())
                     parts[a["bucket"]] = own, np.frombuffer(data, np.uint8, m, n), np.frombuffer(data[n + m :], np.int64)
