@@ -98,13 +98,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ends = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = saved(ends.distinct(), "edges")
     state = _state(now)
+    if state[0] < 200_000:
+        now = now.coalesce(8)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = saved(moved.unionByName(lowest.withColumnRenamed("m", "b")).where("a <> b").distinct(), "edges")
+        new = moved.unionByName(lowest.withColumnRenamed("m", "b")).where("a <> b").distinct()
+        new = saved(new.coalesce(max(8, state[0] // 200_000)), "edges")  # few links need few files
         after = _state(new)
         now, same = new, after == state
         state = after
