@@ -90,7 +90,7 @@ def lines_of(pad: Column, keyword: Column, value: Column, sigil: str = DEFAULT_S
     head = F.concat(pad, keyword)
     deep = F.concat(pad, F.lit("    "))
     mark = F.concat(pad, F.lit("      "), delimiter_of(value, F.length(pad) + 6))
-    source = F.concat(head, F.lit("\n"), deep, F.array_join(F.split(value, "\n"), F.concat(F.lit("\n"), deep)))
+    source = F.concat(head, F.lit("\n"), deep, F.replace(value, F.lit("\n"), F.concat(F.lit("\n"), deep)))
     literal = F.concat_ws("\n", head, mark, F.when(value != "", value), mark)
     inline = F.when(value == "", head).otherwise(F.concat(head, gap, value))
     return F.when(value.isNull(), head).otherwise(F.when(is_inline_safe(value, sigil), inline).when(is_source_safe(value), source).otherwise(literal))

@@ -101,7 +101,7 @@ class Resolver:
     def resolve(self, wanted: Identifier) -> Schema:
         if wanted.reference in self.built_in or wanted.signature and self.meta_root and from_letters(wanted.signature) == self.meta_signature():
             return META
-        if wanted.signature in self.cache:
+        if wanted.signature in self.cache and not wanted.layers:  # listed layers are checked against the signature
             return self.cache[wanted.signature or ""]
         if wanted.signature:
             return self.by_signature(wanted)
