@@ -5,7 +5,7 @@ segment differs by one bit at most. Variants of a segment leave one bit open; tw
 bit at most share the variant that leaves that bit open. Rows are dealt by a half of a segment (the open bit
 lies in the other half, so a fingerprint needs two rows a segment instead of one per bit); the variants of the
 other half are then formed, sorted and joined by equality within the task, and each meeting is verified by the full
-distance. Only links that connect are handed on: all pairs of a small group, a spanning forest of a large one.
+distance. Only links that connect are handed on: a star for each component of a task's rows.
 
 Fingerprints are distinct before they are dealt, so copies cost nothing here.
 """
@@ -105,7 +105,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def links(part: np.ndarray, value: np.ndarray, ids: np.ndarray, fp: np.ndarray, cuts: list[tuple[int, int, int]], limit: int) -> np.ndarray:
-    """Verified links (id, id) among the rows of a partition: those of small groups, a spanning forest of large ones."""
+    """Links (id, id) that connect what verified links among the rows of a partition connect.
+
+    Small groups are compared pair by pair, of large ones a spanning forest is sought; either way only stars are returned.
+    """
     found = []
     for p in np.unique(part).tolist():
         first, low, high = cuts[p // 2]
@@ -129,9 +132,25 @@ def links(part: np.ndarray, value: np.ndarray, ids: np.ndarray, fp: np.ndarray,
             starts = np.cumsum(size) - size
             for g in np.flatnonzero(size > SMALL):
                 found.append(forest(rows[starts[g] : starts[g] + size[g]], ids, fp, limit))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    pairs.sort(axis=1)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+    return stars(np.concatenate(found)) if found else np.zeros((0, 2), np.int64)
+
+
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """As few links that connect the same ids: from the least id of each component to its others."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while True:
+        new = root.copy()
+        least = np.minimum(root[a], root[b])
+        for side in (root[a], root[b]):  # roots too, so that chains shrink by halves
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return np.stack([ids[root[moved]], ids[moved]], axis=1)
 
 
 def forest(rows: np.ndarray, ids: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
