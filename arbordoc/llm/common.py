@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,32 +89,55 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: So many links (16 bytes each) one task may connect.
+ONE_TASK = 500_000
+
+
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b: long) reaches.
 
     Alternates large-star and small-star steps, each one a map-side combined minimum and a join on unique
-    keys, until the edges are stars. Roots and nodes without edges are not returned. Nothing is collected
-    but a count and a checksum per round.
+    keys, until the edges are stars; where no more than `one_task` of them are left, one task ends the work. Roots and
+    nodes without edges are not returned. Nothing is collected but a count and a checksum per round.
     """
     ends = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = saved(ends.distinct(), "edges")
     state = _state(now)
-    if state[0] < 200_000:
-        now = now.coalesce(8)
-    while state[0]:
+    while state[0] > one_task:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = moved.unionByName(lowest.withColumnRenamed("m", "b")).where("a <> b").distinct()
-        new = saved(new.coalesce(max(8, state[0] // 200_000)), "edges")  # few links need few files
-        after = _state(new)
-        now, same = new, after == state
-        state = after
-        if same:
+        now = saved(moved.unionByName(lowest.withColumnRenamed("m", "b")).where("a <> b").distinct(), "edges")
+        before, state = state, _state(now)
+        if state == before:
+            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in batches]
+        found = stars(np.concatenate(pairs)) if pairs else np.zeros((0, 2), np.int64)
+        yield pa.record_batch([pa.array(found[:, 1]), pa.array(found[:, 0])], ["node", "component"])
+
+    return now.coalesce(1).mapInArrow(connect, "node long, component long")
+
+
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """As few links that connect the same ids: from the least id of each component to its others."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while True:
+        new = root.copy()
+        least = np.minimum(root[a], root[b])
+        for side in (root[a], root[b]):  # roots too, so that chains shrink by halves
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == root).all():
             break
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return np.stack([ids[root[moved]], ids[moved]], axis=1)
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_texts, saved, table, text_of
+from .common import connected_components, map_texts, saved, stars, table, text_of
 
 SHINGLE, LIMIT, SEED = 4, 4, 42
 #: Groups up to this size are compared by shifted rows at once, larger ones point by point.
@@ -135,24 +135,6 @@ def links(part: np.ndarray, value: np.ndarray, ids: np.ndarray, fp: np.ndarray,
     return stars(np.concatenate(found)) if found else np.zeros((0, 2), np.int64)
 
 
-def stars(pairs: np.ndarray) -> np.ndarray:
-    """As few links that connect the same ids: from the least id of each component to its others."""
-    ids, at = np.unique(pairs, return_inverse=True)
-    a, b = at.reshape(-1, 2).T
-    root = np.arange(len(ids))
-    while True:
-        new = root.copy()
-        least = np.minimum(root[a], root[b])
-        for side in (root[a], root[b]):  # roots too, so that chains shrink by halves
-            np.minimum.at(new, side, least)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = np.flatnonzero(root != np.arange(len(ids)))
-    return np.stack([ids[root[moved]], ids[moved]], axis=1)
-
-
 def forest(rows: np.ndarray, ids: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
     """A spanning forest of the rows within the limit: each point reached looks only at those not yet reached."""
     rest, out = rows[np.argsort(ids[rows], kind="stable")], []

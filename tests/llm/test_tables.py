@@ -112,8 +112,9 @@ def test_interval_join_loses_nothing():
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 105), (105, 103), (200, 200)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 61)} | {103: 100, 105: 100}
+    for one_task in (0, 10, 1000):
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long"), one_task).collect()}
+        assert got == {i: 0 for i in range(1, 61)} | {103: 100, 105: 100}
 
 
 @pytest.mark.parametrize("version", [1, 2])
