@@ -198,3 +198,13 @@ def is_compatible(consumer: Column, document: Column) -> Column:
     """Whether a consumer's hash sequence is a subsequence of a document's; both array<binary>."""
     matched = F.aggregate(document, F.lit(0), lambda k, h: k + F.when((k < F.size(consumer)) & (F.get(consumer, k) == h), 1).otherwise(0))
     return matched == F.size(consumer)
+
+
+def unstack_column(stack: Column, library: HashLibrary) -> Column:
+    """array<binary> of each stacked sequence, or null where the library has none that fits. The library is broadcast; it is bounded by the known schemas."""
+    from pyspark.sql.types import ArrayType
+
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unstack(bytes(v), library))
+
+    return F.pandas_udf(decode, ArrayType(BinaryType()))(stack)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import hashes, letters, varints
 from .functions.registry import DECIMAL_VARINT
-from .operators import canonical, checks, edits
+from .operators import canonical, checks, edits, reports
 from .operators.assign import assign
 from .plans.compose import compose
 from .plans.paths import member_column, select_path
@@ -531,6 +531,67 @@ def streamed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.summary(spark.read.schema(found.schema).parquet(f"{base}/out"))
 
 
+FLAGGED = body("part", "field name String", "field small Flag optional")
+
+
+@query("SELECT p_partkey, 'E311' AS walked, 'E311' AS relational FROM part WHERE p_size > 25")
+def flag_content_e311(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags with content, by the walk and by a join of flags with their compounds."""
+    docs = as_documents(load(spark, sf_dir, "part"), "p_partkey", field("name", F.col("p_name")), F.when(F.col("p_size") > 25, "small very").otherwise("small"))
+    walked = D.errors(docs, FLAGGED).select("source_id", F.col("code").alias("walked"))
+    relational = checks.filled_flags(D.elements(docs, FLAGGED), D.compounds(docs)).select("source_id", F.col("code").alias("relational"))
+    return walked.join(relational, "source_id", "full").select(key_of("p_partkey"), "walked", "relational")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'E312' ELSE 'E313' END AS code FROM part WHERE p_partkey % 3 < 2")
+def codec_e312(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that a bound codec rejects, and codecs nobody bound."""
+    s = Schema("part", Struct("", (Member("field", "Size", "size", required="loose"), Member("field", "Other", "other", required="loose"))), scalars=(Scalar("Size", ("string",), (), "decimal-varint"), Scalar("Other", ("string",), (), "unbound")))
+    k = F.col("p_partkey") % 3
+    line = F.when(k == 0, F.concat(F.lit("size x"), F.col("p_size").cast("string"))).when(k == 1, F.concat(F.lit("other "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    return D.errors(as_documents(load(spark, sf_dir, "part"), "p_partkey", line), s, codecs={"decimal-varint": DECIMAL_VARINT}).select(key_of("p_partkey"), "code")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+def unstacked_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stacked sequences of status and priority hashes found again in a library of eight."""
+    names = ["O", "F", "P", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    by_name = {n: hashes.blake3(n.encode()) for n in names}
+    table = F.create_map(*[F.lit(x) for n, h in by_name.items() for x in (n, h)])
+    o = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: table[x["o_orderpriority"]]).alias("hs"))
+    stacked = o.select("o_custkey", "hs", hashes.stack_column(F.col("hs")).alias("s")).repartition("o_custkey")  # no Python UDF beside lambdas in one projection
+    found = stacked.select("o_custkey", "hs", hashes.unstack_column(F.col("s"), hashes.HashLibrary(by_name.values())).alias("back"))
+    return found.where(F.col("hs") == F.col("back")).select("o_custkey", F.size("back").cast("long").alias("n"))
+
+
+@query("""SELECT o_orderkey, 0 AS n, o_orderkey || '#0 [' || (15 + len(CAST(o_orderkey AS VARCHAR))) || ',' || (17 + len(CAST(o_orderkey AS VARCHAR))) || ') E108 trailing spaces' AS line FROM orders WHERE o_orderkey % 2 = 0""")
+def problem_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("order x"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "  ").otherwise(""))
+    docs = as_documents(load(spark, sf_dir, "orders"), "o_orderkey", line)
+    r = reports.report(D.parse_errors(docs))
+    return r.select(key_of("o_orderkey"), "n", "line")
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS r_regionkey, 'nation n' || n_nationkey AS label, count(c_custkey) AS children FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an outline shows of the region documents: nations with their numbers of customers."""
+    c = D.compounds(region_documents(spark, sf_dir))
+    o = reports.outline(c).where("depth = 0 AND label LIKE 'nation%'")
+    n = c.where("keyword = 'customer'").groupBy("source_id", "doc_ord", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
+    return o.join(n, ["source_id", "doc_ord", "node_id"], "left").select(key_of("r_regionkey"), "label", F.coalesce("children", F.lit(0)).cast("long").alias("children"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS source_id, 'tel 1.0' || chr(10) || chr(10) || 'name ' || c_name || '  # checked' || chr(10) || 'tag new' || chr(10) || 'tag vip' || chr(10) AS text, 4 AS applied, 1 AS demoted FROM customer")
+def edit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts, a remark, a delete and one refused edit on each document."""
+    s = body("customer", "field name String", "field tag String optional repeatable")
+    docs = as_documents(load(spark, sf_dir, "customer"), "c_custkey", F.lit(""), field("name", F.col("c_name")), F.lit("tag old"))
+    ops = ['{"op": "attach-remark", "path": [[0, 0]], "value": "checked"}', '{"op": "insert", "path": [], "compound": "tag vip"}', '{"op": "insert-before", "path": [[0, 2]], "compound": "tag new"}', '{"op": "delete", "path": [[0, 1]]}', '{"op": "insert", "path": [], "compound": "nope x"}']
+    e = docs.select("source_id", F.posexplode(F.array(*map(F.lit, ops))).alias("timestamp", "edit")).withColumn("agent", F.lit("a"))
+    out = edits.merge_sources(docs, e, s)
+    return out.withColumn("text", F.regexp_replace("text", r"# Merge conflict[^\n]*\n", ""))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region documents with nested nations and customers, parsed, typed and addressed by a path in each."""
     e = D.elements(region_documents(spark, sf_dir), REGION)
