@@ -6,11 +6,14 @@ NumPy lanes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 from .letters import byte_values, from_byte_values
 
@@ -200,11 +203,17 @@ def is_compatible(consumer: Column, document: Column) -> Column:
     return matched == F.size(consumer)
 
 
-def unstack_column(stack: Column, library: HashLibrary) -> Column:
-    """array<binary> of each stacked sequence, or null where the library has none that fits. The library is broadcast; it is bounded by the known schemas."""
-    from pyspark.sql.types import ArrayType
+def with_unstacked(df: DataFrame, stack: str, out: str, library: HashLibrary) -> DataFrame:
+    """df with an array<binary> column of each stacked sequence, null where the library has none that fits.
+
+    The library goes to every task; it is bounded by the known schemas.
+    """
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(BinaryType()))])
+    kind = pa.list_(pa.binary())
 
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else unstack(bytes(v), library))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if v is None else unstack(v, library) for v in batch.column(batch.schema.get_field_index(stack)).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(found, kind)], [*batch.schema.names, out])
 
-    return F.pandas_udf(decode, ArrayType(BinaryType()))(stack)
+    return df.mapInArrow(run, schema)

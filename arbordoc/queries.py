@@ -5,6 +5,7 @@ Tables are rendered to tree documents by column expressions, then parsed, typed,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cache
@@ -22,6 +23,7 @@ from .plans.resolve import Resolver, resolve_documents
 from .plans.schema import META, Layer, Member, Scalar, Schema, Select, Struct, Variant, catalog, construct
 from .sources import documents as D
 from .sources.parser import PRAGMA, parse
+from .streaming.documents import shared_folder, stream_table, write_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -516,11 +518,7 @@ def semantic_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT code, n FROM (SELECT 'E306' AS code, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'E310', count(*) FROM events WHERE event_type = 'signup')")
 def streamed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same validation over a stream of Parquet files, one micro-batch at a time, into a table."""
-    import uuid
-
-    from .streaming.documents import stream_table, write_stream
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/arbordoc-streams").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = load(spark, sf_dir, "events")
     word = F.when(F.col("event_type") == "signup", F.lit("Not an identifier")).otherwise(F.lit("fine"))
     as_documents(e, "event_id", F.concat(F.col("event_type"), F.when(word.contains(" "), "  ").otherwise(" "), word)).repartition(4).write.parquet(f"{base}/in")
@@ -559,8 +557,8 @@ def unstacked_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_name = {n: hashes.blake3(n.encode()) for n in names}
     table = F.create_map(*[F.lit(x) for n, h in by_name.items() for x in (n, h)])
     o = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: table[x["o_orderpriority"]]).alias("hs"))
-    stacked = o.select("o_custkey", "hs", hashes.stack_column(F.col("hs")).alias("s")).repartition("o_custkey")  # no Python UDF beside lambdas in one projection
-    found = stacked.select("o_custkey", "hs", hashes.unstack_column(F.col("s"), hashes.HashLibrary(by_name.values())).alias("back"))
+    stacked = o.select("o_custkey", "hs", hashes.stack_column(F.col("hs")).alias("s"))
+    found = hashes.with_unstacked(stacked, "s", "back", hashes.HashLibrary(by_name.values()))
     return found.where(F.col("hs") == F.col("back")).select("o_custkey", F.size("back").cast("long").alias("n"))
 
 
