@@ -188,12 +188,19 @@ class Assigner:
         answer = "unknown validator" if check is None else check(View(e))
         if answer is None:
             return
-        if not isinstance(answer, Mapping):
+        self.flatten(e, answer)
+
+    def flatten(self, e: Element, answer: object) -> None:
+        """A message counts against the element, a mapping against the children it names, down to every leaf."""
+        if not isinstance(answer, Mapping) or not answer:
             self.error("E310", e.start, e.start + len(e.keyword))
             return
-        for keyword in answer:
-            at = next((c for c in e.children if c.keyword == keyword), e)
-            self.error("E310", at.start, at.start + len(at.keyword))
+        for keyword, inner in answer.items():
+            at = next((c for c in e.children if c.keyword == keyword), None)
+            if at is None:
+                self.error("E310", e.start, e.start + len(e.keyword))
+            else:
+                self.flatten(at, inner)
 
 
 def assign(doc: Document, schema: Schema, validators: Mapping[str, Validator] | None = BUILT_IN_VALIDATORS, codecs: Codecs | None = None) -> tuple[Element, list[Error]]:

@@ -35,6 +35,12 @@ def outline(compounds: DataFrame) -> DataFrame:
     return c.select("source_id", "doc_ord", "node_id", "depth", label.alias("label"), F.coalesce("last_child", "node_id").alias("last_node"))
 
 
+def first_by_keyword(compounds: DataFrame, keyword: str) -> DataFrame:
+    """(source_id, doc_ord, parent_id, node_id, atoms): the first child of that keyword below each parent; the root is parent 0."""
+    own = compounds.where(F.col("keyword") == keyword).groupBy("source_id", "doc_ord", "parent_id")
+    return own.agg(F.min("node_id").alias("node_id"), F.min_by("atoms", "node_id").alias("atoms"))
+
+
 def completions(schema: Schema, path: list[str], prefix: str = "") -> list[str]:
     """Keywords that may stand below the compound reached by keywords, in keyword order."""
     at = ""

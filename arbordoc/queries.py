@@ -529,6 +529,13 @@ def streamed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.summary(spark.read.schema(found.schema).parquet(f"{base}/out"))
 
 
+@query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1")
+def first_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search: the first child of a keyword below each document's root."""
+    found = reports.first_by_keyword(D.compounds(event_documents(spark, sf_dir)), "click").where("parent_id = 0")
+    return found.select(key_of("user_id"), F.substring(F.get(F.col("atoms"), 0)["text"], 2, 20).cast("long").alias("event_id"))
+
+
 FLAGGED = body("part", "field name String", "field small Flag optional")
 
 

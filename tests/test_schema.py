@@ -200,6 +200,8 @@ def test_codecs_and_struct_validators():
     rules = {"string": lambda v: None, "ordered": lambda v: None if v.scalar("from") <= v.scalar("to") else {"to": "too early"}}
     assert codes(s, "d ab\n", codecs=bound) == [] and codes(s, "d xy\n", codecs=bound) == ["E312"] and codes(s, "d ab\n", codecs=Codecs({})) == ["E313"]
     assert codes(s, "e a b\ne c b\n", validators=rules) == ["E310"] and codes(s, "e c b\n", validators=None) == []
+    for answer, n in (({"from": "a", "to": "b"}, 2), ({"gone": "x"}, 1), ({}, 1), (7, 1), ({"e": {"from": "x", "to": "y"}}, 1)):
+        assert codes(s, "e a b\n", validators=rules | {"ordered": lambda v, answer=answer: answer}) == ["E310"] * n
     root, _ = assign(parse("d abcd\n"), s)
     assert encode_root(root, s, bound).hex() == "010002abcd"
     with pytest.raises(CannotEncode):
