@@ -7,10 +7,10 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
 2. What stands around a shared anchor (the bytes of all strings that it is the anchor of, 84 at most) is a
    context. A chunk's distinct contexts, each with its least document id, are dealt by the anchor's hash: equal
    strings meet in one bucket.
-3. A bucket's contexts form shards. Each shard is sorted on its own and gives its Burrows-Wheeler transform, two
+3. A bucket's contexts form shards. Each shard is sorted on its own and gives its Burrows-Wheeler transform, four
    bytes a step. The transforms are merged by refining the interleave: knowing which shard each rank
-   comes from when suffixes are ordered by their first h bytes, a stable distribution of the ranks by the two bytes before
-   them gives the same for h + 2. Where neighbours part for the first time, their common prefix ends. Intervals that have
+   comes from when suffixes are ordered by their first h bytes, a stable distribution of the ranks by the four bytes
+   before them gives the same for h + 4. Where neighbours part for the first time, their common prefix ends. Intervals that have
    not parted after `length` bytes are the repeated strings; each has a least document id. No suffix is sorted again.
    Before that, contexts are cut to the strings whose hashes more than one context has.
 4. Each context gets back the least ids of its strings, and the chunks mark what is to go.
@@ -166,21 +166,33 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
 
 
 def transform(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of a shard's rotations in order (by 64 bytes), and the two bytes before each."""
+    """Positions of a shard's rotations in order (by 72 bytes), and the four bytes before each as a number."""
     text = np.frombuffer(b"".join(c + b"\xff" for c in contexts), np.uint8)
     sizes = np.array([len(c) + 1 for c in contexts], np.int64)
-    begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
     size = np.repeat(sizes, sizes)
-    offset = np.arange(len(text)) - begins
-    shifted = lambda k: begins + (offset + k) % size
-    value = text.astype(np.uint64)
-    for k in (1, 2, 4):
-        value = value << np.uint64(8 * k) | value[shifted(k)]
-    rank = dense(value)
-    for k in (8, 16):
-        rank = dense(rank << np.uint64(32) | rank[shifted(k)])
-    order = np.argsort(rank << np.uint64(32) | rank[shifted(32)])
-    before = text[shifted(-2)].astype(np.uint16) << np.uint16(8) | text[shifted(-1)]
+    at = np.arange(len(text))
+    end = np.repeat(np.cumsum(sizes), sizes)
+
+    def ahead(k: int) -> np.ndarray:
+        """The position k bytes on in the same rotation."""
+        if k >= sizes.min():
+            return end - size + (at - end + size + k) % size
+        p = at + k
+        return np.where(p >= end, p - size, p)
+
+    one, two, four = (ahead(k) for k in (1, 2, 4))
+    pair = text.astype(np.uint32) << np.uint32(8) | text[one]
+    quad = pair << np.uint32(16) | pair[two]
+    value = quad.astype(np.uint64) << np.uint64(32) | quad[four]
+    bits = np.uint64(21)
+    for k in (8, 24):
+        if len(text) >= 1 << 21:
+            raise ValueError("shard too large")
+        rank = dense(value)
+        value = rank << bits + bits | rank[ahead(k)] << bits | rank[ahead(2 * k)]
+    order = np.argsort(value)
+    before = np.empty(len(text), np.uint32)
+    before[four] = quad
     return order, before[order]
 
 
@@ -196,11 +208,17 @@ def dense(value: np.ndarray) -> np.ndarray:
 def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(merged rank of each shard's ranks, one shard after another; common prefixes with the rank before).
 
-    A prefix is counted in steps of two bytes up to `length`; what is equal in all of them has `length`.
+    A round prepends four bytes, numbered by their order where 16 bits can number them, or else two. A prefix is
+    counted in whole rounds up to `length`; what is equal in all of them has `length`.
     """
-    steps = np.concatenate(transforms)
+    four = np.concatenate(transforms)
+    two = (four & np.uint32(0xFFFF)).astype(np.uint16)
+    known, number = np.unique(four, return_inverse=True)
+    wide = 4 if len(known) <= 1 << 16 else 2
+    number = number.astype(np.uint16) if wide == 4 else two
+    rounds = [2] * (length % wide // 2) + [wide] * (length // wide)
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint16 if len(transforms) > 256 else np.uint8), [len(t) for t in transforms])
-    n = len(steps)
+    n = len(four)
     place = np.arange(n)
     block = np.zeros(n, np.int32)
     prefix = np.full(n, length, np.int16)
@@ -208,12 +226,15 @@ def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     parted[:1] = True
     prefix[:1] = 0
     before = np.empty(n, np.uint16)
-    for h in range(0, length, 2):
-        before[place] = steps
+    depth = 0
+    for step in rounds:
+        before[place] = number if step == wide else two
         order = np.argsort(before, kind="stable")
-        shard, block, sorted_before = shard[order], block[order], before[order]
-        now = np.concatenate([[True], (sorted_before[1:] != sorted_before[:-1]) | (block[1:] != block[:-1])]) if n else parted
-        prefix[now & ~parted] = h
+        shard, block, ordered = shard[order], block[order], before[order]
+        now = np.ones(n, bool)
+        now[1:] = (ordered[1:] != ordered[:-1]) | (block[1:] != block[:-1])
+        prefix[now & ~parted] = depth
+        depth += step
         parted = now
         block = np.cumsum(now, dtype=np.int32)
         place = np.argsort(shard, kind="stable")
