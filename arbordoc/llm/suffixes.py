@@ -7,10 +7,10 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
 2. What stands around a shared anchor (the bytes of all strings that it is the anchor of, 84 at most) is a
    context. A chunk's distinct contexts, each with its least document id, are dealt by the anchor's hash: equal
    strings meet in one bucket.
-3. A bucket's contexts form shards. Each shard is sorted on its own and gives its Burrows-Wheeler transform, four
-   bytes a step. The transforms are merged by refining the interleave: knowing which shard each rank
-   comes from when suffixes are ordered by their first h bytes, a stable distribution of the ranks by the four bytes
-   before them gives the same for h + 4. Where neighbours part for the first time, their common prefix ends. Intervals that have
+3. A bucket's contexts form shards. Each shard is sorted on its own and gives its Burrows-Wheeler transform, up
+   to four bytes a step. The transforms are merged by refining the interleave: knowing which shard each rank
+   comes from when suffixes are ordered by their first h bytes, a stable distribution of the ranks by the k bytes
+   before them gives the same for h + k. Where neighbours part for the first time, their common prefix ends. Intervals that have
    not parted after `length` bytes are the repeated strings; each has a least document id. No suffix is sorted again.
    Before that, contexts are cut to the strings whose hashes more than one context has.
 4. Each context gets back the least ids of its strings, and the chunks mark what is to go.
@@ -205,18 +205,26 @@ def dense(value: np.ndarray) -> np.ndarray:
     return out
 
 
+def widest(four: np.ndarray, two: np.ndarray) -> tuple[int, np.ndarray]:
+    """The most bytes, of four, three or two, whose values 16 bits can number, and their numbers in order."""
+    values, number = np.unique(four, return_inverse=True)
+    if len(values) <= 1 << 16:
+        return 4, number.astype(np.uint16)
+    values, number = np.unique(four & np.uint32(0xFFFFFF), return_inverse=True)
+    return (3, number.astype(np.uint16)) if len(values) <= 1 << 16 else (2, two)
+
+
 def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(merged rank of each shard's ranks, one shard after another; common prefixes with the rank before).
 
-    A round prepends four bytes, numbered by their order where 16 bits can number them, or else two. A prefix is
+    A round prepends as many bytes as 16 bits can number in their order: four, three or two. A prefix is
     counted in whole rounds up to `length`; what is equal in all of them has `length`.
     """
     four = np.concatenate(transforms)
     two = (four & np.uint32(0xFFFF)).astype(np.uint16)
-    known, number = np.unique(four, return_inverse=True)
-    wide = 4 if len(known) <= 1 << 16 else 2
-    number = number.astype(np.uint16) if wide == 4 else two
-    rounds = [2] * (length % wide // 2) + [wide] * (length // wide)
+    wide, number = widest(four, two)
+    many = (length // wide) - (length // wide * wide - length) % 2  # what is left must be whole pairs
+    rounds = [2] * ((length - many * wide) // 2) + [wide] * many
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint16 if len(transforms) > 256 else np.uint8), [len(t) for t in transforms])
     n = len(four)
     place = np.arange(n)
