@@ -62,13 +62,13 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about SLICE_BYTES of the named column, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about `most` bytes of the named column, one row at least."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         start = size = 0
         for i, n in enumerate(pc.binary_length(column).to_pylist()):
-            if size and size + (n or 0) > SLICE_BYTES:
+            if size and size + (n or 0) > most:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n or 0

@@ -6,6 +6,10 @@ digits; the network predicts the first digit, then the second one given the firs
 costs the root of the vocabulary. A document's score is the sum of the log-probabilities of all its words, each
 given its neighbours.
 
+The network gives the probability of a number; counts of all words and of all pairs of neighbours bring it down to the
+single word. They grow with the corpus and are never on one machine: blocks of texts ask for the totals of their own
+distinct words and pairs, tasks add what all blocks have of a range of hashes and answer each. See `mixed`.
+
 Each task trains the same starting network on its own rows, in order; the results are averaged by the words
 they saw. This is one round of local training; `rounds` repeats it from the average. Every word of every document
 is counted, trained on and scored.
@@ -13,16 +17,18 @@ is counted, trained on and scored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, table, text_of
+from .common import saved, slices, table, text_of
 
 BASE = 32  # digits; BASE * BASE numbers
 OTHERS = 256  # numbers that rarer words share
@@ -33,6 +39,12 @@ SHAPES = {"context": (2 * SPAN, EDGE + 1, WIDTH), "first": (WIDTH, BASE), "first
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 #: Words that a task counts before it hands the counts on.
 COUNTED = 200_000
+#: Words of the corpus for each range of hashes that a task adds up; a range has no more distinct words and pairs than that.
+RANGE = 2_000_000
+#: Bytes of text in a block, which asks for its words and pairs at once.
+BLOCK = 2 << 20
+#: Half an occurrence is given to every word of a bucket, so that a word seen nowhere else has a share.
+HALF = 0.5
 
 
 class Network:
@@ -143,12 +155,33 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text_of(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def numbers_of(docs: DataFrame, text: str = "text") -> dict[str, int]:
+def numbers_of(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> dict[str, int]:
     """The most frequent words of the whole corpus, numbered; ties by the word. As many as the network has numbers for."""
-    top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(EDGE - OTHERS).collect()
+    counts = count_words(docs, text) if counts is None else counts
+    top = counts.orderBy(F.desc("n"), "word").limit(EDGE - OTHERS).collect()
     return {r["word"]: i for i, r in enumerate(top)}
 
 
+def bucket_totals(counts: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and distinct words that share each number; one word has a number of its own."""
+    sc = counts.sparkSession.sparkContext
+    words = sc.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, EDGE), np.int64)
+        for batch in batches:
+            numbers = Numbers(words.value).of(batch.column(0).to_pylist())
+            np.add.at(total[0], numbers, batch.column(1).to_numpy())
+            total[1] += np.bincount(numbers, minlength=EDGE)
+        yield pa.record_batch([pa.array(np.arange(EDGE)), pa.array(total[0]), pa.array(total[1])], ["i", "n", "words"])
+
+    got = counts.select("word", "n").mapInArrow(run, "i long, n long, words long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
+    total = np.zeros((2, EDGE))
+    for row, name in enumerate(("n", "words")):
+        total[row, got.column("i").to_numpy()] = got.column(name).to_numpy()
+    return total[0], total[1]
+
+
 def train(docs: DataFrame, known: dict[str, int], rounds: int = 1, text: str = "text") -> np.ndarray:
     """The averaged parameters (a fixed number of floats). The starting network where there are no words."""
     sc = docs.sparkSession.sparkContext
@@ -177,33 +210,176 @@ def train(docs: DataFrame, known: dict[str, int], rounds: int = 1, text: str = "
     return flat
 
 
-def score(docs: DataFrame, known: dict[str, int], flat: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_words, log_probability, mean_log_probability); no words: 0 words, a sum of 0 and a null mean."""
-    sc = docs.sparkSession.sparkContext
-    words, shared = sc.broadcast(known), sc.broadcast(flat)
-    names = [key, "n_words", "log_probability", "mean_log_probability"]
+class Words:
+    """The words of a block of texts: their hashes, pairs of neighbours and own counts, distinct ones by hash."""
+
+    def __init__(self, texts: list[str]):
+        split = [t.split() for t in texts]
+        self.lengths = np.array([len(x) for x in split], np.int64)
+        coded = pa.array([w for x in split for w in x], pa.large_string()).dictionary_encode()
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+        self.keys, at = np.unique(hashes, return_inverse=True)
+        self.word = at[coded.indices.to_numpy()] if len(hashes) else np.zeros(0, np.int64)
+        text = np.repeat(np.arange(len(split)), self.lengths)
+        del split, coded
+        #: places of words that another word of the text follows
+        self.left = np.flatnonzero(text[:-1] == text[1:])
+        a, b = self.keys[self.word[self.left]], self.keys[self.word[self.left + 1]]
+        mixed = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ b >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        self.pair_keys, self.pair, self.pair_counts = np.unique(mixed ^ mixed >> np.uint64(29), return_inverse=True, return_counts=True)
+
+    def counts(self) -> np.ndarray:
+        """Of each distinct word: occurrences, those before another word, those behind one."""
+        return np.stack([np.bincount(self.word[at], minlength=len(self.keys)) for at in (slice(None), self.left, self.left + 1)], axis=1)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte: the leading zeros stand together and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """The number of counts, a byte each, then those that need more than a byte in full."""
+    flat = counts.ravel()
+    return np.int64(len(flat)).tobytes() + np.minimum(flat, 255).astype(np.uint8).tobytes() + flat[flat >= 255].astype(np.int64).tobytes()
 
-    def make():
-        numbers, net = Numbers(words.value), Network(shared.value)
 
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            around, word, lengths = numbers.windows(batch.column(1).to_pylist())
-            each = [net.log_probability(around[at : at + BATCH], word[at : at + BATCH]).astype(np.float64) for at in range(0, len(word), BATCH)]
-            total = np.concatenate([[0.0], np.cumsum(np.concatenate([[], *each]))])
-            ends = np.cumsum(lengths)
-            sums = total[ends] - total[ends - lengths]
-            mean = pa.array([s / n if n else None for s, n in zip(sums.tolist(), lengths.tolist(), strict=True)], pa.float64())
-            return pa.record_batch([batch.column(0), pa.array(lengths), pa.array(sums), mean], names)
+def unpacked_counts(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, offset=8 + n)
+    return out
 
-        return work
 
-    return map_texts(docs.select(F.col(key).cast("long").alias(key), text_of(text).alias("text")), "text", make, f"{key} long, n_words long, log_probability double, mean_log_probability double")
+def packed_docs(ids: pa.Array, texts: pa.Array) -> bytes:
+    batch = pa.record_batch([ids, texts], ["id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def mixed(words: Words, log_number: np.ndarray, share: np.ndarray, totals: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """log P(word | neighbours) of each word of a block, from the corpus without the occurrence that is scored.
+
+    log_number: log P(number | neighbours) by the network; share: each word's share of its number; totals, pairs: counts
+    of the block's distinct words and pairs over the corpus. Both together are a distribution q over all words. Of n other
+    words seen beside a neighbour, c of them this word, its probability is (c + a q) / (n + a), a = n ** 0.75 (at
+    least 1): words seen beside another grow by about that power. Both sides count alike; at an end of the text, q stands for its side.
+    """
+    q = np.exp(log_number) * share
+    both = np.zeros(len(q))
+    c = pairs[words.pair] - 1.0
+    for at, neighbour, column in ((words.left + 1, words.left, 1), (words.left, words.left + 1, 2)):
+        n = totals[words.word[neighbour], column] - 1.0
+        a = np.maximum(1.0, n**0.75)
+        side = q.copy()
+        side[at] = (c + a * q[at]) / (n + a)
+        both += side / 2
+    return np.log(both)
+
+
+def asked(blocks: DataFrame, n_ranges: int) -> DataFrame:
+    """(block, kind, part, keys, counts): distinct words (kind 0) and pairs (1) of each block with its counts, by range of hashes."""
+    edges = np.array([(i << 64) // n_ranges for i in range(1, n_ranges)], np.uint64)
+
+    names, types = ["block", "kind", "part", "keys", "counts"], [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = Words(pa.ipc.open_stream(docs.as_buffer()).read_all().column("text").to_pylist())
+                for kind, keys, counts in ((0, words.keys, words.counts()), (1, words.pair_keys, words.pair_counts)):
+                    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                    rows = [(block, kind, i, packed_keys(keys[a:b]), packed_counts(counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                    if rows:
+                        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                del words, keys, counts, rows
+
+    return blocks.mapInArrow(run, "block long, kind int, part int, keys binary, counts binary")
+
+
+def answered(asked: DataFrame, n_ranges: int) -> DataFrame:
+    """(block, kind, part, totals): the same keys' counts over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[int, int], list[tuple]] = {}
+        for batch in batches:
+            for block, kind, part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.setdefault((part, kind), []).append((block, keys, counts))
+        while rows:
+            (part, kind), found = rows.popitem()
+            found = [(block, unpacked_keys(keys), unpacked_counts(counts)) for block, keys, counts in found]
+            width = 1 if kind else 3
+            at = np.unique(np.concatenate([x[1] for x in found]), return_inverse=True)[1]
+            counts = np.concatenate([x[2] for x in found]).reshape(-1, width)
+            totals = np.stack([np.bincount(at, counts[:, i]).astype(np.int64) for i in range(width)], axis=1)
+            start = 0
+            for block, keys, _ in found:
+                own = totals[at[start : start + len(keys)]]
+                start += len(keys)
+                yield pa.record_batch([pa.array([block]), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([packed_counts(own)], pa.binary())], ["block", "kind", "part", "totals"])
+
+    return asked.repartition(n_ranges, "part").mapInArrow(run, "block long, kind int, part int, totals binary")
+
+
+def score(docs: DataFrame, known: dict[str, int], flat: np.ndarray, text: str = "text", key: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
+    """(key, n_words, log_probability, mean_log_probability); no words: 0 words, a sum of 0 and a null mean.
+
+    Words and pairs are counted over all of docs; counts: as count_words gives them for docs.
+    """
+    sc = docs.sparkSession.sparkContext
+    counts = saved(count_words(docs, text), "words") if counts is None else counts
+    sums = bucket_totals(counts, known)
+    words, shared, totals = sc.broadcast(known), sc.broadcast(flat), sc.broadcast(sums)
+    n_ranges = max(8, -(-int(sums[0].sum()) // RANGE))
+    names = [key, "n_words", "log_probability", "mean_log_probability"]
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text", BLOCK):
+            yield pa.record_batch([pa.array([uuid.uuid4().int >> 65]), pa.array([packed_docs(piece.column(0), piece.column(1))], pa.binary())], ["block", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, net = Numbers(words.value), Network(shared.value)
+        n_shared, words_shared = totals.value
+        got: tuple[list, list] = ([], [])
+        for batch in batches:
+            for at in range(batch.num_rows):
+                kind = batch.column(1)[at].as_py()
+                if kind < 2:
+                    got[kind].append(unpacked_counts(batch.column(3)[at].as_py()))
+                    continue
+                rows = pa.ipc.open_stream(batch.column(4)[at].as_buffer()).read_all()
+                texts = rows.column("text").to_pylist()
+                own = Words(texts)
+                around, number, lengths = numbers.windows(texts)
+                each = [net.log_probability(around[i : i + BATCH], number[i : i + BATCH]).astype(np.float64) for i in range(0, len(number), BATCH)]
+                of_word, of_pair = (np.concatenate([np.zeros(0, np.int64), *x]) for x in got)
+                of_word = of_word.reshape(-1, 3)
+                got = ([], [])
+                share = np.where(number < EDGE - OTHERS, 1.0, (of_word[own.word, 0] - 1 + HALF) / (n_shared[number] - 1 + HALF * words_shared[number]))
+                total = np.concatenate([[0.0], np.cumsum(mixed(own, np.concatenate([[], *each]), share, of_word, of_pair))])
+                ends = np.cumsum(lengths)
+                sums = total[ends] - total[ends - lengths]
+                mean = pa.array([s / n if n else None for s, n in zip(sums.tolist(), lengths.tolist(), strict=True)], pa.float64())
+                yield pa.record_batch([rows.column("id").combine_chunks(), pa.array(lengths), pa.array(sums), mean], names)
+
+    blocks = saved(docs.select(F.col(key).cast("long").alias(key), text_of(text).alias("text")).mapInArrow(block, "block long, docs binary"), "blocks")
+    answers = answered(asked(blocks, n_ranges), n_ranges).withColumn("docs", F.lit(None).cast("binary"))
+    rows = answers.unionByName(blocks.select("block", F.lit(2).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("totals"), "docs"))
+    dealt = rows.repartition(n_ranges, "block").sortWithinPartitions("block", "kind", "part")
+    return dealt.mapInArrow(run, f"{key} long, n_words long, log_probability double, mean_log_probability double")
 
 
 def score_corpus(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """Counts, trains and scores over all rows; nulls count as empty texts, repeated rows one by one, other columns are not read."""
-    known = numbers_of(docs)
-    return score(docs, known, train(docs, known, rounds))
+    counts = saved(count_words(docs), "words")
+    known = numbers_of(docs, counts=counts)
+    return score(docs, known, train(docs, known, rounds), counts=counts)
 
 
 def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

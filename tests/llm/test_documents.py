@@ -248,6 +248,38 @@ def test_masked_lm(spark, odd, docs):
     assert len(rows) == odd.count() and all((r["n_words"] == 0) == (r["mean_log_probability"] is None) for r in rows)
 
 
+def test_masked_lm_words(spark):
+    """Words of one bucket are told apart, as targets and as neighbours, by counts of the whole corpus."""
+    common = [f"c{i}" for i in range(masked_lm.EDGE - masked_lm.OTHERS)]
+    bucket = lambda w: zlib.crc32(w.encode()) % masked_lm.OTHERS
+    rare = [w for w in (f"r{i}" for i in range(40_000)) if bucket(w) == 7][:6]
+    texts = [" ".join(common)] * 30 + [f"c1 {rare[0]} {rare[1]} c2"] * 20 + [f"c1 {rare[2]} {rare[3]} c2", f"c1 {rare[0]} {rare[3]} c2", f"c1 {rare[4]}", "", rare[5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    known = masked_lm.numbers_of(df)
+    flat = masked_lm.train(df, known)
+    got = {r["doc_id"]: r["log_probability"] for r in masked_lm.score(df, known, flat).collect()}
+    split = [t.split() for t in texts]
+    n, pairs = Counter(w for x in split for w in x), Counter(p for x in split for p in zip(x, x[1:], strict=False))
+    before, behind = Counter(w for x in split for w in x[:-1]), Counter(w for x in split for w in x[1:])
+    numbers, net = masked_lm.Numbers(known), masked_lm.Network(flat)
+    shared = [w for w in n if w not in known]
+    for i, x in enumerate(split):
+        around, number, _ = numbers.windows([texts[i]])
+        want = 0.0
+        for k, w in enumerate(x):
+            q = float(np.exp(net.log_probability(around[k : k + 1], number[k : k + 1])[0]))
+            if w not in known:
+                same = [v for v in shared if bucket(v) == bucket(w)]
+                q *= (n[w] - 0.5) / (sum(n[v] for v in same) - 1 + len(same) / 2)
+            sides = []
+            for there, seen, pair in ((k > 0, before[x[k - 1]], (x[k - 1], w)), (k + 1 < len(x), behind[x[min(k + 1, len(x) - 1)]], (w, x[min(k + 1, len(x) - 1)]))):
+                a = max(1.0, (seen - 1) ** 0.75) if there else 0
+                sides.append((pairs[pair] - 1 + a * q) / (seen - 1 + a) if there else q)
+            want += float(np.log(sum(sides) / 2))
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want))
+    assert got[30] > got[51] + 2 > got[50] + 2  # one bucket: known pair, known word beside a new one, two new words
+
+
 def test_gradient():
     rng = np.random.default_rng(4)
     around, word = rng.integers(0, masked_lm.EDGE + 1, (8, 4)), rng.integers(0, masked_lm.EDGE, 8)
