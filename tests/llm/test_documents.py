@@ -183,6 +183,29 @@ def test_keep_one(odd, docs):
     assert len(stay) == len({texts[i] for i in stay})
 
 
+def test_keep_one_exact(spark):
+    """Groups by exact Jaccard similarity of five-word shingles, with pairs just above and below 0.8."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for group in range(60):
+        words = [f"w{group}x{i}" for i in range(204)]
+        texts.append(" ".join(words))
+        for changed in (3, 4, 5, 6, 8):  # 0.86, 0.82, 0.78, 0.74, 0.67
+            other = list(words)
+            for at in rng.choice(40, changed, replace=False).tolist():
+                other[at * 5 + 2] += "y"
+            texts.append(" ".join(other))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a // 6 * 6, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = sorted((root[a], root[b]))[::-1]
+                root = [new if r == old else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(root)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_suffixes(request, which):
     df = request.getfixturevalue(which)
