@@ -18,6 +18,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -43,8 +44,11 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PACKED_IN_PERCENT = re.compile(r"(?:%1[fF]%8[bB]|x%(?:01|5[eE]|9[cC]|[dD][aA])|BZh|%[fF][dD]7zXZ|%28%[bB]5%2[fF]%[fF][dD]|\(%[bB]5/%[fF][dD])[^\s\"'<>]*")
 UNREADABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
-#: Bytes that one compressed layer may unpack to; a layer beyond is counted as unopened, never cut.
+#: Bytes of an unpacked layer that are scanned at once; a larger layer is scanned in such blocks, each with the end of the last.
 LARGEST = 64 << 20
+OVERLAP = 4 << 20
+#: Memory that one decompressor may take; a stream that needs more is counted as unopened.
+MEMORY = 256 << 20
 
 
 class Layer:
@@ -138,30 +142,84 @@ def unescape(coded: str) -> str | None:
     return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
 
 
-def unpacked(data: bytes) -> bytes | None | bool:
-    """data without its compression; None where it has none or is damaged, False where it is beyond LARGEST."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"x" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, LARGEST)
-            whole = d.eof
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, LARGEST)
-            whole = d.eof
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor(memlimit=4 * LARGEST)
-            out = d.decompress(data, LARGEST)
-            whole = d.eof
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=LARGEST).stream_reader(data) as r:
-                out = r.read(LARGEST)
-                whole = not r.read(1)
+def is_packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"x" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda") or data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00" or data[:4] == b"\x28\xb5\x2f\xfd"
+
+
+class Unpacking:
+    """Pieces of what packed data holds, all its members, then what stands behind them; damaged: whether an end is missing, refused: for want of memory."""
+
+    def __init__(self, data: Iterator[bytes]):
+        self.data, self.damaged, self.refused = data, False, False
+
+    def _one(self, head: bytes) -> Iterator[bytes]:
+        """A member that starts with head; self.rest: what was read beyond it."""
+        piece = 1 << 20
+        if head[:4] == b"\x28\xb5\x2f\xfd":
+            d = zstandard.ZstdDecompressor(max_window_size=MEMORY).decompressobj()
+            while not d.eof and head:
+                for at in range(0, len(head), 4096):  # output of a call is not bounded
+                    yield d.decompress(head[at : at + 4096])
+                    if d.eof:
+                        self.rest = d.unused_data + head[at + 4096 :]
+                        return
+                head = next(self.data, b"")
+        elif head[:3] == b"BZh" or head[:6] == b"\xfd7zXZ\x00":
+            d = bz2.BZ2Decompressor() if head[:1] == b"B" else lzma.LZMADecompressor(memlimit=MEMORY)
+            while not d.eof:
+                yield d.decompress(head, piece)
+                head = b""
+                if not d.eof and d.needs_input and not (head := next(self.data, b"")):
+                    break
+            self.rest = d.unused_data
         else:
-            return None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return out if whole else False if len(out) >= LARGEST else None
+            d = zlib.decompressobj(47)
+            while not d.eof and head:
+                out = d.decompress(head, piece)
+                yield out
+                # a full piece may leave output behind although all input is used up
+                while not d.eof and not d.unconsumed_tail and len(out) == piece:
+                    out = d.decompress(b"", piece)
+                    yield out
+                head = d.unconsumed_tail or (b"" if d.eof else next(self.data, b""))
+            self.rest = d.unused_data
+        self.damaged |= not d.eof
+
+    def __iter__(self) -> Iterator[bytes]:
+        head = next(self.data, b"")
+        try:
+            while head := head if len(head) >= 6 else head + next(self.data, b""):
+                if not is_packed(head):
+                    break
+                self.rest = b""
+                yield from self._one(head)
+                head = self.rest.lstrip(b"\0") or next(self.data, b"").lstrip(b"\0")
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError) as e:
+            self.damaged, self.refused = True, "memory" in str(e).lower()
+            return
+        if head:
+            yield b"\n" + head
+            yield from self.data
+
+
+def iter_of(head: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield head
+    yield from rest
+
+
+def up_to(pieces: Iterator[bytes], most: int) -> bytes:
+    """Pieces joined until they are more than `most` bytes."""
+    out = bytearray()
+    for piece in pieces:
+        out += piece
+        if len(out) > most:
+            break
+    return bytes(out)
+
+
+def unpacked(data: bytes) -> bytes | None:
+    """The first bytes of what data holds; None where it is not packed or gives nothing."""
+    return up_to(iter(Unpacking(iter([data]))), 0) or None if is_packed(data) else None
 
 
 def unbase64(run: str) -> bytes | None:
@@ -180,7 +238,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
     base = base_spans(text, runs)
     found, seen, opened, unopened = set(base), set(), 0, 0
     root = Layer(text, None, [])
-    work: list[Layer] = [root]
+    work: list[Layer | Iterator[Layer]] = [root]
 
     def take(layer: Layer | None) -> None:
         nonlocal opened
@@ -192,38 +250,63 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
             opened += 1
             work.append(layer)
 
-    def bare(data: bytes, above: Layer, start: int, end: int, base64_at: int | None) -> bool:
-        """Takes up decoded bytes; says whether they were text or compressed text."""
+    def pieces_of(head: bytes, rest: Iterator[bytes], states: list[Unpacking], above: Layer, start: int, end: int) -> Iterator[Layer]:
+        """A layer for each block of a large unpacked layer."""
+        nonlocal unopened
+        while is_packed(head):
+            states.append(Unpacking(iter_of(head, rest)))
+            rest = iter(states[-1])
+            head = up_to(rest, LARGEST)
+        while head:
+            yield Layer(head.decode(errors="replace"), above, [(0, start, end, 0)])
+            more = up_to(rest, LARGEST)
+            head = head[-OVERLAP:] + more if more else b""
+        unopened += any(x.damaged for x in states)
+
+    def bare(data: bytes, above: Layer, start: int, end: int, place) -> bool:
+        """Takes up decoded bytes; says whether they were text or compressed text. place: base64 digit -> where it stands, or None."""
         nonlocal unopened
         packed = False
-        while out := unpacked(data):
+        while is_packed(data):
+            state = Unpacking(iter([data]))
+            rest = iter(state)
+            out = up_to(rest, LARGEST)
+            if not out:
+                unopened += state.refused
+                break
             mark = (hashlib.sha1(data).digest(), start, end, above.depth)
             if mark in seen:  # it unpacks to itself
                 return True
             seen.add(mark)
+            if len(out) > LARGEST:
+                work.append(pieces_of(out, rest, [state], above, start, end))
+                return True
+            unopened += state.damaged
             data, packed = out, True
-        if out is False:
-            unopened += 1
-            return True
         try:
             inner = data.decode()
         except UnicodeDecodeError:
             return packed
         if UNREADABLE.search(inner):
             return packed
-        if packed or base64_at is None:
+        if packed or place is None:
             segments = [(0, start, end, 0)]
         else:
             segments, at = [], 0
             for i, c in enumerate(inner):
                 n = len(c.encode())
-                segments.append((i, base64_at + at * 8 // 6, base64_at + ((at + n) * 8 + 5) // 6, 0))
+                segments.append((i, place(at * 8 // 6), place(((at + n) * 8 + 5) // 6 - 1) + 1, 0))
                 at += n
         take(Layer(inner, above, segments))
         return True
 
     while work:
         layer = work.pop()
+        if not isinstance(layer, Layer):
+            if (block := next(layer, None)) is not None:
+                work.append(layer)
+                take(block)
+            continue
         t = layer.text
         spans = runs if layer is root else [(m.start(), m.end()) for m in RUN.finditer(t)]
         if layer is not root:
@@ -241,11 +324,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
                     bare(bare_bytes, layer, m.start(), m.end(), None)
         for a, b in spans:
             run = t[a:b]
-            if (data := unbase64(run)) is not None and bare(data, layer, a, b, a):
+            if (data := unbase64(run)) is not None and bare(data, layer, a, b, lambda k, a=a: a + k):
                 continue
             for m in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", run):  # parts between signs that may be punctuation
                 if m[0] != run and (data := unbase64(m[0])) is not None:
-                    bare(data, layer, a + m.start(), a + m.end(), a + m.start())
+                    bare(data, layer, a + m.start(), a + m.end(), lambda k, a=a + m.start(): a + k)
     return base, found, opened, unopened
 
 

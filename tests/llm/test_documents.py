@@ -1,5 +1,6 @@
 """Operators on documents against brute force, on whole small tables and on odd rows."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -65,6 +66,36 @@ def test_redaction(spark, odd):
     assert rows == {1: None, 4: LONG, 10: "[SECRET] [SECRET]"}
 
 
+def hidden(text):
+    """The characters that spans beyond the text's own cover."""
+    return {text[a:b] for a, _, b in secret_scan.scan(text)[1]}
+
+
+SECRET = "password=hunter2hunter2"
+
+
+def test_secrets_members(monkeypatch):
+    import bz2
+    import gzip
+    import lzma
+
+    import zstandard
+
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        run = base64.b64encode(pack(b"nothing here") + pack(SECRET.encode())).decode()
+        assert run in hidden(f"see {run} there")
+    monkeypatch.setattr(secret_scan, "LARGEST", 1 << 16)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    noise = np.random.default_rng(1).choice(list(b"abc xyz\n"), 3 << 20).astype(np.uint8).tobytes()
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda x: gzip.compress(gzip.compress(x))):
+        run = base64.b64encode(pack(noise + b" " + SECRET.encode())).decode()
+        assert run in hidden(f"see {run} there")
+    monkeypatch.undo()
+    for pack in (gzip.compress, zlib.compress):
+        run = base64.b64encode(pack(SECRET.encode() + b" " + noise)[:-3000]).decode()
+        assert run in hidden(f"see {run} there") and secret_scan.scan(run)[3] == 1
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_packing(request, which):
     from tokenizers import Tokenizer
