@@ -222,6 +222,17 @@ def unpacked(data: bytes) -> bytes | None:
     return up_to(iter(Unpacking(iter([data]))), 0) or None if is_packed(data) else None
 
 
+def decoded(data: bytes) -> tuple[str, int]:
+    """Text of any bytes, and how many bytes a character has: 0 for UTF-8, 2 for UTF-16, 1 where neither fits."""
+    for half, order in ((1, "le"), (0, "be")):
+        if len(data) >= 8 and data[half::2].count(0) > len(data) * 0.3 and data[1 - half :: 2].count(0) < len(data) * 0.1:
+            return data[: len(data) // 2 * 2].decode(f"utf-16-{order}", "replace"), 2
+    try:
+        return data.decode(), 0
+    except UnicodeDecodeError:
+        return data.decode("latin-1"), 1
+
+
 def unbase64(run: str) -> bytes | None:
     body = run.rstrip("=")
     if len(body) % 4 == 1 or ("+" in body or "/" in body) and ("-" in body or "_" in body):
@@ -258,7 +269,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
             rest = iter(states[-1])
             head = up_to(rest, LARGEST)
         while head:
-            yield Layer(head.decode(errors="replace"), above, [(0, start, end, 0)])
+            yield Layer(decoded(head)[0], above, [(0, start, end, 0)])
             more = up_to(rest, LARGEST)
             head = head[-OVERLAP:] + more if more else b""
         unopened += any(x.damaged for x in states)
@@ -283,22 +294,23 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
                 return True
             unopened += state.damaged
             data, packed = out, True
-        try:
-            inner = data.decode()
-        except UnicodeDecodeError:
-            return packed
-        if UNREADABLE.search(inner):
-            return packed
+        inner, size = decoded(data)
         if packed or place is None:
-            segments = [(0, start, end, 0)]
-        else:
-            segments, at = [], 0
-            for i, c in enumerate(inner):
-                n = len(c.encode())
-                segments.append((i, place(at * 8 // 6), place(((at + n) * 8 + 5) // 6 - 1) + 1, 0))
-                at += n
-        take(Layer(inner, above, segments))
-        return True
+            if packed or size == 0 and not UNREADABLE.search(inner):
+                take(Layer(inner, above, [(0, start, end, 0)]))
+                return True
+            return False
+        segments, at = [], 0
+        for i, c in enumerate(inner):
+            n = size if size == 1 else len(c.encode("utf-16-le" if size else "utf-8", "surrogatepass"))
+            segments.append((i, place(at * 8 // 6), place(((at + n) * 8 + 5) // 6 - 1) + 1, 0))
+            at += n
+        layer = Layer(inner, above, segments)
+        if size != 1 and len(UNREADABLE.findall(inner)) * 10 <= len(inner):
+            take(layer)
+            return True
+        found.update((a, kind, b) for x, kind, y in base_spans(inner) for a, b in [layer.root(x, y)])
+        return False
 
     while work:
         layer = work.pop()

@@ -74,6 +74,25 @@ def hidden(text):
 SECRET = "password=hunter2hunter2"
 
 
+def test_secrets_unreadable():
+    import gzip
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        entry = tarfile.TarInfo("a.txt")
+        entry.size = len(SECRET)
+        tar.addfile(entry, io.BytesIO(SECRET.encode()))
+    packed = [out.getvalue(), *(gzip.compress(x) for x in (b"\x1b[31m " + SECRET.encode(), ("é " + SECRET).encode("latin-1"), SECRET.encode("utf-16"), SECRET.encode("utf-16-be")))]
+    for data in packed:
+        run = base64.b64encode(data).decode()
+        assert run in hidden(f"see {run} there")
+    for data in (b"a\0 " + SECRET.encode() + b" b", b"\xff\xfe\x01\x02 " + SECRET.encode(), SECRET.encode("utf-16-le")):
+        run = base64.b64encode(data).decode()
+        assert hidden(f"see {run} there")
+
+
 def test_secrets_members(monkeypatch):
     import bz2
     import gzip
