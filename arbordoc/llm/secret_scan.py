@@ -44,6 +44,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PACKED_IN_PERCENT = re.compile(r"(?:%1[fF]%8[bB]|x%(?:01|5[eE]|9[cC]|[dD][aA])|BZh|%[fF][dD]7zXZ|%28%[bB]5%2[fF]%[fF][dD]|\(%[bB]5/%[fF][dD])[^\s\"'<>]*")
 UNREADABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
+#: A line end within wrapped base64, escaped ones too, and a line of it.
+BREAK = re.compile(r"[\x20\t]*(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+
 #: Bytes of an unpacked layer that are scanned at once; a larger layer is scanned in such blocks, each with the end of the last.
 LARGEST = 64 << 20
 OVERLAP = 4 << 20
@@ -233,6 +237,21 @@ def decoded(data: bytes) -> tuple[str, int]:
         return data.decode("latin-1"), 1
 
 
+def wrapped(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The lines of base64 that start with the run [start, end): all as wide as the second one but the first and the last."""
+    lines, width = [(start, end)], 0
+    while not text[lines[-1][1] - 1] == "=" and (m := BREAK.match(text, lines[-1][1])) and (line := LINE.match(text, m.end())):
+        n = line.end() - line.start()
+        if not width:
+            width = max(n, end - start)
+        if n > width:
+            break
+        lines.append(line.span())
+        if n < width:
+            break
+    return lines
+
+
 def unbase64(run: str) -> bytes | None:
     body = run.rstrip("=")
     if len(body) % 4 == 1 or ("+" in body or "/" in body) and ("-" in body or "_" in body):
@@ -334,7 +353,23 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
                 bare_bytes = bytes.fromhex(m[0].replace("\\x", ""))
                 if unpacked(bare_bytes):
                     bare(bare_bytes, layer, m.start(), m.end(), None)
+        done = 0
         for a, b in spans:
+            if a < done:
+                continue
+            lines = wrapped(t, a, b)
+            for some in (lines, lines[:-1]):
+                if len(some) < 2 or (data := unbase64("".join(t[x:y] for x, y in some))) is None:
+                    continue
+                starts = [0]
+                for x, y in some:
+                    starts.append(starts[-1] + y - x)
+                place = lambda k, some=some, starts=starts: some[(i := min(bisect_right(starts, k), len(some)) - 1)][0] + k - starts[i]
+                if bare(data, layer, a, some[-1][1], place):
+                    done = some[-1][1]
+                    break
+            if a < done:
+                continue
             run = t[a:b]
             if (data := unbase64(run)) is not None and bare(data, layer, a, b, lambda k, a=a: a + k):
                 continue

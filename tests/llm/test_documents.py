@@ -115,6 +115,21 @@ def test_secrets_members(monkeypatch):
         assert run in hidden(f"see {run} there") and secret_scan.scan(run)[3] == 1
 
 
+def test_secrets_wrapped():
+    import gzip
+
+    noise = " ".join(map(str, np.random.default_rng(1).integers(0, 1 << 40, 40))).encode()
+    data = gzip.compress(noise + SECRET.encode())
+    for width in (64, 76):
+        for end in ("\n", "\r\n", "\\n", "\n    "):
+            code = base64.b64encode(data).decode()
+            lines = end.join(code[i : i + width] for i in range(0, len(code), width))
+            assert lines in hidden(f"see\n{lines}\n")
+            code = base64.b64encode(b"x" * (width * 3 // 4 - 12) + b" " + SECRET.encode() + b" and more of this").decode()
+            lines = end.join(code[i : i + width] for i in range(0, len(code), width))
+            assert any(end in x and x.replace(end, "") in code for x in hidden(f"see\n{lines}\n"))
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_packing(request, which):
     from tokenizers import Tokenizer
