@@ -158,6 +158,8 @@ def components(prints: DataFrame, limit: int, bits: int, n_segments: int, key: s
 
     Null keys stay out of groups: their component is null unless a copy of their text has a key.
     """
+    if n_segments < limit // 2 + 1:
+        raise ValueError(f"{n_segments} segments miss pairs that differ by {limit} bits")
     spark = prints.sparkSession
     prints = saved(prints, "prints")
     distinct = saved(prints.groupBy("fp").agg(F.min(key).alias("id")).where("id IS NOT NULL"), "distinct")

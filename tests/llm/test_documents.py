@@ -248,6 +248,11 @@ def test_keep_one(odd, docs):
     assert len(stay) == len({texts[i] for i in stay})
 
 
+def test_simhash_segments(docs):
+    with pytest.raises(ValueError, match="segments"):
+        simhash.components(docs, 44, 256, 16)
+
+
 def test_keep_one_exact(spark):
     """Groups by exact Jaccard similarity of five-word shingles, with pairs just above and below 0.8."""
     rng = np.random.default_rng(5)
