@@ -2,7 +2,7 @@
 
 A worklist starts with the text itself. Each layer is scanned for secrets and unwrapped in every way that
 applies: percent escapes, Unicode escapes and numeric character references replace the whole layer by its
-decoded form; a base64 run that holds readable text, and compressed data in base64 or behind escapes, become
+decoded form (escapes of escapes, however deep, by one level); a base64 run that holds readable text, and compressed data in base64 or behind escapes, become
 layers of their own. New layers join the worklist until none is left. A layer whose content was seen before at
 the same place is not taken up again, which ends cycles (an archive that unpacks to itself). Every span found
 in a layer is mapped back through the layers above it to the characters of the text that carry it.
@@ -14,11 +14,13 @@ import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
+import zipfile
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -39,6 +41,8 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(
     r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\u\{[0-9a-fA-F]{1,6}\}|(?:\\x[0-9a-fA-F]{2})+|&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};"
 )
+#: Escapes of an escape's own first sign, one within the other: all such levels are opened at once.
+NESTED = re.compile(r"%(?:25){2,}|\\u005[cC](?:u005[cC])+|\\x5[cC](?:x5[cC])+|&#0*38;(?:#0*38;)+|&#[xX]0*26;(?:#[xX]0*26;)+")
 #: Base64 of a shorter run cannot hold a secret.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PACKED_IN_PERCENT = re.compile(r"(?:%1[fF]%8[bB]|x%(?:01|5[eE]|9[cC]|[dD][aA])|BZh|%[fF][dD]7zXZ|%28%[bB]5%2[fF]%[fF][dD]|\(%[bB]5/%[fF][dD])[^\s\"'<>]*")
@@ -87,8 +91,11 @@ def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tup
     return found
 
 
-def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The whole layer with each match decoded; None where nothing changes. decode: match -> text or None (left as it is)."""
+def replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[str], tuple[str, list[int]] | None]) -> Layer | None:
+    """The whole layer with each match decoded; None where nothing changes.
+
+    decode: the match -> its text and how many signs carry each character, or None, which leaves it as it is.
+    """
     out, segments, at, size = [], [], 0, 0
     for m in pattern.finditer(layer.text):
         if (new := decode(m[0])) is None:
@@ -97,11 +104,12 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
             segments.append((size, at, m.start(), 1))
             out.append(layer.text[at : m.start()])
             size += m.start() - at
-        pairs = _chars(m[0], new)
-        for a, b in pairs:
-            segments.append((size, m.start() + a, m.start() + b, 0))
+        place = m.start()
+        for n in new[1]:
+            segments.append((size, place, place + n, 0))
+            place += n
             size += 1
-        out.append(new)
+        out.append(new[0])
         at = m.end()
     if not at:
         return None
@@ -111,39 +119,61 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), layer, segments)
 
 
-def _chars(coded: str, text: str) -> list[tuple[int, int]]:
-    """The part of a coded match that each character comes from: 3 or 4 signs a byte for %XX and \\xXX, else all of it."""
-    step = 3 if coded[0] == "%" else 4 if coded[:2] == "\\x" else 0
-    if not step:
-        return [(0, len(coded))] * len(text)
-    out, at = [], 0
-    latin = step == 4 and len(text) * step == len(coded)
-    for c in text:
-        n = step * (1 if latin else len(c.encode()))
-        out.append((at, at + n))
-        at += n
-    return out
+def of_bytes(data: bytes, step: int, skip: bool = False) -> tuple[str, list[int]]:
+    """Text of escaped bytes, `step` signs each; a byte that is no UTF-8 stands for its Latin-1 character, or is skipped."""
+    out, widths, before = [], [], 0
+    for c in data.decode("utf-8", "surrogateescape"):
+        alone = 0xDC80 <= ord(c) < 0xDD00
+        if alone and skip:
+            before += step
+            continue
+        out.append(chr(ord(c) - 0xDC00) if alone else c)
+        widths.append(before + step * (1 if alone else len(c.encode())))
+        before = 0
+    return "".join(out), widths
 
 
-def unpercent(coded: str) -> str | None:
-    try:
-        return bytes.fromhex(coded.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def unpercent(coded: str, skip: bool = False) -> tuple[str, list[int]]:
+    return of_bytes(bytes.fromhex(coded.replace("%", "")), 3, skip)
 
 
-def unescape(coded: str) -> str | None:
+def unescape(coded: str) -> tuple[str, list[int]] | None:
     if coded[:2] == "\\x":
-        data = bytes.fromhex(coded.replace("\\x", ""))
-        try:
-            return data.decode()
-        except UnicodeDecodeError:
-            return data.decode("latin-1")
+        return of_bytes(bytes.fromhex(coded.replace("\\x", "")), 4)
     if coded.count("\\u") == 2:
-        return bytes.fromhex(coded.replace("\\u", "")).decode("utf-16-be")
+        return bytes.fromhex(coded.replace("\\u", "")).decode("utf-16-be"), [len(coded)]
     digits = re.sub(r"[^0-9a-fA-F]", "", coded)
     point = int(digits, 10 if coded[0] == "&" and coded[2] not in "xX" else 16)
-    return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
+    return (chr(point), [len(coded)]) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
+
+
+def unnested(coded: str) -> tuple[str, list[int]]:
+    """The escape of one level; its first sign is carried by all the levels."""
+    inner = "%25" if coded[0] == "%" else coded[: coded.index(";") + 1] if coded[0] == "&" else coded[: 6 if coded[1] == "u" else 4]
+    return inner, [len(coded) - len(inner) + 1, *[1] * (len(inner) - 1)]
+
+
+def inflated(data: bytes) -> bytes | None:
+    """What raw deflate data holds; None unless the stream ends where the data ends and holds text."""
+    d = zlib.decompressobj(-15)
+    try:
+        out = d.decompress(data, LARGEST)
+    except zlib.error:
+        return None
+    return out if d.eof and not d.unused_data and len(out) >= len(data) // 2 else None
+
+
+def zipped(data: bytes) -> Iterator[bytes]:
+    """The members of a zip archive, one after another, each followed by a line end."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            for name in archive.infolist():
+                with archive.open(name) as member:
+                    while piece := member.read(1 << 20):
+                        yield piece
+                yield b"\n"
+    except (zipfile.BadZipFile, zlib.error, OSError, EOFError, NotImplementedError, RuntimeError, lzma.LZMAError, ValueError):
+        return
 
 
 def is_packed(data: bytes) -> bool:
@@ -313,7 +343,15 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
                 return True
             unopened += state.damaged
             data, packed = out, True
+        if not packed and data[:4] == b"PK\x03\x04":
+            rest = zipped(data)
+            if out := up_to(rest, LARGEST):
+                work.append(pieces_of(out, rest, [], above, start, end))
+                return True
         inner, size = decoded(data)
+        if not packed and (size or UNREADABLE.search(inner)) and (out := inflated(data)):
+            work.append(pieces_of(out, iter(()), [], above, start, end))
+            return True
         if packed or place is None:
             if packed or size == 0 and not UNREADABLE.search(inner):
                 take(Layer(inner, above, [(0, start, end, 0)]))
@@ -342,17 +380,21 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
         spans = runs if layer is root else [(m.start(), m.end()) for m in RUN.finditer(t)]
         if layer is not root:
             found |= {(a, kind, b) for start, kind, end in base_spans(t, spans) for a, b in [layer.root(start, end)]}
-        if "%" in t:
+        if (peeled := replaced(layer, NESTED, unnested)) is not None:
+            take(peeled)
+        elif "%" in t:
             take(replaced(layer, PERCENT, unpercent))
+            take(replaced(layer, PERCENT, lambda x: unpercent(x, skip=True)))  # the same layer where all is UTF-8
             for m in PACKED_IN_PERCENT.finditer(t):
                 coded = re.sub(rb"%([0-9A-Fa-f]{2})", lambda x: bytes.fromhex(x[1].decode()), m[0].encode())
                 bare(coded, layer, m.start(), m.end(), None)
         if "\\" in t or "&#" in t:
-            take(replaced(layer, ESCAPE, unescape))
+            if peeled is None:
+                take(replaced(layer, ESCAPE, unescape))
             for m in re.finditer(r"(?:\\x[0-9a-fA-F]{2}){8,}", t):
-                bare_bytes = bytes.fromhex(m[0].replace("\\x", ""))
-                if unpacked(bare_bytes):
-                    bare(bare_bytes, layer, m.start(), m.end(), None)
+                data = bytes.fromhex(m[0].replace("\\x", ""))
+                if unpacked(data) or data[:4] == b"PK\x03\x04":
+                    bare(data, layer, m.start(), m.end(), None)
         done = 0
         for a, b in spans:
             if a < done:
@@ -383,7 +425,8 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """(key, base, spans, n_layers, n_unopened); base and spans: arrays of (kind, start, end), by start, kind, end.
 
     Offsets are code points of the whole text, end exclusive. base has the text's own spans, spans also those of
-    its decoded layers. Null and empty texts have none; null keys, repeated rows and ties stay as they are.
+    its decoded layers. Null and empty texts have none; null keys, repeated rows and ties stay as they are; very long
+    texts are read whole; other columns are not read, whatever their names. An empty table gives no rows.
     """
     span = "array<struct<kind:string,start:int,end:int>>"
     schema = f"{key} long, base {span}, spans {span}, n_layers int, n_unopened int"
@@ -401,7 +444,11 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
-    """docs with every span of every layer replaced by mark (overlapping ones together). Null texts stay null."""
+    """docs with every span of every layer replaced by mark (overlapping ones together).
+
+    Null and empty texts, null keys, repeated rows and other columns, whatever their names, stay as they are; very long
+    texts are read whole. An empty table gives no rows.
+    """
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
