@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.partition("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return "/tmp/arbordoc-shared"
 
@@ -49,15 +50,38 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As saved, dealt into files by key: a join on the key then moves the other side alone."""
+    """As saved, dealt into files by key: a join on the key then moves the other side alone. Its table is dropped when Python ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     named = f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(named)
+    atexit.register(_drop, spark, named)
     return spark.table(named)
 
 
+def _drop(spark: SparkSession, named: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        spark.sql(f"DROP TABLE IF EXISTS {named}")
+
+
+def tree_sum(vectors: DataFrame, width: int = 64) -> np.ndarray | None:
+    """The sum of all rows of vectors (part long, x binary: doubles of one length), in two steps; None without rows."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(1):
+                v = np.frombuffer(x.as_buffer(), np.float64)
+                total = v.copy() if total is None else np.add(total, v, out=total)
+        if total is not None:
+            yield pa.record_batch([pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "x"])
+
+    some = vectors.select("part", "x").repartition(width, "part").mapInArrow(add, "part long, x binary")
+    got = some.repartition(1).mapInArrow(add, "part long, x binary").collect()
+    return np.frombuffer(got[0]["x"], np.float64) if got else None
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

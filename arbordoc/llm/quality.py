@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,11 +165,13 @@ def held_out(key: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: str = "doc_id", label: str = "quality") -> Machine:
     """The machine for labelled rows that are not held out: `most` of them at most, those with the smallest hash of their key.
 
-    Rows whose label is neither 0 nor 1 are left out; a key labelled twice counts with its smaller label.
+    Rows whose label is neither 0 nor 1 are left out; a key labelled twice counts with its smaller label, one that
+    several documents have with the least of their texts. No label or no document: the machine that scores 0.5.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).cast("long").alias("_k")).agg(F.min(label).cast("int").alias("_y"))
-    chosen = known.orderBy(F.xxhash64("_k"), "_k").limit(most)
-    rows = docs.select(F.col(key).cast("long").alias("_k"), text_of().alias("text"), F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(chosen), "_k")
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).cast("long").alias("k")).agg(F.min(label).cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("k"), "k").limit(most)
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.struct(text_of().alias("text"), F.col("n_chars").cast("long").alias("n")).alias("row"))
+    rows = rows.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("row").alias("row"), F.min("y").alias("y"))
 
     def make():
         features = Features()
@@ -179,33 +182,46 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: str
 
         return work
 
-    got = map_texts(rows.select("_k", "text", "n_chars", "_y"), "text", make, "k long, y int, i binary, v binary").collect()  # bounded by `most`
-    got.sort(key=lambda r: (r["k"], r["i"], r["v"]))
-    return train([(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32), r["y"]) for r in got[:most]])
+    got = map_texts(rows.select("k", "row.text", "row.n", "y"), "text", make, "k long, y int, i binary, v binary").collect()  # `most` rows at most, one a key
+    got.sort(key=lambda r: r["k"])
+    return train([(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32), r["y"]) for r in got])
 
 
-def with_scores(docs: DataFrame, model: Machine) -> DataFrame:
-    """docs with a column _score, the chance of label 1. Null and empty texts are scored by their structure alone."""
+def _scored(docs: DataFrame, model: Machine, finish: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+    """finish(rows, scores) over all of docs; columns are found by their place, so that no name clashes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
-    rows = docs.withColumns({"_text": text_of(), "_n": F.col("n_chars").cast("long")})
+    text, n_chars = docs.columns.index("text"), docs.columns.index("n_chars")
 
     def make():
         features, machine = Features(), shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = batch.num_columns - 2
-            scores = [machine.score(*features.of(t, c)) for t, c in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
-            return pa.record_batch([*batch.columns[:n], pa.array(scores, pa.float64())], [*batch.schema.names[:n], "_score"])
+            rows = zip(batch.column(text).to_pylist(), batch.column(n_chars).to_pylist(), strict=True)
+            return finish(batch, np.array([machine.score(*features.of(t or "", n)) for t, n in rows]))
 
         return work
 
-    return map_texts(rows, "_text", make, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return map_texts(docs, "text", make, schema)
+
+
+def keep_good(docs: DataFrame, model: Machine, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score `least` or more, with all their columns, whatever the names.
+
+    Null and empty texts are scored by their structure and declared length, repeated rows alike.
+    """
+    return _scored(docs, model, lambda rows, scores: rows.filter(pa.array(scores >= least)), docs.schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: str = "doc_id") -> DataFrame:
-    """(key, held_out, score, predicted) of each row of docs; a null key is never held out, repeated rows score alike."""
-    scored = with_scores(docs.select(F.col(key).cast("long").alias(key), "text", "n_chars"), fit(docs, labels, most, key))
-    return scored.select(key, held_out(key).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    """(key, held_out, score, predicted) of each row of docs.
+
+    A null key is never held out; repeated rows score alike; null and empty texts are scored by their structure, very
+    long ones whole. Other columns are not read, whatever their names. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
+    finish = lambda batch, scores: pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], [key, "score"])
+    scored = _scored(rows, fit(docs, labels, most, key), finish, f"{key} long, score double")
+    return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
