@@ -17,14 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, saved, table, text_of
 
 CAPACITY, END = 1024, 2
-#: Pieces numbered in one task.
-NUMBERED = 200_000
 KEPT, LONGEST = 400_000, 48
 
 # The byte-level pre-tokenizer's letters, numbers and white space below U+0250 (fixed values of Unicode).
@@ -103,28 +102,34 @@ class Ids:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, piece, start, length, ids_crc32): whole documents up to the capacity; longer ones cut into full pieces, a shorter one first."""
-    names = [key, "piece", "start", "length", "ids_crc32"]
+    """(key, piece, start, length, ids_crc32, task, number): whole documents up to the capacity; longer ones cut into full pieces, a shorter one first.
+
+    number counts a task's pieces of one length from 0; the result must be written before the numbers are used.
+    """
+    names = [key, "piece", "start", "length", "ids_crc32", "task", "number"]
     last = np.array([end], "<u4").tobytes()
 
     def make():
         ids = Ids(tokenizer)
+        task = TaskContext.get().partitionId()
+        seen = [0] * (capacity + 1)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for k, data in zip(batch.column(0).to_pylist(), map(ids.encode, batch.column(1).to_pylist()), strict=True):
                 data += last
                 n = len(data) // 4
                 at, size, piece = 0, n % capacity or capacity, 0
                 while at < n:
-                    for column, v in zip(out, (k, piece, at, size, zlib.crc32(memoryview(data)[4 * at : 4 * (at + size)])), strict=True):
+                    for column, v in zip(out, (k, piece, at, size, zlib.crc32(memoryview(data)[4 * at : 4 * (at + size)]), seen[size]), strict=True):
                         column.append(v)
+                    seen[size] += 1
                     at, size, piece = at + size, capacity, piece + 1
-            return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names)
+            return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array([task] * len(out[0]), pa.int64()), pa.array(out[5], pa.int64())], names)
 
         return work
 
-    schema = f"{key} long, piece int, start long, length long, ids_crc32 long"
+    schema = f"{key} long, piece int, start long, length long, ids_crc32 long, task long, number long"
     return map_texts(docs.select(F.col(key).cast("long"), text_of(text).alias("text")), "text", make, schema)
 
 
@@ -197,21 +202,18 @@ def best_fit(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]
 def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
     """pieces with sequence_id and offset.
 
-    Pieces of one length are numbered in buckets of about NUMBERED rows, so a length that most pieces share
-    is spread over tasks. Repeated rows are packed as documents of their own; no rows give no rows.
+    A piece's number among all of its length is its number in its task plus the pieces of that length in the tasks
+    before, so neither a frequent length nor a repeated key gathers anywhere. Repeated rows are packed as
+    documents of their own; no rows give no rows.
     """
     spark = pieces.sparkSession
     pieces = saved(pieces, "pieces")
-    counts = pieces.groupBy("length").count().collect()  # at most `capacity` rows
+    sizes = saved(pieces.groupBy("length", "task").count(), "sizes")
+    counts = sizes.groupBy("length").agg(F.sum("count").alias("count")).collect()  # at most `capacity` rows
     runs, _ = best_fit({r["length"]: r["count"] for r in counts}, capacity)
-    buckets = max(1, sum(r["count"] for r in counts) // NUMBERED)
-    rows = pieces.withColumn("_b", F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)))
-    sizes = rows.groupBy("length", "_b").count()
-    before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_b").orderBy(key, "piece", "ids_crc32")
-    numbered = rows.withColumn("_n", F.row_number().over(within) - 1).join(bases, ["length", "_b"])
-    numbered = numbered.select(key, "piece", "start", "length", "ids_crc32", (F.col("_n") + F.col("_base")).alias("_n"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    numbered = pieces.join(bases, ["length", "task"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("base")).alias("number"))
     shared = spark.sparkContext.broadcast(runs)  # bounded by the capacity, not by the input
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +233,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Da
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every document's pieces with their places in as few sequences as best-fit decreasing finds.
 
-    A null text is empty: the end id alone. Null keys and repeated rows are documents of their own; other
-    columns are not read.
+    A null or empty text is the end id alone; very long texts are cut as a whole. Null keys, repeated rows and ties are
+    documents of their own; other columns are not read, whatever their names. An empty table gives no rows.
     """
     return pack(pieces_of(docs, tokenizer, capacity, end, text, key), capacity, key)
 
