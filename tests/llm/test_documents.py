@@ -14,7 +14,7 @@ import xxhash
 from arbordoc.llm import masked_lm, packing, quality, secret_scan, sentence_pieces, simhash, suffixes
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, piece string, bucket int, id int, fp int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, piece string, bucket int, id int, fp int, _text string, _n int, _score int, task int, number int, `key` long, node long, block long, score double"
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
 
 
@@ -23,7 +23,7 @@ def odd(spark):
     """Nulls, empty, repeated and long texts, clashing column names."""
     shared = "a passage of well over fifty bytes that several documents have in common: äöü! "
     texts = [(1, None), (2, ""), (3, "   "), (4, LONG), (5, LONG), (5, LONG), (6, shared + "with a tail of its own that is as long as the passage and a little longer than that"), (7, "head with many words which no other document of this little table has at all, " + shared), (8, shared * 3), (None, shared + LONG), (None, None), (9, "x" * 130_000), (10, "token=abcdef token%3Dabcdefgh1"), (11, LONG.replace("seven", "7")), (12, "日本語 " * 30), (13, "日本語 " * 31)]
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "p", 1, 2, 3) for i, t in texts], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "p", 1, 2, 3, "t", 1, 2, 3, 4, 5, 6, 7, 0.5) for i, t in texts], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +130,84 @@ def test_secrets_wrapped():
             assert any(end in x and x.replace(end, "") in code for x in hidden(f"see\n{lines}\n"))
 
 
+def _encoders():
+    """name -> (encode, whether spans map to single characters)."""
+    import bz2
+    import gzip
+    import io
+    import lzma
+    import zipfile
+
+    import zstandard
+
+    code = lambda data: base64.b64encode(data).decode()
+
+    def deflated(x):
+        c = zlib.compressobj(9, zlib.DEFLATED, -15)
+        return c.compress(x) + c.flush()
+
+    def archived(x):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("notes.txt", x)
+        return out.getvalue()
+
+    each = {"percent": lambda c: f"%{ord(c):02X}", "unicode": lambda c: f"\\u{ord(c):04x}", "bytes": lambda c: f"\\x{ord(c):02x}", "reference": lambda c: f"&#x{ord(c):x};", "decimal": lambda c: f"&#{ord(c)};"}
+    found = {k: ((lambda t, f=f: "".join(map(f, t))), f) for k, f in each.items()}
+    found["base64"] = (lambda t: code(t.encode()), None)
+    found["wide"] = (lambda t: code(t.encode("utf-16-le")), None)
+    for name, pack in (("gzip", gzip.compress), ("zlib", zlib.compress), ("bz2", bz2.compress), ("xz", lzma.compress), ("zstd", zstandard.compress), ("deflate", deflated), ("zip", archived)):
+        found[name] = (lambda t, pack=pack: code(pack(t.encode())), None)
+    return found
+
+
+ENCODERS = _encoders()
+
+
+@pytest.mark.parametrize("outer", ENCODERS)
+@pytest.mark.parametrize("inner", ENCODERS)
+def test_secrets_nested(inner, outer):
+    """Each pair of encodings: the secret is found, and its span covers its own signs, or the run that holds it."""
+    plain = "see also " + SECRET + " and more words"
+    once, each = ENCODERS[inner]
+    again, every = ENCODERS[outer]
+    text = "before " + again(once(plain)) + " after"
+    spans = {(a, b) for a, _, b in secret_scan.scan(text)[1]}
+    start, end = 7, 7 + len(again(once(plain)))
+    assert any(start <= a < b <= end for a, b in spans)
+    if each and every:  # every sign maps to its own signs in the text
+        at = 7 + len(again(once("see also ")))
+        assert (at, at + len(again(once(SECRET)))) in spans
+    elif every is None and outer not in ("base64", "wide"):
+        assert (start, end) in spans
+    elif each is None and inner not in ("base64", "wide"):  # escapes around packed data: the run as a whole
+        assert any(b - a >= (end - start) * 0.9 for a, b in spans)
+
+
+def test_secrets_odd_layers():
+    import gzip
+    import time
+
+    bomb = gzip.compress(gzip.compress(b"nothing"))
+    assert secret_scan.scan("x " + base64.b64encode(bomb).decode())[1] == set()
+    for text in ("%70%61%73%73%77%6F%72%64%3D%73%65%63%72%65%74%31%32%FF", "password%3D%FFabcdefgh", "password%3Dabcdefgh%FF"):
+        assert hidden(text), text
+    assert hidden("token%3Dabc%2541defgh") == {"token%3Dabc%2541defgh"}
+    for one, more, last in (("%", "25", "3D"), ("\\", "u005c", "u003d"), ("&", "#38;", "#61;")):
+        text = "password" + one + more * 30_000 + last + "abcdefgh"
+        began = time.time()
+        assert text in hidden(text)
+        assert time.time() - began < 5
+
+
+def test_secrets_cycle(monkeypatch):
+    """A layer that unpacks to itself is not taken up again."""
+    data = b"\x1f\x8b looped"
+    monkeypatch.setattr(secret_scan, "Unpacking", type("Loop", (), {"damaged": False, "refused": False, "__init__": lambda self, d: None, "__iter__": lambda self: iter([data])}))
+    run = base64.b64encode(data * 2).decode()
+    assert secret_scan.scan("see " + run)[1] == set()
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_packing(request, which):
     from tokenizers import Tokenizer
@@ -312,6 +390,13 @@ def test_quality(spark, odd):
     scored = quality.score_documents(odd, labels.limit(0)).collect()
     assert len(scored) == odd.count() and {r["score"] for r in scored} == {0.5}
     assert all(0 <= r["score"] <= 1 for r in quality.score_documents(odd, labels).collect())
+    known = spark.createDataFrame([(i, i % 2, 0) for i in (2, 4, 5, 6, 7, 8, 9)], labels.schema)
+    model = quality.fit(odd, known)
+    scores = {(r["doc_id"], r["score"]) for r in quality.score_documents(odd, known).collect()}
+    kept = quality.keep_good(odd, model)
+    assert kept.schema == odd.schema
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in quality.score_documents(odd, known).where("score >= 0.5").collect())
+    assert len({i for i, _ in scores}) == len({r["doc_id"] for r in odd.collect()})
 
 
 def test_factorisation_identity():
