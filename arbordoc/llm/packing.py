@@ -213,7 +213,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Da
     runs, _ = best_fit({r["length"]: r["count"] for r in counts}, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    numbered = pieces.join(bases, ["length", "task"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("base")).alias("number"))
+    numbered = pieces.join(bases.hint("merge"), ["length", "task"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("base")).alias("number"))
     shared = spark.sparkContext.broadcast(runs)  # bounded by the capacity, not by the input
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -265,8 +265,8 @@ def simhash_of(text, n, seed=42):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash(docs):
-    rows = [(i, simhash_of(t, 4)) for i, t in pairs(docs)]
+def grouped(rows, linked):
+    """row -> the least id it reaches."""
     root = {i: i for i, _ in rows}
 
     def find(i):
@@ -276,45 +276,40 @@ def test_simhash(docs):
 
     for a, x in rows:
         for b, y in rows:
-            if a < b and (x ^ y).bit_count() <= 4:
+            if a < b and linked(x, y):
                 lo, hi = sorted((find(a), find(b)))
                 root[hi] = lo
-    found = simhash.components(simhash.fingerprint_documents(docs), 4, 64, 3)
-    same([(r["doc_id"], r["fp"].hex(), r["component_id"]) for r in found.collect()], [(i, f"{x:016x}", find(i)) for i, x in rows])
+    return {i: find(i) for i in root}
 
 
-def test_simhash_links_all():
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_simhash(request, which):
+    df = request.getfixturevalue(which)
+    rows = [(i, simhash_of(t, 4)) for i, t in pairs(df)]
+    group = grouped([r for r in rows if r[0] is not None], lambda x, y: (x ^ y).bit_count() <= 4)
+    of_print = {x: group[i] for i, x in rows if i is not None}
+    found = simhash.components(simhash.fingerprint_documents(df), 4, 3)
+    same([(r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in found.collect()], [(i, x, of_print.get(x)) for i, x in rows])
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 40])
+def test_simhash_links_all(spark, monkeypatch, hot):
+    """Loose and dense groups, through small, large and twice-joined groups of variants."""
+    monkeypatch.setattr(simhash, "LARGE", 64)
     rng = np.random.default_rng(3)
-    for limit, words, n in ((4, 1, 3), (40, 4, 16)):
-        base = rng.integers(0, 1 << 63, (12, words), dtype=np.uint64)
-        fp = np.repeat(base, 60, axis=0)
-        for row in range(len(fp)):
-            for b in rng.integers(0, 64 * words, rng.integers(0, 4 if words == 1 else 12)).tolist():
-                fp[row, b // 64] ^= np.uint64(1 << (b % 64))
-        fp = np.unique(fp, axis=0)
-        ids, cuts = np.arange(len(fp)), simhash.segments_of(64 * words, n)
-        parts, values, rows = [], [], []
-        for i, (first, low, high) in enumerate(cuts):
-            for half, v in ((0, simhash.bits_of(fp, first, low)), (1, simhash.bits_of(fp, first + low, high))):
-                parts.append(np.full(len(fp), 2 * i + half))
-                values.append(v.astype(np.int64))
-                rows.append(ids)
-        rows = np.concatenate(rows)
-        got = simhash.links(np.concatenate(parts), np.concatenate(values), rows, fp[rows], cuts, limit)
-        near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= limit
-
-        def label(edges):
-            out = ids.copy()
-            for _ in range(len(ids)):
-                new = out.copy()
-                for a, b in edges:
-                    new[a] = new[b] = min(new[a], new[b])
-                if (new == out).all():
-                    return out.tolist()
-                out = new
-
-        assert len(got) == len(ids) - len(set(label(got.tolist())))
-        assert label(got.tolist()) == label(np.argwhere(near).tolist())
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    base = np.concatenate([base, base[:3] ^ np.uint64(0b111 << 40), base[:1] & np.uint64(0x3FFFFF) | np.uint64(5 << 50)])
+    fp = np.repeat(base, 90)
+    for row in range(len(fp)):
+        for b in rng.integers(0, 64, rng.integers(0, 5)).tolist():
+            fp[row] ^= np.uint64(1 << b)
+    loose = base[0] & np.uint64(0x1FFFFF) | rng.integers(0, 1 << 40, 300, dtype=np.uint64) << np.uint64(23)
+    fp = np.unique(np.concatenate([fp, loose]))
+    rows = list(enumerate(fp.tolist()))
+    want = grouped(rows, lambda x, y: (x ^ y).bit_count() <= 4)
+    df = spark.createDataFrame([(i, int(np.int64(np.uint64(x)))) for i, x in rows], "doc_id long, fp long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.components(df, 4, 3, hot=hot).collect()}
+    assert got == want and len(set(want.values())) > 5
 
 
 def test_keep_one(odd, docs):
@@ -328,7 +323,7 @@ def test_keep_one(odd, docs):
 
 def test_simhash_segments(docs):
     with pytest.raises(ValueError, match="segments"):
-        simhash.components(docs, 44, 256, 16)
+        simhash.components(docs, 8, 4)
 
 
 def test_keep_one_exact(spark):
@@ -354,6 +349,25 @@ def test_keep_one_exact(spark):
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(root)
 
 
+def test_keep_one_slices(spark):
+    """Bands larger than a task may hold: copies of one text, and chains that only far slices connect."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for group in range(3):
+        words = [f"w{group}x{i}" for i in range(120)]
+        for i in range(70):
+            other = list(words)
+            for at in rng.choice(24, (0, 2, 5)[group] if i else 0, replace=False).tolist():
+                other[at * 5 + 2] += f"y{i % 40}"
+            texts.append(" ".join([*other, f"tail{i}"]))
+    sets = [(i, {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for i, t in enumerate(texts)]
+    want = grouped(sets, lambda x, y: len(x & y) >= 0.8 * len(x | y))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (1024, 16):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, 0.8, 5, most=most).collect()} == want
+    assert len(set(want.values())) > 3
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_suffixes(request, which):
     df = request.getfixturevalue(which)
