@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved, table
+from .common import connected_components, saved, stars, table, tree_sum
 
 COSINE, LEADING = 0.93, 6
-#: Rows of a block, or so many that there are about MOST_BLOCKS blocks; rows of a tile.
-BLOCK, MOST_BLOCKS, TILE = 1024, 4096, 128
+#: Rows of a block and of a tile; blocks of a part of the order, which one task forms; children of an interval.
+BLOCK, TILE, BLOCKS, CHILDREN = 1024, 128, 32, 8
 #: Cosines this close to the threshold are computed again, exactly rounded.
 DOUBT = 1e-9
 
@@ -51,18 +51,16 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def principal(classes: DataFrame, dims: int, leading: int) -> np.ndarray:
-    """The leading principal directions of all unit vectors; sums of products are added up by Spark."""
+    """The leading principal directions of all unit vectors; sums of products are added up by Spark, in steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
         for batch in batches:
             x = unit(rows_of(batch.column(0), dims))
             total += x.T @ x
-        yield pa.record_batch([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "x"])
 
-    sums = classes.select("v").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    total = np.zeros(dims * dims)
-    total[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
+    total = tree_sum(classes.select("v").mapInArrow(run, "part long, x binary"))
     values, vectors = np.linalg.eigh(total.reshape(dims, dims))
     return np.ascontiguousarray(vectors[:, np.argsort(-values, kind="stable")[:leading]])
 
@@ -106,7 +104,10 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def compare(one: Block, two: Block | None, cosine: float, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, their numbers of links here, edges of a spanning forest) of two blocks, or within one."""
+    """(ids, their numbers of links here, edges of a spanning forest) of two blocks, or within one.
+
+    Links are counted tile by tile and of each tile only what connects is kept, so a dense block costs no more memory.
+    """
     ids, n = one.ids, one.n
     x, box, label, size = unit(one.x), one.box, one.label, one.size
     m = len(ids)
@@ -114,8 +115,9 @@ def compare(one: Block, two: Block | None, cosine: float, epsilon: float) -> tup
         ids, n, box, label, size = (np.concatenate([getattr(one, k), getattr(two, k)]) for k in ("ids", "n", "box", "label", "size"))
         x = np.concatenate([x, unit(two.x)])
     low = np.concatenate([label[:, None].astype(float), box], axis=1)
-    near: list[np.ndarray] = []
     raw = np.concatenate([one.x, two.x]) if two else one.x
+    links = np.zeros(len(ids), np.int64)
+    kept = [np.zeros((0, 2), np.int64)]
     for a, b, c, d in tiles(low, m, bool(two), epsilon):
         s = x[a:b] @ x[c:d].T
         for i, j in np.argwhere(np.abs(s - cosine) < DOUBT).tolist():
@@ -124,24 +126,11 @@ def compare(one: Block, two: Block | None, cosine: float, epsilon: float) -> tup
         if (a, b) == (c, d):
             hit &= np.arange(a, b)[:, None] < np.arange(c, d)
         if hit.any():
-            near.append(np.argwhere(hit) + [a, c])
-    links = np.zeros(len(ids), np.int64)
-    if not near:
-        return ids, links, np.zeros((0, 2), np.int64)
-    p = np.concatenate(near)
-    np.add.at(links, p[:, 0], n[p[:, 1]])
-    np.add.at(links, p[:, 1], n[p[:, 0]])
-    root = np.arange(len(ids))
-    while True:  # least index that each row reaches
-        new = root.copy()
-        np.minimum.at(new, p[:, 0], root[p[:, 1]])
-        np.minimum.at(new, p[:, 1], root[p[:, 0]])
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = np.flatnonzero(root != np.arange(len(ids)))
-    return ids, links, np.stack([ids[moved], ids[root[moved]]], axis=1)
+            links[a:b] += hit @ n[c:d]
+            links[c:d] += n[a:b] @ hit
+            kept.append(stars(np.argwhere(hit) + [a, c]))
+    p = stars(np.concatenate(kept))
+    return ids, links, np.stack([ids[p[:, 1]], ids[p[:, 0]]], axis=1)
 
 
 def tiles(low: np.ndarray, m: int, two: bool, epsilon: float) -> Iterator[tuple[int, int, int, int]]:
@@ -156,11 +145,44 @@ def tiles(low: np.ndarray, m: int, two: bool, epsilon: float) -> Iterator[tuple[
                 yield a, b, c, d
 
 
+def met_blocks(blocks: DataFrame, sides: int, parts: int, epsilon: float) -> DataFrame:
+    """(one, two): the pairs of blocks, one <= two, whose boxes are not provably apart.
+
+    The order's parts are the leaves of a tree of intervals, CHILDREN to a node. Starting from the whole order joined with
+    itself, each step joins a pair of intervals to the pairs of their children and drops those that are apart.
+    """
+    corner = lambda f, c: [f(F.col(c)[i]).alias(f"{c}{i}") for i in range(sides)]
+    every = [f"{c}{i}" for c in ("low", "high") for i in range(sides)]
+    boxes = saved(blocks.groupBy("part").agg(*corner(F.min, "low"), *corner(F.max, "high")), "boxes")
+    leaves = boxes.select(F.col("part").alias("node"), *every)
+    own = blocks.select("part", F.col("block").alias("node"), *(F.col(c)[i].alias(f"{c}{i}") for c in ("low", "high") for i in range(sides)))
+    gap = lambda i: F.greatest(F.lit(0.0), F.col(f"x_low{i}") - F.col(f"y_high{i}"), F.col(f"y_low{i}") - F.col(f"x_high{i}"))
+    near = (gap(0) == 0) & (sum((gap(i) * gap(i) for i in range(1, sides)), F.lit(0.0)) <= epsilon**2)
+
+    def refined(pairs: DataFrame, children: DataFrame) -> DataFrame:
+        """pairs (one, two) of intervals -> pairs of their children (parent, node, box)."""
+        side = lambda p, name: children.select(F.col("parent").alias(name), F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in every))
+        both = pairs.join(side("x", "one"), "one").join(side("y", "two"), "two")
+        return both.where(((F.col("one") != F.col("two")) | (F.col("x") <= F.col("y"))) & near).select(F.col("x").alias("one"), F.col("y").alias("two"))
+
+    depth = 0
+    while CHILDREN**depth < parts:
+        depth += 1
+    pairs = blocks.sparkSession.range(1).select(F.col("id").alias("one"), F.col("id").alias("two"))
+    for level in range(depth - 1, -1, -1):
+        width = CHILDREN**level
+        merged = leaves.groupBy((F.floor(F.col("node") / width)).alias("node")).agg(*(F.min(c).alias(c) for c in every if c.startswith("low")), *(F.max(c).alias(c) for c in every if c.startswith("high")))
+        pairs = saved(refined(pairs, merged.withColumn("parent", F.floor(F.col("node") / CHILDREN))), "intervals")
+    return refined(pairs, own.withColumnRenamed("part", "parent"))
+
+
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) of every row.
 
     Links join rows of one label (not null) and one number of dimensions whose cosine is at least `cosine`. Vectors that are
     null, zero or hold null or non-finite components, and rows without key or label, link with nothing and stand alone.
+    Repeated rows of a key count as vectors of their own; ties need no order. Other columns are not read, whatever
+    their names. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"), F.col(label).cast("long").alias("g"))
@@ -181,9 +203,8 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
 
     cells = [f"c{i}" for i in range(leading)]
     placed = classes.select("g", F.col("v").cast("array<double>").alias("v"), "id", "n").mapInArrow(place, "g long, v array<double>, id long, n long, at array<double>, " + ", ".join(f"{c} int" for c in cells))
-    size = max(BLOCK, count // MOST_BLOCKS)
     order = ["g", *cells, "id"]
-    parts = max(1, count // (8 * size))
+    parts = max(1, count // (BLOCKS * BLOCK))
     ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,27 +219,23 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
             low, high = ([float(f(g)), *f(at, axis=0).tolist()] for f in (np.min, np.max))
             sizes = pc.list_value_length(v).to_numpy(zero_copy_only=False).astype(np.int64)
             data = [x.tobytes() for x in (column("id").to_numpy(), column("n").to_numpy(), g, sizes, at, rows_of(v, dims))]
-            return pa.record_batch([pa.array([part << 33 | number], pa.int64()), pa.array([low]), pa.array([high]), *(pa.array([x], pa.binary()) for x in data)], ["block", "low", "high", "ids", "n", "labels", "sizes", "coordinates", "data"])
+            return pa.record_batch([pa.array([part], pa.int64()), pa.array([part << 33 | number], pa.int64()), pa.array([low]), pa.array([high]), *(pa.array([x], pa.binary()) for x in data)], ["part", "block", "low", "high", "ids", "n", "labels", "sizes", "coordinates", "data"])
 
         for batch in batches:
             while batch.num_rows:
-                head = batch.slice(0, size - n)
+                head = batch.slice(0, BLOCK - n)
                 batch = batch.slice(head.num_rows)
                 held.append(head)
                 n += head.num_rows
-                if n == size:
+                if n == BLOCK:
                     yield give(held, seq)
                     seq, held, n = seq + 1, [], 0
         if n:
             yield give(held, seq)
 
-    blob = "block long, low array<double>, high array<double>, ids binary, n binary, labels binary, sizes binary, coordinates binary, data binary"
+    blob = "part long, block long, low array<double>, high array<double>, ids binary, n binary, labels binary, sizes binary, coordinates binary, data binary"
     blocks = saved(ordered.mapInArrow(block, blob), "blocks")
-    boxes = blocks.select("block", "low", "high").toArrow().sort_by("block")  # about MOST_BLOCKS rows, whatever the input
-    low, high = (np.array(boxes.column(k).to_pylist()) for k in ("low", "high"))
-    number = boxes.column("block").to_numpy()
-    met = np.array([(number[a], number[c]) for a, _, c, _ in join_intervals(low, high, epsilon)], np.int64)
-    pairs = spark.createDataFrame(pa.table({"one": met[:, 0], "two": met[:, 1]})).repartition(max(8, len(met) // 4))
+    pairs = met_blocks(blocks, leading + 1, parts, epsilon)
     names = ["ids", "n", "labels", "sizes", "coordinates", "data"]
     side = lambda p, k: blocks.select(F.col("block").alias(k), F.struct(*names).alias(p))
     both = pairs.join(side("x", "one"), "one").join(side("y", "two"), "two").select("one", "two", "x", "y")

@@ -90,8 +90,8 @@ def test_links_sql(spark, duck):
 
 
 def test_links_odd(odd_vectors, monkeypatch):
-    monkeypatch.setattr(vector_copies, "BLOCK", 16)
-    monkeypatch.setattr(vector_copies, "TILE", 4)
+    for name, n in (("BLOCK", 8), ("TILE", 4), ("BLOCKS", 1), ("CHILDREN", 2)):
+        monkeypatch.setattr(vector_copies, name, n)
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in odd_vectors.collect()]
     for cosine in (0.93, 0.5):
         got = vector_copies.link_vectors(odd_vectors, cosine).collect()
@@ -99,6 +99,23 @@ def test_links_odd(odd_vectors, monkeypatch):
     assert vector_copies.link_vectors(odd_vectors.limit(0)).count() == 0
 
 
+def test_dense_block_memory():
+    """A block in which all rows are linked keeps a forest, not the links."""
+    rng = np.random.default_rng(3)
+    n, x = 1024, rng.normal(size=8) + rng.normal(size=(1024, 8)) * 1e-3
+    at = vector_copies.unit(x)[:, :2]
+    row = {"ids": np.arange(n), "n": np.ones(n, np.int64), "labels": np.ones(n, np.int64), "sizes": np.full(n, 8), "coordinates": np.ascontiguousarray(at), "data": x}
+    import tracemalloc
+
+    tracemalloc.start()
+    one = vector_copies.Block({k: v.tobytes() for k, v in row.items()})
+    ids, links, edges = vector_copies.compare(one, None, 0.93, 0.38)
+    assert set(links.tolist()) == {n - 1} and len(edges) == n - 1
+    ids, links, edges = vector_copies.compare(one, vector_copies.Block({k: (v + n if k == "ids" else v).tobytes() for k, v in row.items()}), 0.93, 0.38)
+    assert set(links.tolist()) == {n} and len(edges) == 2 * n - 1
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+
+
 def test_interval_join_loses_nothing():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 3)) * [1, 2, 1]
