@@ -40,15 +40,19 @@ def test_top_k_sql(spark, duck):
     assert sorted(map(tuple, got)) == sorted((q, r, v, s) for q, r, v, s in duck.execute(topk.SQL).fetchall())
 
 
-def test_top_k_odd(odd_vectors):
-    rows = [(r["vec_id"], [math.floor(64 * x) for x in r["embedding"]]) for r in odd_vectors.collect() if r["vec_id"] is not None and r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
+def test_top_k_odd(odd_vectors, monkeypatch):
+    rows = [(r["vec_id"], [math.floor(64 * x) for x in r["embedding"]]) for r in odd_vectors.unionByName(odd_vectors.where("vec_id in (0, 20, 21, 400)")).collect() if r["vec_id"] is not None and r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
     want = []
-    for q, v in rows:
+    for a, (q, v) in enumerate(rows):
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in rows if i != q)
+            scored = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i) for b, (i, w) in enumerate(rows) if a != b)
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:20])]
-    got = topk.top_k(odd_vectors).select("query_id", "rank", "vec_id", "score").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    repeated = odd_vectors.unionByName(odd_vectors.where("vec_id in (0, 20, 21, 400)"))
+    for block, part, group in ((topk.BLOCK, topk.PART, topk.GROUP), (16, (48, 48), (4, 4))):
+        for name, value in (("BLOCK", block), ("PART", part), ("GROUP", group)):
+            monkeypatch.setattr(topk, name, value)
+        got = topk.top_k(repeated).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(odd_vectors.limit(0)).count() == 0
 
 
@@ -57,10 +61,13 @@ def test_search_prunes_exactly():
     scale = np.exp(-np.arange(64) / 6)
     data, queries = (np.floor(rng.normal(size=(n, 64)) * scale * 40) for n in (3000, 70))
     ids, own = np.arange(3000) * 3, np.arange(70) * 3
-    for q, found, scores in topk.search(ids, data, own, queries, 20):
+    best = topk.Best(topk.Block(own, own, queries), 20)
+    for at in range(0, 3000, 700):
+        best.meet(topk.Block(ids[at : at + 700], ids[at : at + 700], data[at : at + 700]))
+    for q, found, scores in zip(own.tolist(), best.ids, best.scores, strict=True):
         s = data @ queries[q // 3]
         order = [i for i in np.lexsort((ids, -s)).tolist() if ids[i] != q][:20]
-        assert found.tolist() == ids[order].tolist() and scores.tolist() == s[order].astype(int).tolist()
+        assert found.tolist() == ids[order].tolist() and scores.tolist() == s[order].tolist()
 
 
 def brute_links(rows, cosine):
