@@ -32,18 +32,27 @@ def decode_varint(data: bytes, at: int = 0) -> tuple[int, int]:
 
 
 def varint(n: Column) -> Column:
-    """binary of a non-negative long column, by built-in functions."""
+    """binary of a non-negative long column: shifts and masks put the bytes in order into one long, whose hexadecimal is cut to size."""
     n = n.cast("long")
-    powers = F.array(*[F.lit(1 << (7 * k)).cast("long") for k in range(9)])
-    rest = F.transform(powers, lambda p: F.floor((n - F.pmod(n, p)).cast("decimal(20,0)") / p).cast("long"))
-    used = F.filter(rest, lambda r, i: (r > 0) | (i == 0))
-    part = F.transform(used, lambda r, i: F.lpad(F.hex(F.pmod(r, F.lit(128)) + F.when(i + 1 < F.size(used), 128).otherwise(0)), 2, "0"))
-    return F.unhex(F.array_join(part, ""))
+    group = lambda k, more: F.shiftright(n, 7 * k).bitwiseAND(0x7F).bitwiseOR(0x80 if more else 0)
+
+    def packed(count: int, more: bool) -> Column:
+        """The first `count` bytes, at most eight, as an integer, the first one on top; more: another byte follows them."""
+        total = group(0, count > 1 or more)
+        for k in range(1, count):
+            total = F.shiftleft(total, 8).bitwiseOR(group(k, k + 1 < count or more))
+        return F.lpad(F.hex(total), 2 * count, "0")
+
+    out = F.concat(packed(8, True), F.lpad(F.hex(group(8, False)), 2, "0"))
+    for count in range(8, 0, -1):
+        out = F.when(n < F.lit(1 << 7 * count), packed(count, False)).otherwise(out)
+    return F.unhex(out)
 
 
 def unvarint(data: Column) -> Column:
     """long of a binary column that holds one varint of up to nine bytes."""
-    from .letters import byte_values
-
-    powers = F.array(*[F.lit(1 << (7 * k)) for k in range(9)])
-    return F.aggregate(F.transform(byte_values(data), lambda b, i: (b % 128).cast("long") * F.get(powers, i)), F.lit(0).cast("long"), lambda a, x: a + x)
+    text, out = F.hex(data), F.lit(0).cast("long")
+    for k in range(9):
+        byte = F.conv(F.substring(text, 2 * k + 1, 2), 16, 10).cast("long")
+        out = out.bitwiseOR(F.when(F.octet_length(data) > k, F.shiftleft(byte.bitwiseAND(0x7F), 7 * k)).otherwise(F.lit(0).cast("long")))
+    return out

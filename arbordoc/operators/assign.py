@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -10,8 +11,8 @@ from ..plans.patterns import matches_whole
 from ..plans.schema import Entry, Member, Schema
 from ..sources.parser import Compound, Document, Error
 
-#: Nesting beyond this is not assigned; a resource limit, not an error of the document.
-DEEPEST = 256
+#: Frames for the walk down a document; calls from Python to Python take no C stack, so nesting has no other limit than memory.
+FRAMES = 5_000_000
 
 
 @dataclass(slots=True)
@@ -30,26 +31,23 @@ class Element:
     unknown: list[Element] = field(default_factory=list)  # compounds without a type
 
 
-class TooDeep(Exception):
-    pass
-
-
 class Assigner:
     """validators: None skips validation altogether; names it does not know fail. codecs: None skips encodings."""
 
-    def __init__(self, schema: Schema, validators: Mapping[str, Validator] | None = BUILT_IN_VALIDATORS, codecs: Codecs | None = None, deepest: int = DEEPEST):
-        self.schema, self.validators, self.codecs, self.deepest = schema, validators, codecs, deepest
+    def __init__(self, schema: Schema, validators: Mapping[str, Validator] | None = BUILT_IN_VALIDATORS, codecs: Codecs | None = None):
+        self.schema, self.validators, self.codecs = schema, validators, codecs
         self.errors: list[Error] = []
 
     def assign(self, doc: Document) -> Element:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
         root = Element("", None, None, "struct", "", compound=doc.root)
-        self.fill(root, doc.root, 0)
+        self.fill(root, doc.root)
         return root
 
     def error(self, code: str, start: int, end: int | None = None) -> None:
         self.errors.append(Error(code, start, start if end is None else end))
 
-    def child(self, c: Compound, entry: Entry, order: int, depth: int) -> Element:
+    def child(self, c: Compound, entry: Entry, order: int) -> Element:
         e = Element(c.keyword, entry.index, entry.member, entry.kind, entry.type, start=c.start, source_ord=order, compound=c)
         end = c.start + len(c.keyword)
         inner = next(c.children(), None)
@@ -64,12 +62,10 @@ class Assigner:
             e.text = c.atoms[0].text if c.atoms else ""
             self.scalar(e)
         elif e.kind == "struct":
-            if depth >= self.deepest:
-                raise TooDeep(f"nesting exceeds {self.deepest} levels")
-            self.fill(e, c, depth + 1)
+            self.fill(e, c)
         return e
 
-    def fill(self, e: Element, c: Compound, depth: int) -> None:
+    def fill(self, e: Element, c: Compound) -> None:
         struct = self.schema.struct(e.type)
         filled: list[list[Element]] = [[] for _ in struct.members]
         order = self.atoms(c, struct.members, e.type, filled)
@@ -88,7 +84,7 @@ class Assigner:
                     self.error("E309", child.start, end)
                 left.add(last)
                 last = entry.member
-            filled[entry.member].append(self.child(child, entry, order, depth))
+            filled[entry.member].append(self.child(child, entry, order))
             order += 1
         self.members(e, c, struct.members, filled)
         e.children = [x for own in filled for x in own]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.registry import BUILT_IN_VALIDATORS, Codecs, Validator
-from ..operators.assign import Assigner, TooDeep, walk
+from ..operators.assign import Assigner, walk
 from ..operators.binary import BinaryError, decode_document, encode_root
 from ..operators.canonical import canonical_text
 from ..plans.schema import Schema
@@ -135,10 +135,7 @@ def elements(df: DataFrame, schema: Schema) -> DataFrame:
 
     def rows(_, __, d: Document, ___):
         a = Assigner(schema, None)
-        try:
-            root = a.assign(d)
-        except TooDeep:
-            return
+        root = a.assign(d)
         types = {}
         for e, n, parent, depth, order in walk(root):
             types[n] = e.type
@@ -152,10 +149,7 @@ def errors(df: DataFrame, schema: Schema, validators: Mapping[str, Validator] |
 
     def rows(_, __, d: Document, extra: list[Error]):
         a = Assigner(schema, validators, Codecs(codecs) if codecs is not None else None)
-        try:
-            a.assign(d)
-        except TooDeep as e:
-            yield "depth", 0, 0, str(e)
+        a.assign(d)
         for e in sorted([*extra, *d.errors, *a.errors], key=lambda e: (e.start, e.end, e.code)):
             yield e.code, e.start, e.end, MESSAGES.get(e.code)
 
@@ -170,7 +164,7 @@ def encode_documents(df: DataFrame, schema: Schema, codecs: Mapping | None = Non
         try:
             root = a.assign(d)
             yield (None, min(e.code for e in (*d.errors, *a.errors))) if a.errors or d.errors else (encode_root(root, schema, Codecs(codecs or {})), None)
-        except (TooDeep, ValueError) as e:
+        except ValueError as e:
             yield None, str(e)
 
     return _map(df, BINARY, rows, schema)

@@ -261,13 +261,13 @@ class Parser:
         else:
             at = self.indent_of(content)
             self.errors.append(Error("E104", start + at, start + at + len(PRAGMA)))
-        rank = 0
+        rank, faults = 0, set()  # a fault of the pragma line is recorded once, however many phrases have it
         for k, (_, phrase) in enumerate(phrases):
             form = self.form(phrase, k + 1 == len(phrases))
             if form == 0:
-                self.errors.append(Error("E121", start, end))
+                faults.add("E121")
             elif form < rank or form == rank and form != 2:
-                self.errors.append(Error("E122", start, end))
+                faults.add("E122")
             else:
                 rank = form
                 if form == 1:
@@ -279,7 +279,8 @@ class Parser:
                 elif phrase in SIGILS:
                     pragma.sigil = doc.sigil = phrase
                 else:
-                    self.errors.append(Error("E105", start, end))
+                    faults.add("E105")
+        self.errors += [Error(code, start, end) for code in sorted(faults)]
 
     @staticmethod
     def form(phrase: str, final: bool) -> int:
@@ -412,7 +413,7 @@ class Parser:
         compound = self.compound(trimmed, at)
         row = top.block.offsets is not None
         if row:
-            self.check_row(trimmed, at, len(content) - len(body) - self.margin, top.block.offsets)
+            self.check_row(body, at, len(content) - len(body) - self.margin, top.block.offsets)
         top.block.compounds.append(compound)
         top.previous = "row" if row else "compound"
         return i + 1 if row else self.block_atoms(compound, i + 1, indent)
@@ -462,16 +463,20 @@ class Parser:
         return out
 
     def check_row(self, body: str, at: int, shift: int, offsets: list[int]) -> None:
+        used = len(body.rstrip(" "))
         for run in re.finditer("  +", body):
-            if self.introduces_remark(body, run.end()):
+            if run.end() < len(body) and self.introduces_remark(body, run.end()):
                 break
             end = run.end() + shift
+            if run.start() >= used:  # trailing spaces end at no column either
+                self.errors.append(Error("E117", at + run.start(), at + run.end()))
+                break
             if end not in offsets[1:]:
                 self.errors.append(Error("E117", at + run.start(), at + run.end()))
                 continue
             column = offsets.index(end, 1)
             stop = body.find("  ", run.end())
-            width = (len(body) if stop < 0 else stop) - run.end()
+            width = (used if stop < 0 else stop) - run.end()
             if column + 1 < len(offsets) and width > offsets[column + 1] - end - 2:
                 self.errors.append(Error("E118", at + run.end(), at + run.end() + width))
 
@@ -491,6 +496,10 @@ class Parser:
             else:
                 if have:
                     self.errors.append(Error("E114", start, start + len(raw)))
+                    opening = self.line(i).rstrip(" ")
+                    if all(self.raw(k).rstrip("\r") != opening for k in range(i + 1, self.n)):
+                        i += 1  # a duplicate that nothing closes is its opening line alone
+                        continue
                 atom, i = self.literal_atom(i)
             if not have:
                 compound.atoms.append(atom)
