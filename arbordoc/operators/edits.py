@@ -23,6 +23,9 @@ from .assign import Assigner, Element
 from .canonical import atom_form, delimiter, inline_safe, source_safe
 
 
+OPERATIONS = ("update-value", "attach-remark", "remove-remark", "delete", "replace", "set-flag", "unset-flag", "insert", "insert-before", "insert-after", "insert-into-block", "reorder-within-group", "reorder-groups", "resize-tabulation")
+
+
 class Refused(ValueError):
     def __init__(self, code: str):
         super().__init__(code)
@@ -46,17 +49,23 @@ class Edit:
 
     @classmethod
     def from_json(cls, text: str, timestamp: int = 0, agent: str = "") -> Edit:
-        d = json.loads(text)
-        return cls(**{**d, "path": tuple(map(tuple, d.get("path", []))), "timestamp": timestamp, "agent": agent})
+        """ValueError where the text is not an edit."""
+        try:
+            d = json.loads(text)
+            edit = cls(**{**d, "path": tuple((int(b), int(c)) for b, c in d.get("path", [])), "timestamp": int(timestamp), "agent": str(agent)})
+        except (TypeError, AttributeError, json.JSONDecodeError) as e:
+            raise ValueError(f"not an edit: {text}") from e
+        if edit.op not in OPERATIONS:
+            raise ValueError(f"no such edit: {edit.op}")
+        return edit
 
 
 def find(doc: Document, path) -> Compound:
     at = doc.root
-    try:
-        for b, c in path:
-            at = at.blocks[b].compounds[c]
-    except IndexError as e:
-        raise Refused("unresolved") from e
+    for b, c in path:
+        if not (0 <= b < len(at.blocks) and 0 <= c < len(at.blocks[b].compounds)):
+            raise Refused("unresolved")
+        at = at.blocks[b].compounds[c]
     return at
 
 
@@ -108,12 +117,36 @@ def depth_of(root: Compound, target: Compound) -> int:
     return 0
 
 
+class Kept:
+    """What an edit may change: the compounds down its path with their atoms and blocks, and the rows of a table that is resized."""
+
+    def __init__(self, doc: Document, edit: Edit):
+        at, nodes = doc.root, [doc.root]
+        for b, c in edit.path:
+            if not (0 <= b < len(at.blocks) and 0 <= c < len(at.blocks[b].compounds)):
+                break
+            at = at.blocks[b].compounds[c]
+            nodes.append(at)
+        self.nodes = [(c, list(c.atoms), c.remark, list(c.blocks)) for c in nodes]
+        self.blocks = [(b, list(b.comments), b.offsets, list(b.headings), list(b.compounds), b.blanks) for c in nodes[-2:] for b in c.blocks]
+        self.spaces = [(a, a.spaces) for b in at.blocks for c in b.compounds for a in c.atoms] if edit.op == "resize-tabulation" else []
+
+    def restore(self) -> None:
+        for c, atoms, remark, blocks in self.nodes:
+            c.atoms, c.remark, c.blocks = atoms, remark, blocks
+        for b, comments, offsets, headings, compounds, blanks in self.blocks:
+            b.comments, b.offsets, b.headings, b.compounds, b.blanks = comments, offsets, headings, compounds, blanks
+        for a, spaces in self.spaces:
+            a.spaces = spaces
+
+
 class Editor:
     """Applies edits to one document under a schema (None: without checks)."""
 
     def __init__(self, doc: Document, schema: Schema | None):
         self.doc, self.schema = doc, schema
         self.fresh = -1
+        self.known: Counter | None = None  # the document's errors as it stands
 
     def codes(self) -> Counter:
         if self.schema is None:
@@ -124,14 +157,17 @@ class Editor:
 
     def apply(self, edit: Edit) -> None:
         """Refused leaves the document as it was; an edit that changes nothing succeeds."""
-        before, kept = self.codes(), copy.deepcopy(self.doc)
+        if self.known is None:
+            self.known = self.codes()
+        kept = Kept(self.doc, edit)
         try:
             self.change(edit)
-            if worse := self.codes() - before:
+            after = self.codes()
+            if worse := after - self.known:
                 raise Refused(min(worse))
-        except (Refused, IndexError) as e:
-            for name in ("directive", "pragma", "root"):
-                setattr(self.doc, name, getattr(kept, name))
+            self.known = after
+        except (Refused, IndexError, TypeError) as e:
+            kept.restore()
             raise e if isinstance(e, Refused) else Refused("unresolved") from e
 
     def made(self, edit: Edit) -> Compound:
@@ -421,21 +457,35 @@ def _path(doc: Document, identity: int | None, given) -> tuple[tuple[int, int],
     raise Refused("unresolved")
 
 
+MERGED = "source_id string, text string, applied int, demoted int, malformed int, status string"
+
+
 def merge_sources(docs: DataFrame, edits: DataFrame, schema: Schema | None) -> DataFrame:
-    """(source_id, text, applied, demoted) of single-document sources and their edits (source_id, timestamp, agent, edit json).
+    """(source_id, text, applied, demoted, malformed, status) of single-document sources and their edits (source_id, timestamp, agent, edit json).
 
-    Edits meet their document in one group, as the fold needs them in order; a group is one document's edits.
+    Edits meet their document in one group, as the fold needs them in order; a group is one document's edits. An edit without
+    timestamp or agent, or that is not one, is malformed and passed over. status: merged; no document, for edits whose
+    source is absent; repeated source, for each row of sources that share an id, whose text stays as it is. A null text is empty.
     """
 
     def fold(key, doc: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
-        if doc.empty:
-            return pd.DataFrame({"source_id": [], "text": [], "applied": [], "demoted": []})
-        d = parse(doc["text"].iloc[0] or "")
-        es = [Edit.from_json(r.edit, int(r.timestamp), r.agent) for r in ops.itertuples()]
-        lost = merge(d, es, schema)
-        return pd.DataFrame({"source_id": [key[0]], "text": [write(d)], "applied": [len(es) - len(lost)], "demoted": [len(lost)]})
-
-    return docs.select("source_id", "text").groupBy("source_id").cogroup(edits.groupBy("source_id")).applyInPandas(fold, "source_id string, text string, applied int, demoted int")
+        good, bad = [], 0
+        for r in ops.itertuples():
+            try:
+                if pd.isna(r.timestamp) or pd.isna(r.agent) or pd.isna(r.edit):
+                    raise ValueError("incomplete")
+                good.append(Edit.from_json(r.edit, int(r.timestamp), r.agent))
+            except ValueError:
+                bad += 1
+        if len(doc) != 1:
+            rows = [(key[0], t, 0, len(good), bad, "repeated source") for t in doc["text"]] or [(key[0], None, 0, len(good), bad, "no document")]
+        else:
+            d = parse(doc["text"].iloc[0] or "")
+            lost = merge(d, good, schema)
+            rows = [(key[0], write(d), len(good) - len(lost), len(lost), bad, "merged")]
+        return pd.DataFrame(rows, columns=["source_id", "text", "applied", "demoted", "malformed", "status"])
+
+    return docs.select("source_id", "text").groupBy("source_id").cogroup(edits.groupBy("source_id")).applyInPandas(fold, MERGED)
 
 
 def last_writes(updates: DataFrame, key: str = "source_id", value: str = "value") -> DataFrame:

@@ -145,3 +145,49 @@ def problems(text: str, schema: Schema | None) -> Iterator[str]:
         found = d.errors + (assign(d, schema)[1] if schema else [])
         for e in sorted(found, key=lambda e: (e.start, e.end, e.code)):
             yield f"{i} [{e.start},{e.end}) {e.code} {MESSAGES.get(e.code, '')}".rstrip()
+
+
+def chain_at(doc: Document, offset: int) -> list[Compound]:
+    """The compounds around an offset, outermost first: at each level the last one that starts at or before it."""
+    out: list[Compound] = []
+    at = doc.root
+    while (inner := [c for c in at.children() if c.start <= offset]):
+        at = max(inner, key=lambda c: c.start)
+        out.append(at)
+    return out
+
+
+def every_compound(root: Compound) -> Iterator[Compound]:
+    work = [root]
+    while work:
+        c = work.pop()
+        yield c
+        work += list(c.children())[::-1]
+
+
+def word_at(text: str, offset: int) -> str:
+    """The run of characters without spaces and line ends around an offset."""
+    begin = max(text.rfind(" ", 0, offset), text.rfind("\n", 0, offset)) + 1
+    ends = [x for x in (text.find(" ", offset), text.find("\n", offset)) if x >= 0]
+    return text[begin : min(ends, default=len(text))]
+
+
+#: (ranges, keywords, highlights, completions, description, definition), as the columns of documents.positions.
+Position = tuple[list[int], list[str], list[int], list[str], str | None, int | None]
+
+
+def position(text: str, offset: int, schema: Schema) -> Position:
+    """What a tool shows at an offset of a document.
+
+    ranges: starts of the compounds around it, outermost first; highlights: starts of all compounds with the innermost one's
+    keyword; completions: keywords that may stand beside the innermost one; description: its field's; definition: where
+    the type that the word names is declared, in a schema document.
+    """
+    doc = parse(text, schema.admits)
+    around = chain_at(doc, offset)
+    keywords = [c.keyword for c in around]
+    every = list(every_compound(doc.root))[1:]
+    word = word_at(text, offset)
+    declared = next((c.start for c in every if c.keyword in ("record", "scalar", "select") and c.atoms and c.atoms[0].text == word and list(c.children())), None)
+    highlights = [c.start for c in every if keywords and c.keyword == keywords[-1]]
+    return [c.start for c in around], keywords, sorted(highlights), completions(schema, keywords[:-1]), describe(schema, keywords) if keywords else None, declared

@@ -41,6 +41,18 @@ def same_path(a: str, b: str) -> bool:
     return components(a) == components(b)
 
 
+def components_column(path: Column) -> Column:
+    """The components of a path column; null where it is no path."""
+    parts = F.when(F.length(path) > 1, F.split(F.substring(path, 2, 1 << 30), F.concat(F.lit("\\Q"), F.substring(path, 1, 1), F.lit("\\E")))).otherwise(F.array().cast("array<string>"))
+    good = F.substring(path, 1, 1).isin(*DELIMITERS) & ~F.contains(path, F.lit("\n")) & ~F.contains(path, F.lit("\r")) & ~F.array_contains(parts, "")
+    return F.when(good, parts)
+
+
+def same_path_column(a: Column, b: Column) -> Column:
+    """Whether two path columns have the same components; null where one is no path."""
+    return components_column(a) == components_column(b)
+
+
 @dataclass(frozen=True)
 class Step:
     """child: the single child of a keyword; all: the occurrences of one; index and key select among occurrences."""

@@ -1,13 +1,14 @@
 """From a document's pragma to its composed schema: built in, cached, known components, fetched, or failed.
 
-Resolution runs on the driver over the distinct identifiers of a corpus; the result is broadcast back by a join.
+Resolution runs in tasks over the distinct identifiers of a corpus; the answers come back by a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +108,17 @@ class Resolver:
             return self.by_signature(wanted)
         return self.by_reference(wanted)
 
+    def identity(self, wanted: Identifier) -> str:
+        """What a resolved identifier stands for: a signature's letters, or a built-in reference. Unresolved otherwise."""
+        schema = self.resolve(wanted)
+        if wanted.signature or schema is META:
+            return wanted.signature or wanted.reference or ""
+        return next(sign for sign, known in self.cache.items() if known is schema)
+
+    def schema(self, identity: str) -> Schema:
+        """The schema of an identity that this resolver, or one with the same library, gave."""
+        return self.resolve(Identifier(reference=identity) if identity in self.built_in else Identifier(signature=identity))
+
     def by_signature(self, wanted: Identifier) -> Schema:
         stack = from_letters(wanted.signature or "")
         hashes = unstack(stack, self.library)
@@ -167,20 +179,25 @@ class Resolver:
         return schema, sign, in_declaration_order(known.schema, layers)
 
 
-def resolve_documents(documents: DataFrame, resolver: Resolver) -> tuple[DataFrame, dict[str, Schema]]:
-    """documents with schema_id and resolution, and the schemas by id. Only distinct identifiers reach the driver."""
-    spark = documents.sparkSession
+def resolve_documents(documents: DataFrame, resolver: Resolver) -> DataFrame:
+    """documents with schema_id (Resolver.schema gives the schema) and resolution: resolved, untyped or an error's kind.
+
+    The resolver goes to the tasks, which resolve each distinct identifier once; the answers come back by a join on the
+    identifier. Nothing reaches the driver.
+    """
     keys = ["reference", "layers", "signature"]
-    rows, schemas = [], {}
-    for r in documents.select(*keys).distinct().where("reference IS NOT NULL OR signature IS NOT NULL").collect():
-        wanted = Identifier(r["reference"], tuple(r["layers"] or ()), r["signature"])
-        try:
-            schema = resolver.resolve(wanted)
-            sid = f"schema-{len(schemas)}"
-            schemas[sid] = schema
-            rows.append((r["reference"], r["layers"], r["signature"], sid, "resolved"))
-        except Unresolved as e:
-            rows.append((r["reference"], r["layers"], r["signature"], None, e.kind))
-    found = spark.createDataFrame(rows, "reference string, layers array<string>, signature string, schema_id string, resolution string")
-    joined = documents.join(F.broadcast(found), [documents[k].eqNullSafe(found[k]) for k in keys], "left")
-    return joined.select(*(documents[c] for c in documents.columns), "schema_id", F.coalesce("resolution", F.lit("untyped")).alias("resolution")), schemas
+    distinct = documents.select(*keys).distinct().where("reference IS NOT NULL OR signature IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for reference, layers, sign in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    found.append((resolver.identity(Identifier(reference, tuple(layers or ()), sign)), "resolved"))
+                except Unresolved as e:
+                    found.append((None, e.kind))
+            yield pa.record_batch([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], [*keys, "schema_id", "resolution"])
+
+    found = distinct.mapInArrow(run, "reference string, layers array<string>, signature string, schema_id string, resolution string")
+    joined = documents.join(found, [documents[k].eqNullSafe(found[k]) for k in keys], "left")
+    return joined.select(*(documents[c] for c in documents.columns), "schema_id", F.coalesce("resolution", F.lit("untyped")).alias("resolution"))

@@ -5,83 +5,24 @@ Tables are rendered to tree documents by column expressions, then parsed, typed,
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
 from dataclasses import replace
-from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashes, letters, varints
 from .functions.registry import DECIMAL_VARINT
 from .operators import canonical, checks, edits, reports
-from .operators.assign import assign
 from .plans.compose import compose
 from .plans.paths import member_column, select_path
 from .plans.resolve import Resolver, resolve_documents
-from .plans.schema import META, Layer, Member, Scalar, Schema, Select, Struct, Variant, catalog, construct
+from .plans.schema import Layer, Member, Scalar, Schema, Select, Struct, Variant, catalog
+from .query_base import as_documents, body, day, field, grouped, key_of, load, query
 from .sources import documents as D
-from .sources.parser import PRAGMA, parse
-from .streaming.documents import shared_folder, stream_table, write_stream
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@cache
-def schema_of(text: str) -> Schema:
-    """A schema from its own document, layers applied."""
-    doc = parse(text)
-    root, errors = assign(doc, META)
-    schema, faults = compose(construct(root))
-    if doc.errors or errors or faults:
-        raise ValueError(f"bad schema: {doc.errors} {errors} {faults}")
-    return schema
-
-
-def body(name: str, *fields: str, before: str = "") -> Schema:
-    lines = "\n".join(f"  {x}" for x in fields)
-    return schema_of(f"{PRAGMA} 1.0\n\nname {name}\n{before}\ndocument\n{lines}\n")
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def field(keyword: str, value: Column, depth: int = 0) -> Column:
-    """A member's lines; null where the value is null."""
-    return F.when(value.isNotNull(), canonical.lines_of(F.lit("  " * depth), F.lit(keyword), value.cast("string")))
-
-
-def as_documents(df: DataFrame, key: str, *lines: Column) -> DataFrame:
-    return df.select(F.col(key).cast("string").alias("source_id"), F.concat(F.concat_ws("\n", F.lit(f"{PRAGMA} 1.0"), *lines), F.lit("\n")).alias("text"))
-
-
-def grouped(df: DataFrame, key: str, line: Column, *order: str) -> DataFrame:
-    """(source_id, text): one document per key, its rows' lines in order."""
-    lines = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
-    text = F.concat(F.lit(f"{PRAGMA} 1.0\n"), F.array_join(F.transform(lines, lambda x: x["_line"]), "\n"), F.lit("\n"))
-    return df.groupBy(key).agg(text.alias("text")).select(F.col(key).cast("string").alias("source_id"), "text")
-
-
-def key_of(name: str) -> Column:
-    return F.col("source_id").cast("long").alias(name)
-
-
-def day(name: str) -> Column:
-    return F.date_format(name, "yyyy-MM-dd")
-
+from .sources import schemas as S
+from .sources.parser import PRAGMA
+from .sources.storage import new_path, saved
+from .streaming.documents import stream_table, write_stream
 
 PART = body("part", "field name String", "field brand String", "field type String", "field size String", "field price String")
 
@@ -141,7 +82,7 @@ def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeat_e308(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = body("customer", "field order String optional", "field count String optional")
     o = load(spark, sf_dir, "orders")
-    e = D.elements(grouped(o, "o_custkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), "o_orderkey"), s)
+    e = saved(D.elements(grouped(o, "o_custkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), "o_orderkey"), s))
     bad = checks.repeated_members(e, s)
     n = checks.known(e).groupBy("source_id").agg(F.count("*").alias("n"))
     return bad.join(n, "source_id").select(key_of("o_custkey"), "n")
@@ -153,7 +94,7 @@ def required_e307(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = load(spark, sf_dir, "orders").select("o_orderkey"), load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     lines = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("line "), n.cast("string"))), "\n").alias("t"))
     docs = as_documents(o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left"), "o_orderkey", F.col("t"))
-    return checks.missing_required(D.elements(docs, s), s).select(key_of("o_orderkey"))
+    return checks.missing_required(saved(D.elements(docs, s)), s).select(key_of("o_orderkey"))
 
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -258,61 +199,74 @@ def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.keyword_order(m, none).select("type_name", "keyword", "keyword_ix")
 
 
-REGION = body(
-    "region",
+CUSTOMER = body(
+    "customer",
     "field name String",
-    "field nation Nation optional repeatable",
-    before="\nrecord Customer\n  field key Identifier key\n  field name String\n  field segment String\n\nrecord Nation\n  field key Identifier key\n  field name String\n  field customer Customer optional repeatable\n",
+    "field segment String",
+    "field tier String\n    default  basic",
+    "field nation Nation repeatable",
+    "field order Order optional repeatable",
+    "field comment String optional",
+    before="\nrecord Nation\n  field name String\n\nrecord Order\n  field key Identifier key\n  field status String\n  field priority String optional\n",
 )
 
 
-def region_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per region: nations by key, each with its customers."""
-    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    pad = F.lit("  ")
-    lines = F.concat_ws("\n", F.concat(pad, F.lit("customer c"), F.col("c_custkey").cast("string")), field("name", F.col("c_name"), 2), field("segment", F.col("c_mktsegment"), 2))
-    of_nation = c.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", lines.alias("t")))), lambda x: x["t"]), "\n").alias("customers"))
-    nation = F.concat_ws("\n", F.concat(F.lit("nation n"), F.col("n_nationkey").cast("string")), field("name", F.col("n_name"), 1), F.col("customers"))
-    joined = n.join(of_nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    of_region = joined.groupBy("r_regionkey", "r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", nation.alias("t")))), lambda x: x["t"]), "\n").alias("nations"))
-    return as_documents(of_region, "r_regionkey", field("name", F.col("r_name")), F.col("nations"))
+def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per customer: the orders by key; a comment in every third, a tier in every second."""
+    c, n = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), load(spark, sf_dir, "nation")
+    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    lines = F.concat_ws("\n", F.concat(F.lit("order o"), F.col("o_orderkey").cast("string")), field("status", F.col("o_orderstatus"), 1), field("priority", F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")), 1))
+    orders = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", lines.alias("t")))), lambda x: x["t"]), "\n").alias("orders"))
+    k = F.col("c_custkey")
+    joined = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(orders, k == F.col("o_custkey"), "left")
+    nation = F.concat(F.lit("nation\n"), field("name", F.col("n_name"), 1))
+    return as_documents(joined, "c_custkey", field("name", F.col("c_name")), field("segment", F.col("c_mktsegment")), F.when(k % 2 == 0, F.lit("tier gold")), nation, F.col("orders"), F.when(k % 3 == 0, F.lit("comment  seen before")))
 
 
-@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)
-    SELECT CAST(n_regionkey AS BIGINT) AS r_regionkey, n_name AS name FROM n WHERE i = 2""")
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
+    SELECT o_custkey, o_orderstatus AS status FROM o WHERE i = 2""")
 def path_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = select_path(D.elements(region_documents(spark, sf_dir), REGION), "/nation/2/name", REGION)
-    return found.where("status = 'element'").select(key_of("r_regionkey"), F.col("text").alias("name"))
+    found = D.paths(customer_documents(spark, sf_dir), CUSTOMER, {"third": "/order/2/status"})
+    return found.where("status = 'element'").select(key_of("o_custkey"), F.col("text").alias("status"))
 
 
-@query("""SELECT CAST(n_regionkey AS BIGINT) AS r_regionkey, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS occurrence, 'c' || c_custkey AS key FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey = 7""")
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
+    SELECT c_custkey, CASE WHEN o_custkey IS NULL THEN 'index out of range' ELSE 'element' END AS status, o_orderstatus AS text FROM customer LEFT JOIN o ON o_custkey = c_custkey AND i = 2""")
+def path_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same path as equi-joins by parent over elements that are written once."""
+    e = saved(D.elements(customer_documents(spark, sf_dir), CUSTOMER), "elements")
+    return select_path(e, "/order/2/status", CUSTOMER).select(key_of("c_custkey"), "status", "text")
+
+
+@query("""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS INTEGER) AS occurrence, 'l' || l_linenumber AS key FROM lineitem""")
 def path_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All customers of one nation, selected by key; other regions' documents have no such nation."""
-    e = D.elements(region_documents(spark, sf_dir), REGION)
-    found = select_path(e, ":nation:n7:customer", REGION).where("status = 'occurrences' AND elem_id IS NOT NULL")
-    return found.join(e.select("source_id", "doc_ord", "elem_id", "key_value"), ["source_id", "doc_ord", "elem_id"]).select(key_of("r_regionkey"), "occurrence", F.col("key_value").alias("key"))
+    """All occurrences of a repeatable member, with their keys."""
+    found = D.paths(order_documents(spark, sf_dir), ORDER, {"lines": ":line"}).where("status = 'occurrences'")
+    return found.select(key_of("l_orderkey"), "occurrence", F.col("key_value").alias("key"))
 
 
-@query("SELECT CAST(n_regionkey AS BIGINT) AS r_regionkey, c_name AS name, c_mktsegment AS segment FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 42")
+@query("SELECT o_custkey, o_orderstatus AS status FROM orders WHERE o_orderkey IN (7, 42)")
 def path_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested access compiled to columns over typed rows: the customer of that key, whichever nation has it."""
-    w = D.wide(region_documents(spark, sf_dir), REGION).select("source_id", F.explode("nation").alias("nation"))
-    inner = replace(REGION, document=REGION.struct("Nation"))
-    c = lambda k: member_column(F.col("nation"), f"/customer/c42/{k}", inner)
-    return w.select("source_id", c("name").alias("name"), c("segment").alias("segment")).where("name IS NOT NULL").select(key_of("r_regionkey"), "name", "segment")
+    """Keyed access compiled to columns over typed rows: the orders of those keys, whichever customer has them."""
+    w = D.wide(customer_documents(spark, sf_dir), CUSTOMER)
+    own = F.array_compact(F.array(*(member_column(F.struct(*w.columns[2:]), f"/order/o{k}/status", CUSTOMER) for k in (7, 42))))
+    return w.select(key_of("o_custkey"), F.explode(own).alias("status"))
 
 
-@query("""SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey = 7) THEN 'element' ELSE 'key not found' END AS by_key,
-    CASE WHEN (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) > 5 THEN 'element' ELSE 'index out of range' END AS by_index, 'unknown keyword' AS unknown, 'non-struct descent' AS below, 'syntax' AS syntax, 'type not keyed' AS unkeyed FROM region""")
+@query("""SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey = 7) THEN 'element' ELSE 'key not found' END AS by_key,
+    CASE WHEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 5 THEN 'element' ELSE 'index out of range' END AS by_index, 'unknown keyword' AS unknown, 'non-struct descent' AS below, 'syntax' AS syntax, 'type not keyed' AS unkeyed,
+    CASE WHEN c_custkey % 3 = 0 THEN 'element' ELSE 'absent member' END AS absent FROM customer""")
 def path_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.elements(region_documents(spark, sf_dir), REGION)
-    keyless = body("region", "field name String repeatable", "field nation String optional repeatable")
-    paths = {"by_key": ("/nation/n7", REGION), "by_index": ("/nation/5", REGION), "unknown": ("/nations", REGION), "below": ("/name/x", REGION), "syntax": ("/nation//x", REGION), "unkeyed": ("/nation/n7", keyless)}
-    out = e.where("elem_id = 0").select("source_id", "doc_ord")
-    for name, (path, schema) in paths.items():
-        out = out.join(select_path(e, path, schema).select("source_id", "doc_ord", F.col("status").alias(name)), ["source_id", "doc_ord"])
-    return out.select(key_of("r_regionkey"), *paths)
+    paths = {"by_key": "/order/o7", "by_index": "/order/5", "unknown": "/orders", "below": "/name/x", "syntax": "/order//x", "unkeyed": "/nation/n7", "absent": "/comment"}
+    found = D.paths(customer_documents(spark, sf_dir), CUSTOMER, paths)
+    return found.groupBy("source_id").pivot("name", sorted(paths)).agg(F.max("status")).select(key_of("c_custkey"), *paths)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'gold' ELSE 'basic' END AS tier FROM customer")
+def path_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A member that is not written is found with its default."""
+    found = D.paths(customer_documents(spark, sf_dir), CUSTOMER, {"tier": "/tier"})
+    return found.select(key_of("c_custkey"), F.col("text").alias("tier"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v < 128 THEN printf('%02X', v) WHEN v < 16384 THEN printf('%02X%02X', v % 128 + 128, v // 128)
@@ -323,11 +277,14 @@ def varint_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "l_partkey", F.hex(varints.varint(F.col("l_partkey") * F.col("l_linenumber") * 97)).alias("hex"))
 
 
-@query(f"""SELECT c_custkey, array_to_string(list_transform(range(1, len(c_name) + 1), lambda i: substr('{letters.ALPHABET}', ascii(substr(c_name, i, 1)) + 1, 1)), '') AS letters, c_name AS back, CAST([] AS INTEGER[]) AS bad FROM customer""")
+@query(f"""SELECT c_custkey, array_to_string(list_transform(range(1, len(c_name) + 1), lambda i: substr('{letters.ALPHABET}', ascii(substr(c_name, i, 1)) + 1, 1)), '') AS letters,
+    CASE WHEN c_custkey % 4 > 0 THEN c_name END AS back, CASE WHEN c_custkey % 4 > 0 THEN CAST([] AS INTEGER[]) ELSE [CAST(len(c_name) AS INTEGER), CAST(len(c_name) AS INTEGER) + 2] END AS bad, c_name || CASE WHEN c_custkey % 4 > 0 THEN '' ELSE '-x-' END AS permissive FROM customer""")
 def letters_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes as letters and back; in every fourth row two characters that are no letters."""
     c = load(spark, sf_dir, "customer").withColumn("letters", letters.letters(F.encode("c_name", "UTF-8")))
-    strict = letters.unletters_strict(F.col("letters"))
-    return c.select("c_custkey", "letters", F.decode(strict["bytes"], "UTF-8").alias("back"), strict["bad"].alias("bad"))
+    text = F.when(F.col("c_custkey") % 4 == 0, F.concat("letters", F.lit("-x-"))).otherwise(F.col("letters"))
+    strict = letters.unletters_strict(text)
+    return c.select("c_custkey", "letters", F.decode(strict["bytes"], "UTF-8").alias("back"), strict["bad"].alias("bad"), F.decode(letters.unletters(text), "UTF-8").alias("permissive"))
 
 
 _FORM = """CASE WHEN NOT (contains(text, chr(10)) OR contains(text, '  ') OR starts_with(text, ' ') OR ends_with(text, ' ') OR starts_with(text, '# ')) THEN 'inline'
@@ -361,7 +318,7 @@ def merge_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.last_writes(e)
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS source_id, 'status ' || arg_max(event_type, event_id) || chr(10) AS text, CAST(count(*) AS INTEGER) AS applied, 0 AS demoted FROM events GROUP BY 1""")
+@query("""SELECT CAST(user_id AS VARCHAR) AS source_id, 'status ' || arg_max(event_type, event_id) || chr(10) AS text, CAST(count(*) AS INTEGER) AS applied, 0 AS demoted, 0 AS malformed, 'merged' AS status FROM events GROUP BY 1""")
 def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full fold over documents: every event is an edit by one of three agents."""
     s = body("status", "field status String")
@@ -387,13 +344,15 @@ def value_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(key_of("p_partkey"), F.lower(F.hex(hashes.blake3_column("data"))).alias("hash"))
 
 
-@query("SELECT o_custkey, CASE WHEN count(*) = 1 THEN 33 ELSE 37 + 2 * (count(*) - 2) END AS length, 121 AS cadence FROM orders GROUP BY 1")
+@query("""WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders),
+    b AS (SELECT o_custkey, CASE WHEN i = 0 THEN 0 ELSE 4 + (i - 1) * 2 END + j AS place, CAST('0x' || substr(h, CAST(2 * j + 1 AS INTEGER), 2) AS INTEGER) AS v FROM o, range(32) t(j)),
+    x AS (SELECT o_custkey, place, bit_xor(v) AS v FROM b GROUP BY 1, 2)
+    SELECT o_custkey, string_agg(printf('%02X', v), '' ORDER BY place) || printf('%02X', xor(bit_xor(v), 121)) AS stack FROM x GROUP BY 1""")
 def stacked_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash sequences stacked by built-in functions; the XOR of all bytes is the cadence byte."""
+    """Hash sequences stacked by built-in functions, byte for byte."""
     o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.unhex(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("h"))
     seq = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "h"))), lambda x: x["h"]).alias("hs"))
-    s = seq.select("o_custkey", hashes.stack_column(F.col("hs")).alias("s"))
-    return s.select("o_custkey", F.octet_length("s").cast("long").alias("length"), F.aggregate(letters.byte_values(F.col("s")), F.lit(0), lambda a, b: a.bitwiseXOR(b)).alias("cadence"))
+    return seq.select("o_custkey", F.hex(hashes.stack_column(F.col("hs"))).alias("stack"))
 
 
 @query("""SELECT o_custkey, coalesce(min(o_orderkey) FILTER (o_orderstatus = 'O') < max(o_orderkey) FILTER (o_orderstatus = 'F'), false) AS compatible FROM orders GROUP BY 1""")
@@ -408,11 +367,9 @@ def signature_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_custkey, bool_and(before IS NULL OR before < p) AS in_order FROM o GROUP BY 1""")
 def layer_order_e124(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layer selections by their place in the declaration: strictly increasing or not."""
-    declared = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
-    o = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("picked"))
-    at = F.transform("picked", lambda x: F.array_position(declared, x))
-    pairs = F.zip_with(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: a < b)
-    return o.select("o_custkey", F.coalesce(F.forall(pairs, lambda x: x), F.lit(True)).alias("in_order"))
+    declared = Schema("orders", layers=tuple(map(Layer, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))))
+    o = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("source_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("layers"))
+    return S.layers_in_order(o, declared).select(key_of("o_custkey"), "in_order")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'E108' WHEN 1 THEN 'E107' WHEN 2 THEN 'E109' WHEN 3 THEN 'E111' WHEN 4 THEN 'E115' END AS code FROM orders WHERE o_orderkey % 6 < 5""")
@@ -435,15 +392,14 @@ def pragma_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_nationkey % 4 = 3 THEN 'untyped' WHEN n_nationkey % 4 = 2 THEN 'not-found' WHEN n_nationkey % 4 = 1 THEN 'unknown-layer' ELSE 'resolved' END AS resolution FROM nation""")
 def schema_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct identifiers resolved once on the driver against a library of one schema."""
+    """Distinct identifiers resolved once, in tasks, against a library of one schema."""
     n = load(spark, sf_dir, "nation")
     k = F.col("n_nationkey") % 4
     ref = F.when(k == 0, "x.example/trade").when(k == 1, "x.example/trade +none").when(k == 2, "x.example/other")
     docs = D.documents(n.select(F.col("n_nationkey").cast("string").alias("source_id"), F.concat_ws(" ", F.lit(f"{PRAGMA} 1.0"), ref).alias("text")))
     r = Resolver()
     r.add(f"{PRAGMA} 1.0\n\nname trade\n\ndocument\n  field name String\n")
-    found, _ = resolve_documents(docs, r)
-    return found.select(key_of("n_nationkey"), "resolution")
+    return resolve_documents(docs, r).select(key_of("n_nationkey"), "resolution")
 
 
 @query("SELECT 'tel 1.0' || chr(10) || 'name' || CASE WHEN contains(p_name, ' ') THEN '  ' ELSE ' ' END || p_name || chr(10) || 'brand ' || p_brand || chr(10) || 'type ' || p_type || chr(10) || 'size ' || p_size || chr(10) AS text, p_partkey FROM part")
@@ -496,16 +452,21 @@ def tabulated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.where("tabulation IS NOT NULL").select(key_of("n_nationkey"), "tabulation.offsets", "tabulation.headings", "comments")
 
 
-@query("SELECT code, CAST(n AS BIGINT) AS n FROM (VALUES ('E203', 1), ('E209', 1), ('E210', 1)) t(code, n)")
+@query("""SELECT 'E209' AS code, count(*) AS n FROM nation WHERE n_nationkey % 4 = 1 UNION ALL SELECT 'E203', count(*) FROM nation WHERE n_nationkey % 4 = 2 UNION ALL SELECT 'E210', count(DISTINCT n_regionkey) FROM nation WHERE n_nationkey % 4 = 3""")
 def catalog_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schema validity as relational checks over a catalog with one planted fault of each kind."""
-    s = Schema("bad", Struct("", (Member("field", "Nowhere", "a"), Member("field", "String", "b", required="loose", default="x"))), records=(Struct("Twice"),))
-    c = catalog(spark, {"bad": s})
-    types = c["types"].unionByName(spark.createDataFrame([("bad", "Twice", "scalar")], "schema_id string, type_name string, kind string"))
-    rows = checks.duplicate_definitions(types).select(F.lit("E210").alias("code"))
-    rows = rows.unionByName(checks.unresolved_types(c["members"], types).select(F.lit("E209").alias("code")))
-    rows = rows.unionByName(c["members"].where("default_text IS NOT NULL AND NOT required").select(F.lit("E203").alias("code")))
-    return checks.summary(rows)
+    """Schema validity as relational checks over a catalog: a schema per nation, with a fault planted by the nation's key."""
+    rows = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+    schemas = {}
+    for r in rows:
+        k = r["n_nationkey"]
+        schemas[str(k)] = Schema(f"s{k}", Struct("", (Member("field", "Nowhere" if k % 4 == 1 else "String", "a"), Member("field", "String", "b", required="loose", default="x" if k % 4 == 2 else None))))
+    c = catalog(spark, schemas)
+    twice = load(spark, sf_dir, "nation").where("n_nationkey % 4 = 3").select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("schema_id"), F.lit("Twice").alias("type_name"), F.explode(F.array(F.lit("struct"), F.lit("scalar"))).alias("kind"))
+    types = c["types"].unionByName(twice)
+    found = checks.duplicate_definitions(types).select("schema_id", F.lit("E210").alias("code"))
+    found = found.unionByName(checks.unresolved_types(c["members"], types).select("schema_id", F.lit("E209").alias("code")))
+    found = found.unionByName(c["members"].where("default_text IS NOT NULL AND NOT required").select("schema_id", F.lit("E203").alias("code")))
+    return checks.summary(found.distinct())
 
 
 @query("""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_type, ts, event_id) - 1 AS INTEGER) AS sib_ord FROM events""")
@@ -518,7 +479,7 @@ def semantic_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT code, n FROM (SELECT 'E306' AS code, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'E310', count(*) FROM events WHERE event_type = 'signup')")
 def streamed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same validation over a stream of Parquet files, one micro-batch at a time, into a table."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     e = load(spark, sf_dir, "events")
     word = F.when(F.col("event_type") == "signup", F.lit("Not an identifier")).otherwise(F.lit("fine"))
     as_documents(e, "event_id", F.concat(F.col("event_type"), F.when(word.contains(" "), "  ").otherwise(" "), word)).repartition(4).write.parquet(f"{base}/in")
@@ -577,30 +538,26 @@ def problem_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(key_of("o_orderkey"), "n", "line")
 
 
-@query("SELECT CAST(n_regionkey AS BIGINT) AS r_regionkey, 'nation n' || n_nationkey AS label, count(c_custkey) AS children FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+@query("SELECT o_custkey, 'order o' || o_orderkey AS label, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS BIGINT) AS children FROM orders")
 def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an outline shows of the region documents: nations with their numbers of customers."""
-    c = D.compounds(region_documents(spark, sf_dir))
-    o = reports.outline(c).where("depth = 0 AND label LIKE 'nation%'")
-    n = c.where("keyword = 'customer'").groupBy("source_id", "doc_ord", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
-    return o.join(n, ["source_id", "doc_ord", "node_id"], "left").select(key_of("r_regionkey"), "label", F.coalesce("children", F.lit(0)).cast("long").alias("children"))
+    """What an outline shows of the customers' documents: orders with their numbers of children."""
+    c = saved(D.compounds(customer_documents(spark, sf_dir)), "compounds")
+    o = reports.outline(c).where("depth = 0 AND label LIKE 'order%'")
+    n = c.groupBy("source_id", "doc_ord", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
+    return o.join(n, ["source_id", "doc_ord", "node_id"]).select(key_of("o_custkey"), "label", "children")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS source_id, 'tel 1.0' || chr(10) || chr(10) || 'name ' || c_name || '  # checked' || chr(10) || 'tag new' || chr(10) || 'tag vip' || chr(10) AS text, 4 AS applied, 1 AS demoted FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS source_id, 'tel 1.0' || chr(10) || chr(10) || '# Merge conflict (agent a, ts=4): insert — target was removed' || chr(10) || 'name ' || c_name || '  # checked' || chr(10) || 'tag new' || chr(10) || 'tag vip' || chr(10) AS text, 4 AS applied, 1 AS demoted, 0 AS malformed, 'merged' AS status FROM customer")
 def edit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts, a remark, a delete and one refused edit on each document."""
     s = body("customer", "field name String", "field tag String optional repeatable")
     docs = as_documents(load(spark, sf_dir, "customer"), "c_custkey", F.lit(""), field("name", F.col("c_name")), F.lit("tag old"))
     ops = ['{"op": "attach-remark", "path": [[0, 0]], "value": "checked"}', '{"op": "insert", "path": [], "compound": "tag vip"}', '{"op": "insert-before", "path": [[0, 2]], "compound": "tag new"}', '{"op": "delete", "path": [[0, 1]]}', '{"op": "insert", "path": [], "compound": "nope x"}']
     e = docs.select("source_id", F.posexplode(F.array(*map(F.lit, ops))).alias("timestamp", "edit")).withColumn("agent", F.lit("a"))
-    out = edits.merge_sources(docs, e, s)
-    return out.withColumn("text", F.regexp_replace("text", r"# Merge conflict[^\n]*\n", ""))
+    return edits.merge_sources(docs, e, s)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Region documents with nested nations and customers, parsed, typed and addressed by a path in each."""
-    e = D.elements(region_documents(spark, sf_dir), REGION)
-    found = select_path(e, "/nation/0/customer/0/segment", REGION)
-    return found.select(key_of("r_regionkey"), "status", "text")
-
-
+    """Customers' documents with nested orders, parsed, typed and addressed by a path in each, in one pass."""
+    found = D.paths(customer_documents(spark, sf_dir), CUSTOMER, {"first": "/order/0/status"})
+    return found.select(key_of("c_custkey"), "status", "text")

@@ -6,7 +6,6 @@ needs a shuffle. Each function emits one table only, so a header costs no compou
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
@@ -19,8 +18,11 @@ from ..functions.registry import BUILT_IN_VALIDATORS, Codecs, Validator
 from ..operators.assign import Assigner, walk
 from ..operators.binary import BinaryError, decode_document, encode_root
 from ..operators.canonical import canonical_text
+from ..operators.edits import construct as edit_construct
+from ..operators.reports import expand_last_atom, inline_first_child
+from ..plans.paths import resolve
 from ..plans.schema import Schema
-from .parser import MESSAGES, Document, Error, decode_bytes, parse, parse_stream
+from .parser import MESSAGES, Block, Document, Error, decode_bytes, parse, parse_stream, write
 
 KEY = "source_id string, doc_ord int"
 DOCUMENTS = KEY + ", directive string, ver_major int, ver_minor int, reference string, layers array<string>, signature string, sigil string, line_endings string"
@@ -29,6 +31,7 @@ COMPOUNDS = KEY + ", node_id int, parent_id int, depth int, block_ix int, compou
 ELEMENTS = KEY + ", elem_id int, parent_id int, depth int, sib_ord int, source_ord int, member_ix int, keyword_ix int, keyword string, kind string, type_name string, parent_type string, text string, origin string, key_value string"
 ERRORS = KEY + ", code string, span_start int, span_end int, message string"
 BINARY = KEY + ", data binary, failure string"
+PATHS = KEY + ", name string, status string, failed_component int, occurrence int, kind string, text string, key_value string"
 
 
 def sources(df: DataFrame, text: str = "text", key: str = "source_id") -> DataFrame:
@@ -133,15 +136,62 @@ def elements(df: DataFrame, schema: Schema) -> DataFrame:
     Compounds whose keyword their parent does not have appear with kind unknown and without a member.
     """
 
+    return _map(df, ELEMENTS, lambda _, __, d, ___: element_rows(d, schema), schema)
+
+
+def element_rows(d: Document, schema: Schema) -> Iterator[tuple]:
+    """A document's element rows without its key."""
+    a = Assigner(schema, None)
+    types = {}
+    for e, n, parent, depth, order in walk(a.assign(d)):
+        types[n] = e.type
+        yield n, parent if n else None, depth, order, e.source_ord, e.member_ix, e.keyword_ix, e.keyword, e.kind, e.type, types.get(parent) if n else None, e.text, e.origin, a.key_of(e)
+
+
+def paths(df: DataFrame, schema: Schema, wanted: Mapping[str, str]) -> DataFrame:
+    """(source_id, doc_ord, name, status, failed_component, occurrence, kind, text, key_value) of several named paths, in one pass over the sources.
+
+    A path that ends at a repeatable keyword has a row per occurrence, and one without occurrence where there is none.
+    """
+
     def rows(_, __, d: Document, ___):
         a = Assigner(schema, None)
         root = a.assign(d)
-        types = {}
-        for e, n, parent, depth, order in walk(root):
-            types[n] = e.type
-            yield n, parent if n else None, depth, order, e.source_ord, e.member_ix, e.keyword_ix, e.keyword, e.kind, e.type, types.get(parent) if n else None, e.text, e.origin, a.key_of(e)
+        for name, path in wanted.items():
+            found = resolve(path, schema, root)
+            open_end = found.status == "occurrences"
+            for i, e in enumerate(found.elements):
+                yield name, found.status, None, i if open_end else None, e.kind, e.text, a.key_of(e)
+            if not found.elements:
+                yield name, found.status, found.component, None, None, None, None
+
+    return _map(df, PATHS, rows, schema)
 
-    return _map(df, ELEMENTS, rows, schema)
+
+def rewritten(df: DataFrame, schema: Schema, change: str) -> DataFrame:
+    """(source_id, doc_ord, changes, text): every compound's expand or inline refactor that keeps the model, applied in order; or construct, the document made anew from its elements."""
+
+    def rows(_, __, d: Document, ___):
+        n = 0
+        if change == "construct":
+            made = Document(pragma=d.pragma, sigil=d.sigil)
+            made.root.blocks = [Block(compounds=[edit_construct(e, schema, d.sigil) for e in Assigner(schema, None).assign(d).children if e.origin != "default"])]
+            yield 1, write(made)
+            return
+        offer = {"expand": expand_last_atom, "inline": inline_first_child}[change]
+        seen = 0
+        while True:
+            every = [c for c, k, *_ in _nodes(d) if k]
+            if seen >= len(every):
+                break
+            new = offer(d, every[seen], schema)
+            if new is None:
+                seen += 1
+            else:
+                d, n = new, n + 1
+        yield n, write(d)
+
+    return _map(df, KEY + ", changes int, text string", rows, schema)
 
 
 def errors(df: DataFrame, schema: Schema, validators: Mapping[str, Validator] | None = BUILT_IN_VALIDATORS, codecs: Mapping | None = None) -> DataFrame:
@@ -226,15 +276,6 @@ def register_udtfs(spark: SparkSession) -> None:
     spark.udtf.register("parse_compounds", ParseCompounds)
 
 
-def save_catalog(df: DataFrame, path: str) -> None:
-    """A registry of schema sources: one Parquet row per source, keyed by the digest of its text."""
-    df.select("name", "text", F.sha2("text", 256).alias("digest")).write.mode("append").parquet(path)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def wide_type(schema: Schema, name: str = "", above: tuple[str, ...] = ()) -> T.StructType:
     """The typed form of a struct: members in order; arrays where repeatable, nulls where absent. ValueError for cycles."""
     if name in above:

@@ -62,6 +62,22 @@ def test_errors(text, want):
     assert sorted(codes(text)) == sorted(want)
 
 
+def test_recovery():
+    """What the specification leaves open, as it is handled here."""
+    found = lambda t: [(e.code, e.start, e.end) for e in parse(t).errors]
+    # one error for a pragma line, however many of its phrases are at fault
+    assert found("tel 1.0 who what why\nx\n") == [("E121", 0, 20)] and found("tel 1.0 +b a.org/c d.org/e\n") == [("E122", 0, 26)]
+    # a second literal atom that nothing closes is its opening line alone
+    d = parse("a\n      X\none\n      X\n      Y\nb\n")
+    assert [(e.code, e.start, e.end) for e in d.errors] == [("E114", 22, 29)] and keywords(d.root) == [("a", []), ("b", [])]
+    # trailing spaces of a row are a gap that ends at no column, too
+    assert found("# A  # B\nr    x   \n") == [("E108", 15, 18), ("E117", 15, 18)]
+    # E106 spans the leading spaces, which is what the specification asks for, not the characters that the margin cuts off
+    assert found("   a\n b\n") == [("E106", 5, 6)] and found("   a\nb\n") == [("E106", 5, 5)]
+    # E119 spans from the marker to the next one or to the end of the line
+    assert found("#A  # B\n") == [("E119", 0, 4)] and found("# A  # b # c  # d\n") == [("E119", 5, 14)]
+
+
 def test_spans():
     assert [(e.code, e.start, e.end) for e in parse("a\n  b  \n").errors] == [("E108", 5, 7)]
     assert [(e.code, e.start, e.end) for e in parse("a\n   b\n").errors] == [("E107", 2, 5)]

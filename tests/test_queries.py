@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from arbordoc import queries
-from arbordoc.queries import QUERIES, SQL
+from arbordoc.all_queries import QUERIES, SQL
 from arbordoc.sources import documents as D
 
 SF = "/root/testdata/sf0.001"
@@ -59,4 +59,4 @@ def test_no_shuffle_to_parse(spark):
 
 
 def test_flagship(spark):
-    assert queries.flagship(spark, SF).count() == 5
+    assert queries.flagship(spark, SF).count() == 150

@@ -16,45 +16,53 @@ from arbordoc.plans.resolve import Identifier, Resolver, Unresolved
 from arbordoc.plans.schema import META, check, construct, incoherent
 from arbordoc.sources.parser import parse, write
 
-MENAGERIE = """tel 1.0
+ORCHARD = """tel 1.0
 
-name menagerie
+name orchard
 
-record Contact
-  field name Identifier key
-  field email String optional repeatable
+scalar Year
+  pattern [0-9]{4}
 
-record Toy
+record Tree
   field label String key
+  field planted Year optional
+  field grafted Flag optional
 
-record Cat
-  field name Identifier key
-  field toy Toy optional repeatable
+record Plot
+  field code Identifier key
+  field keeper String optional
+  field tree Tree optional repeatable
 
-record Dog
-  field name Identifier key
+record Crate
+  field code Identifier key
+  field weight String
 
-select Pet
-  variant cat Cat
-  variant dog Dog
+select Goods
+  variant apples Crate
+  variant pears Crate
 
 document
-  field owner Contact
-  field contact Contact optional repeatable
-  select Pet optional repeatable
+  field title String
+  field plot Plot repeatable
+  field note String optional repeatable
+  select Goods optional repeatable
 """
-PETS = """tel 1.0
-
-owner amy
-contact bea
-  email bea@example.com
-  email bea@example.org
-contact chu
-
-cat felix
-  toy  ball of string
-dog rex
-cat tom
+SLOPE = """tel 1.0
+
+title  North slope
+plot p1
+  keeper ann
+  tree oak
+    planted 1998
+  tree  old pear
+    grafted
+plot p2 joe
+note wet
+note dry
+
+apples c1 12
+pears c2 7
+apples c3 9
 """
 HEAD = "tel 1.0\n\nname s\n\n"
 
@@ -186,9 +194,10 @@ def test_atom_phase():
 
 
 def test_keys_and_defaults():
-    s = schema(MENAGERIE)
-    assert not codes(s, PETS)
-    assert codes(s, PETS + "cat felix\n") == ["E314"] and not codes(s, PETS.replace("contact chu", "contact amy"))
+    s = schema(ORCHARD)
+    assert not codes(s, SLOPE)
+    assert codes(s, SLOPE + "pears c1 3\n") == ["E314"] and codes(s, SLOPE.replace("plot p2", "plot p1")) == ["E314"]
+    assert not codes(s, SLOPE.replace("title  North slope", "title p1"))
     d = schema(HEAD + "document\n  field name String\n    default none\n")
     root, errors = assign(parse(""), d)
     assert not errors and root.children[0].text == "none" and root.children[0].origin == "default"
@@ -239,8 +248,8 @@ def test_binary():
 
 
 def test_canonical_text_is_a_fixed_point():
-    s = schema(MENAGERIE)
-    root, _ = assign(parse(PETS), s)
+    s = schema(ORCHARD)
+    root, _ = assign(parse(SLOPE), s)
     text = canonical_text(root)
     again, errors = assign(parse(text), s)
     assert not errors and canonical_text(again) == text and encode_root(again, s) == encode_root(root, s)
@@ -285,29 +294,30 @@ def test_codes():
     "path, status, text",
     [
         ("/", "element", None),
-        ("/owner", "element", None),
-        ("/owner/name", "element", "amy"),
-        ("/contact", "occurrences", None),
-        ("/contact/bea/name", "element", "bea"),
-        ("/contact/1/name", "element", "chu"),
-        ("/contact/bea/email/1", "element", "bea@example.org"),
-        ("/cat/tom/name", "element", "tom"),
-        ("/cat/1/name", "element", "tom"),
-        ("/dog/0/name", "element", "rex"),
-        ("/pet", "unknown keyword", None),
-        ("/cat/felix/toy/0/label", "element", "ball of string"),
-        ("/cat/felix/toy/ball of string/label", "element", "ball of string"),
-        (":contact:bea:email:0", "element", "bea@example.com"),
-        ("/contact/007", "index out of range", None),
-        ("/contact/zed", "key not found", None),
-        ("/owner/name/x", "non-struct descent", None),
-        ("/contact//x", "syntax", None),
+        ("/title", "element", "North slope"),
+        ("/plot", "occurrences", None),
+        ("/plot/p1/keeper", "element", "ann"),
+        ("/plot/1/keeper", "element", "joe"),
+        ("/plot/p1/tree/0/planted", "element", "1998"),
+        ("/plot/p1/tree/old pear/label", "element", "old pear"),
+        ("/note/1", "element", "dry"),
+        ("/apples/c3/weight", "element", "9"),
+        ("/apples/1/weight", "element", "9"),
+        ("/pears/0/weight", "element", "7"),
+        ("/goods", "unknown keyword", None),
+        (":plot:p2:code", "element", "p2"),
+        ("/plot/004", "index out of range", None),
+        ("/plot/p2/tree/0", "index out of range", None),
+        ("/plot/zed", "key not found", None),
+        ("/plot/p1/tree/oak/grafted", "absent member", None),
+        ("/title/x", "non-struct descent", None),
+        ("/plot//x", "syntax", None),
         ("-a", "syntax", None),
     ],
 )
 def test_paths(path, status, text):
-    s = schema(MENAGERIE)
-    o = resolve(path, s, assign(parse(PETS), s)[0])
+    s = schema(ORCHARD)
+    o = resolve(path, s, assign(parse(SLOPE), s)[0])
     assert o.status == status
     if text:
         assert o.elements[0].text == text
@@ -316,23 +326,23 @@ def test_paths(path, status, text):
 def test_path_identity():
     assert same_path(".a.b", "/a/b") and not same_path("/a", "/a/b")
     with pytest.raises(PathError):
-        compile_path("/contact/bea/email/x", schema(MENAGERIE))
+        compile_path("/note/x", schema(ORCHARD))
 
 
 def test_edits():
-    s = schema(MENAGERIE)
-    d = parse(PETS)
+    s = schema(ORCHARD)
+    d = parse(SLOPE)
     e = Editor(d, s)
     e.apply(Edit("update-value", ((0, 1), (0, 0)), "two words"))
     e.apply(Edit("attach-remark", ((0, 0),), "hi"))
-    e.apply(Edit("insert", (), compound="contact dee"))
+    e.apply(Edit("insert", (), compound="note late"))
     e.apply(Edit("reorder-within-group", ((0, 1),), index=1))
-    e.apply(Edit("replace", ((1, 0),), compound="dog abe"))
-    e.apply(Edit("insert-after", ((1, 0),), compound="cat zed"))
+    e.apply(Edit("replace", ((1, 0),), compound="pears c9 4"))
+    e.apply(Edit("insert-after", ((1, 0),), compound="apples c8 1"))
     e.apply(Edit("delete", ((1, 3),)))
-    assert write(d) == "tel 1.0\n\nowner amy  # hi\ncontact chu\ncontact bea\n  email  two words\n  email bea@example.org\ncontact dee\n\ndog abe\ncat zed\ndog rex\n"
+    assert write(d) == "tel 1.0\n\ntitle  North slope  # hi\nplot p2 joe\nplot p1\n  keeper  two words\n  tree oak\n    planted 1998\n  tree  old pear\n    grafted\nnote wet\nnote dry\nnote late\n\npears c9 4\napples c8 1\npears c2 7\n"
     before = write(d)
-    for bad, code in ((Edit("delete", ((0, 0),)), "E307"), (Edit("insert", (), compound="contact bea"), "E314"), (Edit("insert", (), compound="zzz"), "E306"), (Edit("update-value", ((0, 0),), "Not Ok"), "E310"), (Edit("delete", ((9, 9),)), "unresolved")):
+    for bad, code in ((Edit("delete", ((0, 0),)), "E307"), (Edit("insert", (), compound="plot p1"), "E314"), (Edit("insert", (), compound="zzz"), "E306"), (Edit("update-value", ((0, 1),), "Not Ok"), "E310"), (Edit("delete", ((9, 9),)), "unresolved"), (Edit("delete", ((0, -1),)), "unresolved")):
         with pytest.raises(Refused) as r:
             e.apply(bad)
         assert r.value.code == code and write(d) == before
@@ -364,17 +374,17 @@ def test_update_escalates():
 
 
 def test_merge_converges():
-    s = schema(MENAGERIE)
-    ops = [Edit("update-value", ((0, 2),), "x1", timestamp=1, agent="a"), Edit("delete", ((0, 1),), timestamp=2, agent="b"), Edit("attach-remark", ((0, 1), (0, 0)), "r", timestamp=3, agent="a"), Edit("update-value", ((0, 2),), "x2", timestamp=4, agent="a")]
-    one, two = parse(PETS), parse(PETS)
+    s = schema(ORCHARD)
+    ops = [Edit("update-value", ((0, 3),), "x1", timestamp=1, agent="a"), Edit("delete", ((0, 1),), timestamp=2, agent="b"), Edit("attach-remark", ((0, 1), (0, 0)), "r", timestamp=3, agent="a"), Edit("update-value", ((0, 3),), "x2", timestamp=4, agent="a")]
+    one, two = parse(SLOPE), parse(SLOPE)
     assert [e.timestamp for e in merge(one, ops, s)] == [3]
     merge(two, ops[::-1], s)
-    assert write(one) == write(two) and "contact x2" in write(one) and "Merge conflict (agent a, ts=3)" in write(one)
+    assert write(one) == write(two) and "note x2" in write(one) and "Merge conflict (agent a, ts=3)" in write(one)
 
 
 def test_construct():
-    s = schema(MENAGERIE)
-    root, _ = assign(parse(PETS), s)
+    s = schema(ORCHARD)
+    root, _ = assign(parse(SLOPE), s)
     from arbordoc.sources.parser import Block, Document
 
     d = Document()
@@ -384,11 +394,11 @@ def test_construct():
 
 
 def test_resolution():
-    r = Resolver(fetch={"x.org/menagerie:1.0.0": MENAGERIE}.get, built_in=("x.org/own:1.0.0",))
+    r = Resolver(fetch={"x.org/orchard:1.0.0": ORCHARD}.get, built_in=("x.org/own:1.0.0",))
     assert r.resolve(Identifier("x.org/own:1.0.0")) == META
     with pytest.raises(Unresolved, match="not-found"):
-        r.resolve(Identifier("x.org/menagerie"))
-    assert r.resolve(Identifier("x.org/menagerie:1.0.0")).name == "menagerie"
+        r.resolve(Identifier("x.org/orchard"))
+    assert r.resolve(Identifier("x.org/orchard:1.0.0")).name == "orchard"
     layered = HEAD.replace("name s", "name layered") + "document\n  field a String\nlayer\n  name one\n  overlay\n    field b String optional\nlayer\n  name two\n  overlay\n    field c String optional\n"
     k = r.add(layered)
     _, sign, ordered = r.selected(k, ["one", "two"])
@@ -398,3 +408,20 @@ def test_resolution():
     for wanted, kind in ((Identifier("x.org/layered", ("none",)), "unknown-layer"), (Identifier("x.org/layered", ("two",), sign), "mismatch"), (Identifier("x.org/gone:1.0.0"), "fetch-failed"), (Identifier(signature="Ḁ" * 33), "undecodable")):
         with pytest.raises(Unresolved, match=kind):
             other.resolve(wanted)
+
+
+def test_edits_by_json():
+    assert Edit.from_json('{"op": "delete", "path": [[0, 1]]}', 3, "a") == Edit("delete", ((0, 1),), timestamp=3, agent="a")
+    for bad in ("", "[]", '{"op": "delete", "path": [[0]]}', '{"op": "explode"}', '{"op": "delete", "what": 1}', "{"):
+        with pytest.raises(ValueError):
+            Edit.from_json(bad)
+
+
+def test_deep_documents():
+    """Nesting has no limit of its own: each walk over a document is without recursion, or bound by memory alone."""
+    s = schema(HEAD + "record Node\n  field n Node optional\n  field v String optional\ndocument\n  field n Node optional\n")
+    text = "".join("  " * i + "n\n" for i in range(1500)) + "  " * 1500 + "v x\n"
+    root, errors = assign(parse(text), s)
+    assert not errors and canonical_text(root) == "tel 1.0\n" + text
+    data = encode_root(root, s)
+    assert len(data) == 1 + 2 * 1499 + 2 + 3 and encode_root(decode_document(encode_document(root, s, signature(root_of(ORCHARD))), s)[0], s) == data
