@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared_path, table
+from .common import SLICE_BYTES, map_texts, saved, shared_path, table
 
 # Fixed values of the two formats.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -58,30 +59,135 @@ def _line(version: int, url: str, ip: str, stamp: str, kind: str, length: int, n
     return " ".join(values).encode() + b"\n"
 
 
+class ArcReader:
+    """Records out of an ARC file that comes in parts: header lines by the version block's fields, contents by their declared lengths."""
+
+    def __init__(self) -> None:
+        self.data, self.done, self.fields = bytearray(), 0, None
+
+    def feed(self, part: bytes) -> Iterator[tuple[int, ArcRecord]]:
+        """(offset, record) of each record that is complete. ValueError where a header line does not fit."""
+        self.data += part
+        at = 0
+        while True:
+            while self.data[at : at + 1] in (b"\n", b"\r"):
+                at += 1
+            stop = self.data.find(b"\n", at)
+            if stop < 0:
+                break
+            values = self.data[at:stop].decode("utf-8", "replace").rstrip("\r").split(" ")
+            if not values[-1].isdigit() or self.fields and len(values) != len(self.fields):
+                raise ValueError(f"no header line at byte {self.done + at}")
+            end = stop + 1 + int(values[-1])
+            if end > len(self.data):
+                break
+            content = bytes(self.data[stop + 1 : end])
+            if self.fields is None:
+                version = content.split(b"\n")[0].split(b" ")[0]
+                if not values[0].startswith("filedesc://") or version not in (b"1", b"2"):
+                    raise ValueError("the version block is missing or of an unknown version")
+                self.fields = FIELDS[int(version)].split(" ")
+            else:
+                named = dict(zip(self.fields, values, strict=True))
+                url = re.sub("(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), named["URL"])
+                yield self.done + at, ArcRecord(url, named["IP-address"], named["Archive-date"], named["Content-type"], content, named)
+            at = end
+        del self.data[:at]
+        self.done += at
+
+    def close(self) -> None:
+        """ValueError where the last record is shorter than declared."""
+        if self.data.strip(b"\r\n"):
+            raise ValueError(f"the record at byte {self.done} is shorter than declared")
+
+
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records behind the version block. ValueError where a header line or a declared length does not fit."""
-    at, fields = 0, None
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-            continue
-        stop = data.find(b"\n", at)
-        values = data[at : stop if stop >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r").split(" ")
-        if stop < 0 or not values[-1].isdigit() or fields and len(values) != len(fields):
-            raise ValueError(f"no header line at byte {at}")
-        begin = stop + 1
-        at = begin + int(values[-1])
-        if at > len(data):
-            raise ValueError(f"the content at byte {begin} is shorter than declared")
-        if fields is None:
-            version = data[begin:at].split(b"\n")[0].split(b" ")[0]
-            if not values[0].startswith("filedesc://") or version not in (b"1", b"2"):
-                raise ValueError("the version block is missing or of an unknown version")
-            fields = FIELDS[int(version)].split(" ")
-            continue
-        named = dict(zip(fields, values, strict=True))
-        url = re.sub("(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), named["URL"])
-        yield ArcRecord(url, named["IP-address"], named["Archive-date"], named["Content-type"], data[begin:at], named)
+    reader = ArcReader()
+    yield from (record for _, record in reader.feed(data))
+    reader.close()
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """A file's bytes in pieces; a gzipped one's members one after another."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        while not d.eof and data:
+            yield d.decompress(data, 1 << 20)
+            data = d.unconsumed_tail
+        data = d.unused_data.lstrip(b"\0")
+
+
+def read_arcs(spark: SparkSession, path: str, pattern: str = "*.arc*") -> DataFrame:
+    """(file, position, url, ip, stamp, kind, content, error) of the ARC files below a path, gzipped or not.
+
+    A file is a task's unit; its records are found while it is unpacked. Where a header line or a length does not fit,
+    the records before it stay, and one row with the error follows. Empty files give no rows.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    schema = "file string, position long, url string, ip string, stamp string, kind string, content binary, error string"
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    types = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.string()]
+
+    def rows(file: str, data: bytes) -> Iterator[tuple]:
+        reader = ArcReader()
+        try:
+            for part in inflated(data):
+                yield from ((file, at, r.url, r.ip, r.stamp, r.kind, r.content, None) for at, r in reader.feed(part))
+            reader.close()
+        except (ValueError, zlib.error) as e:
+            yield file, reader.done, None, None, None, None, None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held, size = [], 0
+                for row in rows(file, data.as_py()):
+                    held.append(row)
+                    size += len(row[6] or b"")
+                    if size > SLICE_BYTES:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+                        held, size = [], 0
+                if held:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    return files.mapInArrow(run, schema)
+
+
+def convert_arcs(arcs: DataFrame, path: str, least: int = LEAST) -> None:
+    """Writes the records of read_arcs as WARC below path; rows with an error are left out.
+
+    Of equal payloads of at least `least` bytes the one with the smallest (file, position) is the response, the others revisit
+    it. Only digests and places travel; the contents stay where they were read.
+    """
+    rows = saved(arcs.where("error IS NULL"), "arcs")
+    place = F.concat_ws("#", "file", F.lpad(F.col("position").cast("string"), 20, "0"))
+
+    def digest():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            payloads = [http_head(c)[1] for c in batch.column(1).to_pylist()]
+            return pa.record_batch([batch.column(0), pa.array([hashlib.sha256(p).hexdigest() if len(p) >= least else None for p in payloads], pa.string())], ["place", "digest"])
+
+        return work
+
+    digests = map_texts(rows.select(place.alias("place"), "content"), "content", digest, "place string, digest string").where("digest IS NOT NULL")
+    first = digests.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    targets = digests.join(first, "digest").select("place", "digest", "first")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for where, url, ip, stamp, kind, content, payload, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.append(convert(ArcRecord(url, ip, stamp, kind, content), {payload: target} if target else {}, where))
+            return pa.record_batch([pa.array(out, pa.binary())], ["value"])
+
+        return work
+
+    marked = rows.withColumn("place", place).join(targets, "place", "left").select("place", "url", "ip", "stamp", "kind", "content", "digest", "first")
+    map_texts(marked, "content", make, "value binary").write.parquet(path)
 
 
 def http_head(content: bytes) -> tuple[bytes, bytes]:
@@ -99,11 +205,11 @@ def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, key)}>"
 
 
-def convert(record: ArcRecord, first: Mapping[str, str]) -> bytes:
-    """The equivalent WARC record. first: payload digest -> key of the record that such payloads revisit."""
+def convert(record: ArcRecord, first: Mapping[str, str], key: str | None = None) -> bytes:
+    """The equivalent WARC record. first: payload digest -> key of the record that such payloads revisit; key: this record's own."""
     head, payload = http_head(record.content)
     digest = hashlib.sha256(payload).hexdigest()
-    key = header(head, "X-Record-Key") or f"{record.url} {record.stamp} {digest}"
+    key = key or header(head, "X-Record-Key") or f"{record.url} {record.stamp} {digest}"
     target = first.get(digest)
     revisit = target is not None and target != key
     block = head if revisit else record.content
@@ -150,8 +256,10 @@ class WarcReader:
 def write_warc(pages: DataFrame, path: str, version: int = 2, least: int = LEAST, key: str = "page_id") -> None:
     """Writes pages (key, url, html) by way of ARC files as gzipped WARC files below path.
 
-    Of equal payloads of at least `least` bytes the smallest key is the response. A null html is an empty
-    payload. The one shuffle is by payload digest; Spark splits what a hot digest brings.
+    Of equal payloads of at least `least` bytes the smallest key is the response; rows that repeat it are responses, too. A
+    null html is an empty payload. A null key comes first in no group: where it revisits nothing its record names no key.
+    Very long pages are written whole; other columns are not read, whatever their names; an empty table gives an empty
+    archive. The one shuffle is by payload digest; Spark splits what a hot digest brings.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col("url").cast("string"), F.lit("-")).alias("url"), html.alias("html"))

@@ -158,6 +158,31 @@ def test_arc_round_trip(version):
     assert b"WARC-Type: resource" in archives.convert(back[1], {})
 
 
+def test_arc_files(spark, tmp_path):
+    """Folders of ARC files, of both versions, gzipped in one or many members, damaged and empty, to WARC records."""
+    import gzip
+
+    page = lambda n: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"page\n\n%d " % n * 40
+    records = [archives.ArcRecord(f"http://a/{n}", "1.2.3.4", "20230102030405", "text/html", page(n % 3)) for n in range(5)]
+    for version in (1, 2):
+        data = archives.write_arc(records, version)
+        (tmp_path / f"v{version}.arc").write_bytes(data)
+        (tmp_path / f"v{version}.arc.gz").write_bytes(gzip.compress(data[:70]) + gzip.compress(data[70:]))
+    (tmp_path / "cut.arc").write_bytes(archives.write_arc(records, 1)[:-50])
+    (tmp_path / "empty.arc").write_bytes(b"")
+    (tmp_path / "bad.arc").write_bytes(b"what is this\n")
+    arcs = archives.read_arcs(spark, str(tmp_path))
+    rows = arcs.collect()
+    assert sum(r["error"] is None for r in rows) == 4 * 5 + 4 and sorted(r["file"].rsplit("/", 1)[1] for r in rows if r["error"]) == ["bad.arc", "cut.arc"]
+    assert {(r["url"], bytes(r["content"])) for r in rows if not r["error"]} == {(r.url, r.content) for r in records}
+    archives.convert_arcs(arcs, f"{tmp_path}/out")
+    found = [bytes(r["value"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(found) == 24 and sum(b"WARC-Type: response" in x for x in found) == 3 and sum(b"WARC-Type: revisit" in x for x in found) == 21
+    one = next(x for x in found if b"WARC-Type: response" in x)
+    named = one[one.index(b"<urn:uuid:") :].split(b">")[0]
+    assert sum(b"WARC-Refers-To: " + named in x for x in found) in (9, 8, 4)
+
+
 def test_reader_goes_by_lengths():
     block = b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\n\r\n"
     stream = b"".join(archives.VERSION.encode() + f"WARC-Type: response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n" for _ in range(3))
@@ -169,16 +194,18 @@ def test_reader_goes_by_lengths():
 
 def test_pages(spark, tmp_path):
     long = "<p>WARC/1.1\r\n\r\n" * 20
-    rows = [(1, "http://a/ b", long, 1), (2, None, None, 1), (3, "u", "", 1), (4, "u", long, 1), (5, "ü", "é" * 60, 1), (6, "u", "é" * 60, 1), (7, "u", "short", 1), (8, "u", "short", 1), (9, "u", "x" * 300_000, 1)]
+    rows = [(1, "http://a/ b", long, 1), (2, None, None, 1), (3, "u", "", 1), (4, "u", long, 1), (5, "ü", "é" * 60, 1), (6, "u", "é" * 60, 1), (7, "u", "short", 1), (8, "u", "short", 1), (9, "u", "x" * 300_000, 1), (None, "u", long, 1), (None, "n", "z" * 150, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
     archives.write_warc(df, f"{tmp_path}/w", version=1)
-    got = {int(r["key"]): (r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"], r["html"]) for r in archives.read_warc(spark, f"{tmp_path}/w").collect()}
+    got = {None if r["key"] == "None" else int(r["key"]): (r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"], r["html"]) for r in archives.read_warc(spark, f"{tmp_path}/w").collect()}
     first = {}
-    for i, _, html, _ in rows:
+    for i, _, html, _ in rows[:9]:
         data = (html or "").encode()
         digest = hashlib.sha256(data).hexdigest()
         target = first.setdefault(digest, i) if len(data) >= 100 else i
         assert got[i] == ("response" if target == i else "revisit", len(data), digest, None if target == i else str(target), (html or "") if target == i else None)
+    both = sorted((r["record_type"], str(r["refers_to"])) for r in archives.read_warc(spark, f"{tmp_path}/w").where("key = 'None'").collect())
+    assert both == [("response", "None"), ("revisit", "1")]
     archives.write_warc(df.limit(0), f"{tmp_path}/none")
     assert archives.read_warc(spark, f"{tmp_path}/none").count() == 0
 
