@@ -28,8 +28,8 @@ from .common import connected_components, map_texts, saved, stars, table, text_o
 BITS, SHINGLE, LIMIT, SEED = 64, 4, 4, 42
 #: Groups up to SMALL are compared by shifted rows at once, those beyond LARGE are joined again by their other bits.
 SMALL, LARGE = 32, 512
-#: Indexed rows in a task; fingerprints of a variant beyond which it is dealt by second variants.
-DEALT, HOT = 2_000_000, 500_000
+#: Indexed rows in a task, while there are no more than TASKS; fingerprints of a variant beyond which it is dealt by second variants.
+DEALT, TASKS, HOT = 400_000, 50_000, 500_000
 #: Least hashes that tell which shingle sets are compared, in bands of ROWS: a pair at 0.8 is passed over with a chance of (1 - 0.8 ** 5) ** 40.
 BANDS, ROWS = 40, 5
 MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,13 +204,14 @@ def components(prints: DataFrame, limit: int, n_segments: int, key: str = "doc_i
     rows = distinct.count()
     cuts = segments_of(BITS, n_segments)
     indexed = index(distinct, cuts)
+    n_parts = min(TASKS, max(8, BITS * rows // DEALT))
     crowded = saved(_crowded(distinct, cuts, hot), "crowded") if rows > hot else None
     if crowded is not None and crowded.count():
-        usual = met(indexed.join(crowded, "variant", "left_anti"), ["variant"], limit, cuts, max(8, BITS * rows // DEALT))
+        usual = met(indexed.join(crowded, "variant", "left_anti"), ["variant"], limit, cuts, n_parts)
         split = second(indexed.join(crowded, "variant", "left_semi"), cuts)
-        edges = usual.unionByName(met(split, ["variant", "other"], limit, cuts, max(8, BITS * rows // DEALT)))
+        edges = usual.unionByName(met(split, ["variant", "other"], limit, cuts, n_parts))
     else:
-        edges = met(indexed, ["variant"], limit, cuts, max(8, BITS * rows // DEALT))
+        edges = met(indexed, ["variant"], limit, cuts, n_parts)
     reached = connected_components(edges)
     of_fp = distinct.join(reached, distinct["id"] == reached["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(of_fp, "fp", "left").select(key, "fp", "component_id")
