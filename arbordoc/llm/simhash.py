@@ -34,7 +34,7 @@ DEALT, TASKS, HOT = 400_000, 50_000, 500_000
 BANDS, ROWS = 40, 5
 MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingle sets, and distinct shingles of them, that one task compares with each other at once.
-SETS, SHINGLES = 1024, 2_000_000
+SETS, SHINGLES = 256, 2_000_000
 
 
 def fingerprints(texts: list[str], shingle: int, seed: int) -> np.ndarray:
@@ -282,26 +282,26 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 
 
 def _forests(groups: DataFrame, by: list[str], nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): what exact similarity links among the nodes of each group (groups: by, node); groups of equal members are one."""
+    """(a, b): keys of nodes that exact similarity links within each group (groups: by, node); groups of equal members are one."""
     members = groups.groupBy(*by).agg(F.array_sort(F.collect_set("node")).alias("members")).where(F.size("members") > 1).select("members").distinct()
     asked = members.select(F.xxhash64("members").alias("part"), F.explode("members").alias("node"))
-    rows = asked.join(nodes.select("node", "key"), "node").join(texts, "key").select("part", "node", "text")
+    rows = asked.join(nodes.select("node", "key"), "node").join(texts, "key").select("part", "node", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, {}
+        now, own, keys = None, {}, {}
 
         def found() -> Iterator[pa.RecordBatch]:
             if len(own) > 1 and (pairs := alike(list(own.values()), similarity)):
-                ids = np.array(list(own))
+                ids = np.array([keys[node] for node in own])
                 yield pa.record_batch([pa.array(ids[[p[i] for p in pairs]]) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for part, node, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, node, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     yield from found()
-                    now, own = part, {}
+                    now, own, keys = part, {}, {}
                 if node not in own and node_of(x := shingle_set(t, shingle)) == node:  # a key may have other texts
-                    own[node] = x
+                    own[node], keys[node] = x, k
         yield from found()
 
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
@@ -336,16 +336,15 @@ def near_copies(docs: DataFrame, similarity: float, shingle: int, text: str = "t
     edges = saved(_forests(crowd.select("band", "s", "node").unionByName(heads), ["band", "s"], nodes, texts, similarity, shingle), "links")
     reached = connected_components(edges)
     if wide.limit(1).count():
-        placed = wide.join(reached, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        placed = wide.join(nodes.select("node", "key"), "node").join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
         main = placed.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), (F.sum("count") - F.max("count")).alias("loose")).where("loose > 0")
         loose = saved(placed.join(main, "band").withColumn("q", F.expr("CAST(ceil(loose * p / members) AS BIGINT)")).select("band", "node", "p", "s", "q", (F.col("c") != F.col("main")).alias("out"), F.expr("pmod(xxhash64(node, 1), q)").alias("t")), "loose")
         every = loose.select("band", "s", F.explode(F.expr("sequence(0L, q - 1)")).alias("t"), "node")
         out = loose.where("out").select("band", F.explode(F.expr("sequence(0L, p - 1)")).alias("s"), "t", "node")
         more = _forests(every.unionByName(out), ["band", "s", "t"], nodes, texts, similarity, shingle)
         reached = connected_components(edges.unionByName(more))
-    of_key = prints.select("key", "node").join(reached, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    least = of_key.groupBy("component").agg(F.min("key").alias("component_id"))
-    return of_key.join(least, "component").select(F.col("key").alias(key), "component_id")
+    of_node = nodes.select("node", F.col("key").alias("first")).join(reached.withColumnRenamed("node", "first"), "first", "left")
+    return prints.select("key", "node").join(of_node, "node", "left").select(F.col("key").alias(key), F.coalesce("component", "first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id") -> DataFrame:
