@@ -26,6 +26,8 @@ from .common import connected_components, saved, stars, table, tree_sum
 COSINE, LEADING = 0.93, 6
 #: Rows of a block and of a tile; blocks of a part of the order, which one task forms; children of an interval.
 BLOCK, TILE, BLOCKS, CHILDREN = 1024, 128, 32, 8
+#: Parts of the order at most; beyond that a part has more blocks.
+PARTS = 50_000
 #: Cosines this close to the threshold are computed again, exactly rounded.
 DOUBT = 1e-9
 
@@ -204,7 +206,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     cells = [f"c{i}" for i in range(leading)]
     placed = classes.select("g", F.col("v").cast("array<double>").alias("v"), "id", "n").mapInArrow(place, "g long, v array<double>, id long, n long, at array<double>, " + ", ".join(f"{c} int" for c in cells))
     order = ["g", *cells, "id"]
-    parts = max(1, count // (BLOCKS * BLOCK))
+    parts = min(PARTS, max(1, count // (BLOCKS * BLOCK)))
     ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
