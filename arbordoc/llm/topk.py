@@ -130,7 +130,7 @@ class Best:
             score += q[:, at : at + STEP] @ columns[at : at + STEP, kept]
             room = q_left[:, step, None] * columns_left[step, kept]
             least = self.least[some]
-            if len(kept) > k:
+            if len(kept) > k and (step < 2 or not np.isfinite(least).all()):  # later on the scores found before are as good
                 least = np.maximum(least, np.partition(score - room, len(kept) - k, axis=1)[:, len(kept) - k])
             alive = (score + room >= least[:, None]) & np.isfinite(score)
             used = alive.any(axis=0)
