@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +67,8 @@ def _drop(spark: SparkSession, named: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {named}")
 
 
-def tree_sum(vectors: DataFrame, width: int = 64) -> np.ndarray | None:
-    """The sum of all rows of vectors (part long, x binary: doubles of one length), in two steps; None without rows."""
+def tree_sum(vectors: DataFrame, widths: tuple[int, ...] = (64, 8, 1)) -> np.ndarray | None:
+    """The sum of all rows of vectors (part long, x binary: doubles of one length), by steps of so many tasks; None without rows."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -75,13 +77,20 @@ def tree_sum(vectors: DataFrame, width: int = 64) -> np.ndarray | None:
                 v = np.frombuffer(x.as_buffer(), np.float64)
                 total = v.copy() if total is None else np.add(total, v, out=total)
         if total is not None:
-            yield pa.record_batch([pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "x"])
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "x"])
 
-    some = vectors.select("part", "x").repartition(width, "part").mapInArrow(add, "part long, x binary")
-    got = some.repartition(1).mapInArrow(add, "part long, x binary").collect()
+    rows = vectors.select("part", "x")
+    for width in widths:
+        rows = rows.repartition(width, "part").mapInArrow(add, "part long, x binary")
+    got = rows.collect()
     return np.frombuffer(got[0]["x"], np.float64) if got else None
 
 
+def file_bytes(spark: SparkSession, path: str) -> Broadcast[bytes]:
+    """A vocabulary file that the driver has, for all tasks: a few MB whatever the input."""
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

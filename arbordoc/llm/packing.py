@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, saved, table, text_of
+from .common import file_bytes, map_texts, saved, table, text_of
 
 CAPACITY, END = 1024, 2
 KEPT, LONGEST = 400_000, 48
@@ -57,10 +57,10 @@ class Ids:
     texts are cut into pre-tokens; texts beyond U+024F or with special tokens go to the tokenizer whole.
     """
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: bytes):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.tokenizer = Tokenizer.from_str(tokenizer.decode())
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.chunks: dict[str, bytes] = {}
@@ -108,9 +108,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     """
     names = [key, "piece", "start", "length", "ids_crc32", "task", "number"]
     last = np.array([end], "<u4").tobytes()
+    shared = file_bytes(docs.sparkSession, tokenizer)
 
     def make():
-        ids = Ids(tokenizer)
+        ids = Ids(shared.value)
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
 

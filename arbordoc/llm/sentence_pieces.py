@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, text_of
+from .common import file_bytes, map_texts, table, text_of
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -25,10 +25,10 @@ KEPT, LONGEST = 200_000, 64
 class WordTable:
     """word without its first mark -> (ids, those in decimal, what they decode to behind a word); begun anew at KEPT words."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
 
-        self.sp = SentencePieceProcessor(model_file=model)
+        self.sp = SentencePieceProcessor(model_proto=model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         for i, piece in enumerate(pieces):
             if MARK in piece.lstrip(MARK):
@@ -67,11 +67,15 @@ def words_of(text: str) -> list[str]:
 
 
 def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids array<int>, decoded string) of every whole text; a null text counts as empty (the end id alone)."""
+    """(key, ids array<int>, decoded string) of every whole text; a null text counts as empty (the end id alone).
+
+    model: a file that the driver reads; the tasks get its bytes. Odd rows as encode_digests says.
+    """
     schema = f"{key} long, ids array<int>, decoded string"
+    shared = file_bytes(docs.sparkSession, model)
 
     def make():
-        words = WordTable(model)
+        words = WordTable(shared.value)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = words.encode(batch.column(1).to_pylist())
@@ -86,13 +90,14 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str =
 def encode_digests(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """As encode_documents, with counts and digests in place of ids and texts.
 
-    Nulls: a null text is empty, a null key stays null. Repeated rows give repeated results; an empty table
-    an empty result; other columns are not read.
+    Nulls: a null text is empty, a null key stays null. Repeated rows give repeated results; very long texts are encoded
+    whole; an empty table gives an empty result; other columns are not read, whatever their names.
     """
     schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    shared = file_bytes(docs.sparkSession, model)
 
     def make():
-        words = WordTable(model)
+        words = WordTable(shared.value)
         end = str(words.end)
 
         def digest(s: str) -> str:
