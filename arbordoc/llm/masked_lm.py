@@ -10,39 +10,38 @@ The network gives the probability of a number; counts of all words and of all pa
 single word. They grow with the corpus and are never on one machine: blocks of texts ask for the totals of their own
 distinct words and pairs, tasks add what all blocks have of a range of hashes and answer each. See `mixed`.
 
-Each task trains the same starting network on its own rows, in order; the results are averaged by the words
-they saw. This is one round of local training; `rounds` repeats it from the average. Every word of every document
-is counted, trained on and scored.
+Documents are dealt to blocks by a hash of key and text, in numbers that follow from the corpus's size alone, so neither
+counts nor training depend on how the table lies. Every block trains the same starting network on its own texts, in
+order; the results are averaged by the words they saw. This is one round of local training; `rounds` repeats it from the
+average. Every word of every document is counted, trained on and scored.
 """
 
 from __future__ import annotations
 
-import uuid
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, slices, table, text_of
+from .common import saved, slices, table, text_of, tree_sum
 
 BASE = 32  # digits; BASE * BASE numbers
 OTHERS = 256  # numbers that rarer words share
 EDGE = BASE * BASE  # the number of what lies beyond a document's ends
+KNOWN = EDGE - OTHERS  # words with numbers of their own
 WIDTH, SPAN = 16, 2
 BATCH, RATE = 2048, 0.1
 SHAPES = {"context": (2 * SPAN, EDGE + 1, WIDTH), "first": (WIDTH, BASE), "first_bias": (BASE,), "second": (WIDTH, BASE), "second_bias": (BASE, BASE)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-#: Words that a task counts before it hands the counts on.
-COUNTED = 200_000
-#: Words of the corpus for each range of hashes that a task adds up; a range has no more distinct words and pairs than that.
-RANGE = 2_000_000
-#: Bytes of text in a block, which asks for its words and pairs at once.
-BLOCK = 2 << 20
+#: Bytes of the corpus for each range of hashes that a task adds up: some 3 million words.
+RANGE = 16 << 20
+#: Bytes of text in a block, which asks for its words and pairs at once; so many tasks deal and form blocks at most.
+BLOCK, TASKS = 4 << 20, 50_000
 #: Half an occurrence is given to every word of a bucket, so that a word seen nowhere else has a share.
 HALF = 0.5
 
@@ -105,133 +104,73 @@ def _move(value: np.ndarray, total: np.ndarray, where, g: np.ndarray) -> None:
     value[where] -= RATE * g / np.sqrt(total[where] + 1e-8)
 
 
-class Numbers:
-    """word -> number."""
+class Vocabulary:
+    """Numbers of words by their hashes: the known ones' own, the others' buckets, with what is counted of each bucket."""
 
-    def __init__(self, known: dict[str, int]):
-        self.known, self.seen = known, dict(known)
+    def __init__(self, known: list[tuple[int, int]], sums: np.ndarray):
+        """known: (hash, occurrences), the most frequent first; sums: occurrences and distinct words of all words by bucket."""
+        hashes = np.array([h for h, _ in known], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], order.astype(np.int16)
+        self.sums = sums.copy()
+        for h, n in known:
+            self.sums[:, h % OTHERS] -= (n, 1)
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self.seen) > 400_000:
-            self.seen = dict(self.known)
-        seen, out = self.seen, []
-        for w in words:
-            if (n := seen.get(w)) is None:
-                n = seen[w] = EDGE - OTHERS + zlib.crc32(w.encode()) % OTHERS
-            out.append(n)
-        return np.array(out, np.int16)
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = (KNOWN + (hashes % np.uint64(OTHERS)).astype(np.int64)).astype(np.int16)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            own = self.hashes[at] == hashes
+            out[own] = self.numbers[at[own]]
+        return out
 
-    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(neighbours, word, words in each text)."""
-        split = [t.split() for t in texts]
-        lengths = np.array([len(x) for x in split], np.int64)
-        numbers = self.of([w for x in split for w in x])
-        n = len(numbers)
-        around = np.full((n, 2 * SPAN), EDGE, np.int16)
-        text = np.repeat(np.arange(len(split)), lengths)
-        for k, d in enumerate([*range(-SPAN, 0), *range(1, SPAN + 1)]):
-            lo, hi = max(0, -d), min(n, n - d)
-            if hi > lo:
-                same = text[lo:hi] == text[lo + d : hi + d]
-                around[lo:hi, k] = np.where(same, numbers[lo + d : hi + d], EDGE)
-        return around, numbers, lengths
-
-
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all documents; tasks hand on their own counts, summed by word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[str] = Counter()
-        give = lambda: pa.record_batch([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-        for piece in slices(batches, "text"):
-            for t in piece.column(0).to_pylist():
-                count.update(t.split())
-            if len(count) > COUNTED:
-                yield give()
-                count.clear()
-        if count:
-            yield give()
-
-    return docs.select(text_of(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def numbers_of(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> dict[str, int]:
-    """The most frequent words of the whole corpus, numbered; ties by the word. As many as the network has numbers for."""
-    counts = count_words(docs, text) if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "word").limit(EDGE - OTHERS).collect()
-    return {r["word"]: i for i, r in enumerate(top)}
-
-
-def bucket_totals(counts: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences and distinct words that share each number; one word has a number of its own."""
-    sc = counts.sparkSession.sparkContext
-    words = sc.broadcast(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, EDGE), np.int64)
-        for batch in batches:
-            numbers = Numbers(words.value).of(batch.column(0).to_pylist())
-            np.add.at(total[0], numbers, batch.column(1).to_numpy())
-            total[1] += np.bincount(numbers, minlength=EDGE)
-        yield pa.record_batch([pa.array(np.arange(EDGE)), pa.array(total[0]), pa.array(total[1])], ["i", "n", "words"])
-
-    got = counts.select("word", "n").mapInArrow(run, "i long, n long, words long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
-    total = np.zeros((2, EDGE))
-    for row, name in enumerate(("n", "words")):
-        total[row, got.column("i").to_numpy()] = got.column(name).to_numpy()
-    return total[0], total[1]
-
-
-def train(docs: DataFrame, known: dict[str, int], rounds: int = 1, text: str = "text") -> np.ndarray:
-    """The averaged parameters (a fixed number of floats). The starting network where there are no words."""
-    sc = docs.sparkSession.sparkContext
-    flat = Network.start().flat
-    words = sc.broadcast(known)
-    for _ in range(rounds):
-        shared = sc.broadcast(flat)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            net, sums, numbers, seen = Network(shared.value.copy()), Network(np.zeros(SIZE, np.float32)), Numbers(words.value), 0
-            for piece in slices(batches, "text"):
-                around, word, _ = numbers.windows(piece.column(0).to_pylist())
-                for at in range(0, len(word), BATCH):
-                    net.step(around[at : at + BATCH], word[at : at + BATCH], sums)
-                seen += len(word)
-            if seen:
-                moved = (net.flat.astype(np.float64) * seen).tolist()
-                yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([moved], pa.list_(pa.float64()))], ["seen", "moved"])
-
-        local = docs.select(text_of(text).alias("text")).mapInArrow(run, "seen long, moved array<double>")
-        mean = local.select("seen", F.posexplode("moved").alias("i", "x")).groupBy("i").agg((F.sum("x") / F.sum("seen")).alias("x"))
-        got = mean.toArrow()  # SIZE rows
-        if got.num_rows:
-            flat = flat.copy()
-            flat[got.column("i").to_numpy()] = got.column("x").to_numpy()
-    return flat
+    def share(self, number: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The share of its number that a word with n occurrences has, the one that is scored left out."""
+        bucket = np.maximum(number.astype(np.int64) - KNOWN, 0)
+        return np.where(number < KNOWN, 1.0, (n - 1 + HALF) / (self.sums[0, bucket] - 1 + HALF * self.sums[1, bucket]))
 
 
 class Words:
-    """The words of a block of texts: their hashes, pairs of neighbours and own counts, distinct ones by hash."""
+    """The words of a block of texts: distinct ones by their hashes, and which one stands where."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, lengths: np.ndarray, keys: np.ndarray, word: np.ndarray):
+        self.lengths, self.keys, self.word = lengths, keys, word
+        self.text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        #: places of words that another word of the text follows
+        self.left = np.flatnonzero(self.text[:-1] == self.text[1:])
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Words:
         split = [t.split() for t in texts]
-        self.lengths = np.array([len(x) for x in split], np.int64)
+        lengths = np.array([len(x) for x in split], np.int64)
         coded = pa.array([w for x in split for w in x], pa.large_string()).dictionary_encode()
+        del split
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-        self.keys, at = np.unique(hashes, return_inverse=True)
-        self.word = at[coded.indices.to_numpy()] if len(hashes) else np.zeros(0, np.int64)
-        text = np.repeat(np.arange(len(split)), self.lengths)
-        del split, coded
-        #: places of words that another word of the text follows
-        self.left = np.flatnonzero(text[:-1] == text[1:])
+        keys, at = np.unique(hashes, return_inverse=True)
+        return cls(lengths, keys, at[coded.indices.to_numpy()].astype(np.int32) if len(hashes) else np.zeros(0, np.int32))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of neighbours by their hashes, which one stands at each place of left, and their numbers here."""
         a, b = self.keys[self.word[self.left]], self.keys[self.word[self.left + 1]]
         mixed = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ b >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        self.pair_keys, self.pair, self.pair_counts = np.unique(mixed ^ mixed >> np.uint64(29), return_inverse=True, return_counts=True)
+        return np.unique(mixed ^ mixed >> np.uint64(29), return_inverse=True, return_counts=True)
 
     def counts(self) -> np.ndarray:
         """Of each distinct word: occurrences, those before another word, those behind one."""
         return np.stack([np.bincount(self.word[at], minlength=len(self.keys)) for at in (slice(None), self.left, self.left + 1)], axis=1)
 
+    def windows(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """(neighbours' numbers, number) of each word."""
+        numbers = vocabulary.of(self.keys)[self.word]
+        n = len(numbers)
+        around = np.full((n, 2 * SPAN), EDGE, np.int16)
+        for k, d in enumerate([*range(-SPAN, 0), *range(1, SPAN + 1)]):
+            lo, hi = max(0, -d), min(n, n - d)
+            if hi > lo:
+                same = self.text[lo:hi] == self.text[lo + d : hi + d]
+                around[lo:hi, k] = np.where(same, numbers[lo + d : hi + d], EDGE)
+        return around, numbers
+
 
 def packed_keys(keys: np.ndarray) -> bytes:
     """Ascending keys as differences, byte by byte: the leading zeros stand together and compress away."""
@@ -255,25 +194,40 @@ def unpacked_counts(data: bytes) -> np.ndarray:
     return out
 
 
-def packed_docs(ids: pa.Array, texts: pa.Array) -> bytes:
-    batch = pa.record_batch([ids, texts], ["id", "text"])
+def packed_places(word: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte by byte as the keys are."""
+    return word.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked_places(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def packed_rows(ids: pa.Array, lengths: np.ndarray) -> bytes:
+    batch = pa.record_batch([ids, pa.array(lengths)], ["id", "length"])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
+def block_of(rows: bytes, keys: bytes, words: bytes) -> tuple[pa.Array, Words]:
+    """(ids, words) of a block."""
+    t = pa.ipc.open_stream(zstandard.decompress(rows)).read_all()
+    return t.column("id").combine_chunks(), Words(t.column("length").to_numpy(), unpacked_keys(zstandard.decompress(keys)), unpacked_places(zstandard.decompress(words)))
+
+
 def mixed(words: Words, log_number: np.ndarray, share: np.ndarray, totals: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """log P(word | neighbours) of each word of a block, from the corpus without the occurrence that is scored.
 
-    log_number: log P(number | neighbours) by the network; share: each word's share of its number; totals, pairs: counts
-    of the block's distinct words and pairs over the corpus. Both together are a distribution q over all words. Of n other
+    log_number: log P(number | neighbours) by the network; share: each word's share of its number; totals: counts of the
+    block's distinct words over the corpus; pairs: that of the pair at each place of words.left. Both together are a distribution q over all words. Of n other
     words seen beside a neighbour, c of them this word, its probability is (c + a q) / (n + a), a = n ** 0.75 (at
     least 1): words seen beside another grow by about that power. Both sides count alike; at an end of the text, q stands for its side.
     """
     q = np.exp(log_number) * share
     both = np.zeros(len(q))
-    c = pairs[words.pair] - 1.0
+    c = pairs - 1.0
     for at, neighbour, column in ((words.left + 1, words.left, 1), (words.left, words.left + 1, 2)):
         n = totals[words.word[neighbour], column] - 1.0
         a = np.maximum(1.0, n**0.75)
@@ -283,6 +237,35 @@ def mixed(words: Words, log_number: np.ndarray, share: np.ndarray, totals: np.nd
     return np.log(both)
 
 
+def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(block, n_bytes, rows, keys, words): rows (id, text) dealt by a hash of both, in its order, about BLOCK bytes of text to a block, split into words once."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    names, types = ["block", "n_bytes", "rows", "keys", "words"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, n, number = TaskContext.get().partitionId(), [], 0, 0
+
+        def give() -> pa.RecordBatch:
+            one = pa.Table.from_batches(held)
+            own = Words.of(one.column(1).to_pylist())
+            data = [zstandard.compress(x, 1) for x in (packed_rows(one.column(0).combine_chunks(), own.lengths), packed_keys(own.keys), packed_places(own.word))]
+            return pa.record_batch([pa.array([v], t) for v, t in zip((task << 32 | number, n, *data), types, strict=True)], names)
+
+        for piece in slices(batches, "text", BLOCK):
+            size = piece.column(1).nbytes
+            if held and n + size > 1.5 * BLOCK:
+                yield give()
+                held, n, number = [], 0, number + 1
+            held.append(piece)
+            n += size
+        if held:
+            yield give()
+
+    dealt = rows.withColumn("h", F.xxhash64("id", "text")).repartition(min(TASKS, max(1, total // BLOCK)), "h").sortWithinPartitions("h", "id", "text")
+    return saved(dealt.select("id", "text").mapInArrow(run, "block long, n_bytes long, rows binary, keys binary, words binary"), "blocks")
+
+
 def asked(blocks: DataFrame, n_ranges: int) -> DataFrame:
     """(block, kind, part, keys, counts): distinct words (kind 0) and pairs (1) of each block with its counts, by range of hashes."""
     edges = np.array([(i << 64) // n_ranges for i in range(1, n_ranges)], np.uint64)
@@ -291,20 +274,27 @@ def asked(blocks: DataFrame, n_ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = Words(pa.ipc.open_stream(docs.as_buffer()).read_all().column("text").to_pylist())
-                for kind, keys, counts in ((0, words.keys, words.counts()), (1, words.pair_keys, words.pair_counts)):
+            for block, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = block_of(*data)[1]
+                pair_keys, _, pair_counts = words.pairs()
+                for kind, keys, counts in ((0, words.keys, words.counts()), (1, pair_keys, pair_counts)):
                     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
                     rows = [(block, kind, i, packed_keys(keys[a:b]), packed_counts(counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
                     if rows:
                         yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                del words, keys, counts, rows
+                del words, pair_keys, pair_counts, keys, counts, rows
 
     return blocks.mapInArrow(run, "block long, kind int, part int, keys binary, counts binary")
 
 
 def answered(asked: DataFrame, n_ranges: int) -> DataFrame:
-    """(block, kind, part, totals): the same keys' counts over all blocks."""
+    """(block, kind, part, totals, hashes): the same keys' counts over all blocks.
+
+    For each range there are also its KNOWN most frequent words (kind 2: occurrences and hashes) and what it has of each
+    bucket (kind 3: occurrences, then distinct words).
+    """
+    names, types = ["block", "kind", "part", "totals", "hashes"], [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    row = lambda *values: pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[tuple[int, int], list[tuple]] = {}
@@ -315,37 +305,78 @@ def answered(asked: DataFrame, n_ranges: int) -> DataFrame:
             (part, kind), found = rows.popitem()
             found = [(block, unpacked_keys(keys), unpacked_counts(counts)) for block, keys, counts in found]
             width = 1 if kind else 3
-            at = np.unique(np.concatenate([x[1] for x in found]), return_inverse=True)[1]
+            every, at = np.unique(np.concatenate([x[1] for x in found]), return_inverse=True)
             counts = np.concatenate([x[2] for x in found]).reshape(-1, width)
             totals = np.stack([np.bincount(at, counts[:, i]).astype(np.int64) for i in range(width)], axis=1)
             start = 0
             for block, keys, _ in found:
                 own = totals[at[start : start + len(keys)]]
                 start += len(keys)
-                yield pa.record_batch([pa.array([block]), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([packed_counts(own)], pa.binary())], ["block", "kind", "part", "totals"])
+                yield row(block, kind, part, packed_counts(own), None)
+            if kind == 0:
+                top = np.lexsort((every, -totals[:, 0]))[:KNOWN]
+                yield row(-1, 2, part, totals[top, 0].tobytes(), every[top].tobytes())
+                bucket = (every % np.uint64(OTHERS)).astype(np.int64)
+                sums = np.concatenate([np.bincount(bucket, totals[:, 0], OTHERS), np.bincount(bucket, minlength=OTHERS)])
+                yield row(-1, 3, part, sums.astype(np.float64).tobytes(), None)
 
-    return asked.repartition(n_ranges, "part").mapInArrow(run, "block long, kind int, part int, totals binary")
+    return asked.repartition(n_ranges, "part").mapInArrow(run, "block long, kind int, part int, totals binary, hashes binary")
 
 
-def score(docs: DataFrame, known: dict[str, int], flat: np.ndarray, text: str = "text", key: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
-    """(key, n_words, log_probability, mean_log_probability); no words: 0 words, a sum of 0 and a null mean.
+def count(blocks: DataFrame) -> DataFrame:
+    """What answered gives, written: totals of all words and pairs over the whole corpus."""
+    n_ranges = max(4, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // RANGE))
+    return saved(answered(asked(blocks.select("block", "rows", "keys", "words"), n_ranges), n_ranges), "answers")
 
-    Words and pairs are counted over all of docs; counts: as count_words gives them for docs.
-    """
-    sc = docs.sparkSession.sparkContext
-    counts = saved(count_words(docs, text), "words") if counts is None else counts
-    sums = bucket_totals(counts, known)
-    words, shared, totals = sc.broadcast(known), sc.broadcast(flat), sc.broadcast(sums)
-    n_ranges = max(8, -(-int(sums[0].sum()) // RANGE))
-    names = [key, "n_words", "log_probability", "mean_log_probability"]
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", BLOCK):
-            yield pa.record_batch([pa.array([uuid.uuid4().int >> 65]), pa.array([packed_docs(piece.column(0), piece.column(1))], pa.binary())], ["block", "docs"])
+def vocabulary_of(answers: DataFrame) -> Vocabulary:
+    """The KNOWN most frequent words of the corpus, ties by their hashes, and the buckets of all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, net = Numbers(words.value), Network(shared.value)
-        n_shared, words_shared = totals.value
+        for batch in batches:
+            for n, h in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.record_batch([pa.array(np.frombuffer(h.as_buffer(), np.int64)), pa.array(np.frombuffer(n.as_buffer(), np.int64))], ["h", "n"])
+
+    words = answers.where("kind = 2").select("totals", "hashes").mapInArrow(run, "h long, n long")
+    top = words.orderBy(F.desc("n"), F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).limit(KNOWN).collect()
+    sums = tree_sum(answers.where("kind = 3").select(F.col("part").cast("long").alias("part"), F.col("totals").alias("x")))
+    return Vocabulary([(r["h"] % (1 << 64), r["n"]) for r in top], np.zeros((2, OTHERS)) if sums is None else sums.reshape(2, OTHERS))
+
+
+def train(blocks: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> np.ndarray:
+    """The averaged parameters (a fixed number of floats). The starting network where there are no words."""
+    sc = blocks.sparkSession.sparkContext
+    flat = Network.start().flat
+    words = sc.broadcast(vocabulary)  # fixed size, as the parameters are
+    for _ in range(rounds):
+        shared = sc.broadcast(flat)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(SIZE + 1)
+            for batch in batches:
+                for data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    around, word = block_of(*data)[1].windows(words.value)
+                    net, sums = Network(shared.value.copy()), Network(np.zeros(SIZE, np.float32))
+                    for at in range(0, len(word), BATCH):
+                        net.step(around[at : at + BATCH], word[at : at + BATCH], sums)
+                    total[:SIZE] += net.flat.astype(np.float64) * len(word)
+                    total[SIZE] += len(word)
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "x"])
+
+        total = tree_sum(blocks.select("rows", "keys", "words").mapInArrow(run, "part long, x binary"))
+        if total is not None and total[SIZE]:
+            flat = (total[:SIZE] / total[SIZE]).astype(np.float32)
+    return flat
+
+
+def score(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, key: str = "doc_id") -> DataFrame:
+    """(key, n_words, log_probability, mean_log_probability); no words: 0 words, a sum of 0 and a null mean."""
+    sc = blocks.sparkSession.sparkContext
+    words, shared = sc.broadcast(vocabulary), sc.broadcast(flat)
+    names = [key, "n_words", "log_probability", "mean_log_probability"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(shared.value)
         got: tuple[list, list] = ([], [])
         for batch in batches:
             for at in range(batch.num_rows):
@@ -353,33 +384,37 @@ def score(docs: DataFrame, known: dict[str, int], flat: np.ndarray, text: str =
                 if kind < 2:
                     got[kind].append(unpacked_counts(batch.column(3)[at].as_py()))
                     continue
-                rows = pa.ipc.open_stream(batch.column(4)[at].as_buffer()).read_all()
-                texts = rows.column("text").to_pylist()
-                own = Words(texts)
-                around, number, lengths = numbers.windows(texts)
+                ids, own = block_of(*(batch.column(k)[at].as_py() for k in (4, 5, 6)))
+                around, number = own.windows(words.value)
                 each = [net.log_probability(around[i : i + BATCH], number[i : i + BATCH]).astype(np.float64) for i in range(0, len(number), BATCH)]
                 of_word, of_pair = (np.concatenate([np.zeros(0, np.int64), *x]) for x in got)
-                of_word = of_word.reshape(-1, 3)
+                of_word, of_pair = of_word.reshape(-1, 3), of_pair.reshape(-1, 1)
                 got = ([], [])
-                share = np.where(number < EDGE - OTHERS, 1.0, (of_word[own.word, 0] - 1 + HALF) / (n_shared[number] - 1 + HALF * words_shared[number]))
-                total = np.concatenate([[0.0], np.cumsum(mixed(own, np.concatenate([[], *each]), share, of_word, of_pair))])
-                ends = np.cumsum(lengths)
-                sums = total[ends] - total[ends - lengths]
-                mean = pa.array([s / n if n else None for s, n in zip(sums.tolist(), lengths.tolist(), strict=True)], pa.float64())
-                yield pa.record_batch([rows.column("id").combine_chunks(), pa.array(lengths), pa.array(sums), mean], names)
-
-    blocks = saved(docs.select(F.col(key).cast("long").alias(key), text_of(text).alias("text")).mapInArrow(block, "block long, docs binary"), "blocks")
-    answers = answered(asked(blocks, n_ranges), n_ranges).withColumn("docs", F.lit(None).cast("binary"))
-    rows = answers.unionByName(blocks.select("block", F.lit(2).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("totals"), "docs"))
-    dealt = rows.repartition(n_ranges, "block").sortWithinPartitions("block", "kind", "part")
+                share = words.value.share(number, of_word[own.word, 0])
+                total = np.concatenate([[0.0], np.cumsum(mixed(own, np.concatenate([[], *each]), share, of_word, of_pair[own.pairs()[1], 0] if len(of_pair) else of_pair[:, 0]))])
+                ends = np.cumsum(own.lengths)
+                sums = total[ends] - total[ends - own.lengths]
+                mean = pa.array([s / n if n else None for s, n in zip(sums.tolist(), own.lengths.tolist(), strict=True)], pa.float64())
+                yield pa.record_batch([ids, pa.array(own.lengths), pa.array(sums), mean], names)
+
+    none = F.lit(None).cast("binary")
+    rows = answers.where("kind < 2").select("block", "kind", "part", "totals", none.alias("rows"), none.alias("keys"), none.alias("words"))
+    rows = rows.unionByName(blocks.select("block", F.lit(2).alias("kind"), F.lit(0).alias("part"), none.alias("totals"), "rows", "keys", "words"))
+    dealt = rows.repartition(min(TASKS, max(8, blocks.select("block").count())), "block").sortWithinPartitions("block", "kind", "part")
     return dealt.mapInArrow(run, f"{key} long, n_words long, log_probability double, mean_log_probability double")
 
 
-def score_corpus(docs: DataFrame, rounds: int = 1) -> DataFrame:
-    """Counts, trains and scores over all rows; nulls count as empty texts, repeated rows one by one, other columns are not read."""
-    counts = saved(count_words(docs), "words")
-    known = numbers_of(docs, counts=counts)
-    return score(docs, known, train(docs, known, rounds), counts=counts)
+def score_corpus(docs: DataFrame, rounds: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Counts, trains and scores over all rows: (key, n_words, log_probability, mean_log_probability).
+
+    Null texts count as empty ones and score 0; null keys, repeated rows and ties are rows of their own; very long texts are
+    scored whole; other columns are not read, whatever their names. An empty table gives no rows. The scores of a table
+    do not depend on its partitions.
+    """
+    dealt = blocks(docs, key, text)
+    answers = count(dealt)
+    vocabulary = vocabulary_of(answers)
+    return score(dealt, answers, vocabulary, train(dealt, vocabulary, rounds), key)
 
 
 def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
