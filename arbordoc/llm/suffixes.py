@@ -3,10 +3,12 @@
 A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id.
 
 1. Documents lie in chunks. In every string of `length` bytes, the 16 bytes with the least hash are its anchor, so equal
-   strings have equal anchors. Anchors' hashes are dealt by hash; one that two documents have is shared.
+   strings have equal anchors. Anchors' hashes are dealt by hash; one that two documents have is shared, one with very many
+   contexts is hot.
 2. What stands around a shared anchor (the bytes of all strings that it is the anchor of, 84 at most) is a
    context. A chunk's distinct contexts, each with its least document id, are dealt by the anchor's hash: equal
-   strings meet in one bucket.
+   strings meet in one bucket. A context of a hot anchor is cut in two, the strings that begin well before the anchor and
+   the others, each dealt by the bytes before or behind the anchor, too: all its strings have them.
 3. A bucket's contexts form shards. Each shard is sorted on its own and gives its Burrows-Wheeler transform, up
    to four bytes a step. The transforms are merged by refining the interleave: knowing which shard each rank
    comes from when suffixes are ordered by their first h bytes, a stable distribution of the ranks by the k bytes
@@ -39,6 +41,8 @@ LENGTH, GRAM = 50, 16
 #: Bytes of text for which there is one bucket; bytes of contexts in a shard.
 BUCKET, SHARD = 8 << 20, 1 << 19
 PRIME = 0x100000001B3
+#: Contexts of an anchor beyond which they are dealt by more than the anchor.
+HOT = 4096
 END = 0xFF  # ends a context; no UTF-8 text holds this byte
 NO_ID = np.iinfo(np.int64).max
 
@@ -76,7 +80,7 @@ class Chunk:
         """Runs of strings with one anchor: first and last start, the anchor's hash, the row."""
         span = self.length - GRAM + 1
         data = np.frombuffer(self.data, np.uint8)
-        self.first = self.last = self.row = np.zeros(0, np.int64)
+        self.first = self.last = self.row = self.at = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
         full = self.sizes >= self.length
         if not full.any():
@@ -100,31 +104,49 @@ class Chunk:
         new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         self.first = starts[new]
         self.last = starts[np.concatenate([new[1:], [len(starts)]]) - 1]
-        self.hash = h[anchor[new]] & ~np.uint64(1)
+        self.at = anchor[new]
+        self.hash = h[self.at] & ~np.uint64(1)
         self.row = np.searchsorted(self.begins, self.first, side="right") - 1
         # rows without text share a begin with the next one; the last of them is the one that holds it
 
-    def hashes(self) -> np.ndarray:
-        """Distinct anchor hashes; the lowest bit tells whether two of the chunk's documents have it."""
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchor hashes, whose lowest bit tells whether two of the chunk's documents have it, and their runs (255 at most)."""
         if not len(self.hash):
-            return self.hash
+            return self.hash, np.zeros(0, np.uint8)
         order = np.argsort(self.hash, kind="stable")
         h, ids = self.hash[order], self.ids[self.row[order]]
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        return h[starts] | (np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)).astype(np.uint64)
-
-    def contexts(self, shared: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Of the runs with shared anchors: their numbers and contexts' numbers; the distinct contexts, their least and greatest ids and buckets."""
-        wide = np.uint64(40)
-        keys = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(x["bucket"]) << wide | unpacked(x["shared"]) for x in shared)])
-        runs = np.flatnonzero(np.isin(bucket_of(self.hash, buckets).astype(np.uint64) << wide | self.hash & LOW, keys))
-        seen: dict[bytes, int] = {}
-        which = np.array([seen.setdefault(self.data[a:b], len(seen)) for a, b in zip(self.first[runs].tolist(), (self.last[runs] + self.length).tolist(), strict=True)], np.int64)
-        least, most, bucket = np.full(len(seen), NO_ID), np.full(len(seen), -1 - NO_ID), np.zeros(len(seen), np.int64)
-        np.minimum.at(least, which, self.ids[self.row[runs]])
-        np.maximum.at(most, which, self.ids[self.row[runs]])
-        bucket[which] = bucket_of(self.hash[runs], buckets)
-        return runs, which, list(seen), least, most, bucket
+        runs = np.diff(np.concatenate([starts, [len(h)]]))
+        return h[starts] | (np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)).astype(np.uint64), np.minimum(runs, 255).astype(np.uint8)
+
+    def contexts(self, shared: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of the runs with shared anchors, hot ones in two: their first strings, rows and contexts' numbers; the distinct contexts, their least and greatest ids and buckets."""
+        wide, one = np.uint64(40), np.uint64(1)
+        keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.uint64(x["bucket"]) << wide | unpacked(x["shared"]) for x in shared)]))
+        own = bucket_of(self.hash, buckets).astype(np.uint64) << wide | self.hash & LOW
+        at = np.searchsorted(keys, own)
+        found = keys[np.minimum(at, len(keys) - 1)] if len(keys) else np.zeros(len(own), np.uint64)
+        is_shared = (found & ~one == own) & (len(keys) > 0)
+        runs = np.flatnonzero(is_shared)
+        first, last, row, bucket = self.first[runs], self.last[runs], self.row[runs], bucket_of(self.hash[runs], buckets)
+        if (hot := np.flatnonzero(found[runs] & one)).size:
+            half = (self.length - GRAM) // 2
+            near = _rolling(np.frombuffer(self.data, np.uint8), half)
+            anchor = self.at[runs[hot]]
+            before, behind = first[hot] <= anchor - half, last[hot] > anchor - half
+            spread = lambda h, k: bucket_of((h ^ near[k] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93), buckets)
+            a, b = hot[before], hot[behind]
+            cool = np.setdiff1d(np.arange(len(runs)), hot)
+            p, q = anchor[before], anchor[behind]
+            parts = [(first[cool], last[cool], row[cool], bucket[cool]), (first[a], np.minimum(last[a], p - half), row[a], spread(self.hash[runs[a]], p - half)), (np.maximum(first[b], q - half + 1), last[b], row[b], spread(self.hash[runs[b]], q + GRAM))]
+            first, last, row, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+        seen: dict[tuple[int, bytes], int] = {}
+        which = np.array([seen.setdefault((k, self.data[a:b]), len(seen)) for k, a, b in zip(bucket.tolist(), first.tolist(), (last + self.length).tolist(), strict=True)], np.int64)
+        least, most, buckets_of = np.full(len(seen), NO_ID), np.full(len(seen), -1 - NO_ID), np.zeros(len(seen), np.int64)
+        np.minimum.at(least, which, self.ids[row])
+        np.maximum.at(most, which, self.ids[row])
+        buckets_of[which] = bucket
+        return first, row, which, [c for _, c in seen], least, most, buckets_of
 
 
 def _rolling(data: np.ndarray, n: int) -> np.ndarray:
@@ -347,21 +369,25 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                h = Chunk(batch.column(1)[i].as_py(), key, text, length).hashes()
+                h, runs = Chunk(batch.column(1)[i].as_py(), key, text, length).hashes()
                 of = bucket_of(h, buckets)
                 order = np.argsort(of, kind="stable")
                 used, starts = np.unique(of[order], return_index=True)
-                data = [packed(part) for part in np.split(h[order], starts[1:])] if len(used) else []
+                data = [packed(part) + n.tobytes() for part, n in zip(np.split(h[order], starts[1:]), np.split(runs[order], starts[1:]), strict=True)] if len(used) else []
                 yield pa.record_batch([pa.array(used), pa.array([batch.column(0)[i].as_py()] * len(used), pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "hashes"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in groups(batches):
-            each = [unpacked(r["hashes"]) for r in rows]
-            h = np.sort(np.concatenate(each))
             one = np.uint64(1)
-            same = h[1:] >> one == h[:-1] >> one
-            shared = np.unique(np.concatenate([h[1:][same], h[h & one == one]]) & ~one)
-            found = [np.intersect1d(x & ~one, shared, assume_unique=True) for x in each]
+            each = [unpacked(r["hashes"][: len(r["hashes"]) // 6 * 5]) for r in rows]
+            runs = np.concatenate([np.frombuffer(r["hashes"][len(x) * 5 :], np.uint8) for r, x in zip(rows, each, strict=True)])
+            h = np.concatenate(each)
+            keys, at, n = np.unique(h >> one, return_inverse=True, return_counts=True)
+            several = np.zeros(len(keys), bool)
+            several[at[h & one == one]] = True
+            is_shared, is_hot = several | (n > 1), np.bincount(at, runs, len(keys)) > HOT
+            mark = keys << one | is_hot.astype(np.uint64)
+            found = [mark[k][is_shared[k]] for k in np.split(at, np.cumsum([len(x) for x in each])[:-1])]
             yield pa.record_batch([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(map(packed, found), pa.binary())], ["chunk", "bucket", "shared"])
 
     dealt = chunks.select("chunk", "rows").mapInArrow(anchors, "bucket long, chunk long, hashes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -376,7 +402,7 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                _, _, _, contexts, least, most, bucket = opened(batch, i)
+                *_, contexts, least, most, bucket = opened(batch, i)
                 out: list[tuple] = []
                 for b in np.unique(bucket).tolist():
                     own = np.flatnonzero(bucket == b)
@@ -408,7 +434,7 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, runs, which, contexts, _, _, bucket = opened(batch, i)
+                chunk, first, row, which, contexts, _, _, bucket = opened(batch, i)
                 counts = np.zeros(len(contexts), np.int64)
                 parts = {}
                 for a in batch.column("answers")[i].as_py() or []:
@@ -425,12 +451,12 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
                     lengths[to], ids[to] = l, v
                 after = np.cumsum(lengths)
                 change = np.zeros(len(chunk.data) + 1, np.int32)
-                if len(runs):
+                if len(first):
                     n = counts[which]
                     at = np.repeat(begins[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     head = after[begins[which]] - lengths[begins[which]]  # strings before the context's first run
-                    start = np.repeat(chunk.first[runs] - head, n) + after[at] - lengths[at]
-                    gone = ids[at] < np.repeat(chunk.ids[chunk.row[runs]], n)
+                    start = np.repeat(first - head, n) + after[at] - lengths[at]
+                    gone = ids[at] < np.repeat(chunk.ids[row], n)
                     np.add.at(change, start[gone], 1)
                     np.add.at(change, start[gone] + lengths[at][gone] - 1 + length, -1)
                 yield finish(chunk, np.cumsum(change[:-1]) > 0)

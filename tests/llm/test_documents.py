@@ -293,9 +293,8 @@ def test_simhash(request, which):
 
 
 @pytest.mark.parametrize("hot", [simhash.HOT, 40])
-def test_simhash_links_all(spark, monkeypatch, hot):
+def test_simhash_links_all(spark, hot):
     """Loose and dense groups, through small, large and twice-joined groups of variants."""
-    monkeypatch.setattr(simhash, "LARGE", 64)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     base = np.concatenate([base, base[:3] ^ np.uint64(0b111 << 40), base[:1] & np.uint64(0x3FFFFF) | np.uint64(5 << 50)])
@@ -312,6 +311,23 @@ def test_simhash_links_all(spark, monkeypatch, hot):
     assert got == want and len(set(want.values())) > 5
 
 
+@pytest.mark.parametrize("large", [simhash.LARGE, 40])
+def test_simhash_large_groups(monkeypatch, large):
+    """A variant that hundreds share, most of them unrelated: joined once more by the other bits, nothing is lost."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rng = np.random.default_rng(9)
+    cuts = simhash.segments_of(64, 3)
+    first, n = cuts[1]
+    fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    fp = np.concatenate([fp, fp[:200] ^ (np.uint64(1) << rng.integers(0, 20, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(45, 64, 200).astype(np.uint64))])
+    mask = np.uint64(((1 << n) - 1) << first)
+    fp = np.unique(fp & ~mask | np.uint64(5 << first))
+    ids, keys = np.arange(len(fp)), np.full(len(fp), 1 << 50)
+    got = simhash.stars(np.concatenate(simhash.links(keys, ids, fp, 4, cuts)))
+    want = grouped(list(enumerate(fp.tolist())), lambda x, y: (x ^ y).bit_count() <= 4)
+    assert {b: a for a, b in got.tolist()} == {i: c for i, c in want.items() if i != c}
+
+
 def test_keep_one(odd, docs):
     kept = [r["doc_id"] for r in simhash.keep_one(odd).collect()]
     assert set(kept) >= {1, 4, 6, 7, 9, 10, 12, None} and not {2, 3, 5} & set(kept)
@@ -368,8 +384,10 @@ def test_keep_one_slices(spark):
     assert len(set(want.values())) > 3
 
 
+@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
 @pytest.mark.parametrize("which", ["docs", "odd"])
-def test_suffixes(request, which):
+def test_suffixes(request, monkeypatch, which, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     df = request.getfixturevalue(which)
     for length in (20, 50):
         rows = [(i, t.encode()) for i, t in pairs(df)]
@@ -413,6 +431,41 @@ def test_quality(spark, odd):
     assert len({i for i, _ in scores}) == len({r["doc_id"] for r in odd.collect()})
 
 
+def test_quality_brute_force(spark, docs):
+    """Scores and the pipeline's choice against all pairs of features, one by one."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    want = {}
+    rows = [(r["doc_id"], r["text"] or "", r["n_chars"]) for r in docs.collect() if len(r["text"] or "") < 1500][:40]
+    for i, t, n in rows:
+        index, value = quality.Features().of(t, n)
+        x = value.astype(float).copy()
+        x[-quality.STRUCTURE :] = np.clip((x[-quality.STRUCTURE :] - model.mean) / model.scale, -4, 4) / 4
+        margin = model.bias + sum(float(model.linear[k]) * v for k, v in zip(index.tolist(), x.tolist(), strict=True))
+        for a in range(len(x)):
+            for b in range(a):
+                margin += float(model.factors[index[a]] @ model.factors[index[b]]) * x[a] * x[b]
+        want[i] = 1 / (1 + np.exp(-margin))
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels).collect()}
+    assert all(abs(got[i] - s) < 1e-3 for i, s in want.items())
+    kept = {r["doc_id"] for r in quality.keep_good(docs, model).collect()}
+    assert all((i in kept) == (s >= 0.5) for i, s in want.items() if abs(s - 0.5) > 1e-3)
+
+
+def test_stages_on_odd_rows(odd):
+    """Every stage on nulls, empty, repeated and long texts, clashing names, and on an empty table: all columns, no crash."""
+    import importlib
+
+    pipeline = importlib.import_module("corpus_pipeline")
+    for df in (odd, odd.limit(0)):
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stage(df.sparkSession, df, SF)
+            assert out.columns == df.columns and out.dtypes == df.dtypes, name
+            assert out.count() <= df.count()
+        packed = pipeline.STAGES[-1][1](df.sparkSession, df, SF)
+        assert (packed.select("doc_id", "piece").count() >= df.count()) and (df.count() or not packed.count())
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(1)
     model = quality.untrained()
@@ -423,46 +476,85 @@ def test_factorisation_identity():
     assert abs(model.margin(index, x) - plain) < 1e-3
 
 
+def lm(df, rounds=1):
+    dealt = masked_lm.blocks(df)
+    answers = masked_lm.count(dealt)
+    vocabulary = masked_lm.vocabulary_of(answers)
+    return dealt, answers, vocabulary, masked_lm.train(dealt, vocabulary, rounds)
+
+
 def test_masked_lm(spark, odd, docs):
-    known = masked_lm.numbers_of(docs)
+    dealt, answers, vocabulary, flat = lm(docs, 2)
     words = Counter(w for _, t in pairs(docs) for w in t.split())
-    assert list(known)[:50] == sorted(words, key=lambda w: (-words[w], w))[:50]
-    flat = masked_lm.train(docs, known, rounds=2)
-    real = {r["doc_id"]: r for r in masked_lm.score(docs, known, flat).collect()}
+    hashes = {w: xxhash.xxh64_intdigest(w) for w in words}
+    top = sorted(words, key=lambda w: (-words[w], hashes[w]))[: masked_lm.KNOWN]
+    assert vocabulary.of(np.array([hashes[w] for w in top], np.uint64)).tolist() == list(range(len(top)))
+    rest = Counter(hashes[w] % masked_lm.OTHERS for w in words.keys() - set(top))
+    assert vocabulary.sums[1].astype(int).tolist() == [rest[b] for b in range(masked_lm.OTHERS)] and vocabulary.sums[0].sum() == sum(words.values()) - sum(words[w] for w in top)
+    real = {r["doc_id"]: r for r in masked_lm.score(dealt, answers, vocabulary, flat).collect()}
     rng = np.random.default_rng(2)
-    shuffled = spark.createDataFrame([(i, " ".join(rng.permutation(t.split()))) for i, t in pairs(docs)], "doc_id long, text string")
-    mixed = {r["doc_id"]: r for r in masked_lm.score(shuffled, known, flat).collect()}
+    shuffled = masked_lm.blocks(spark.createDataFrame([(i, " ".join(rng.permutation(t.split()))) for i, t in pairs(docs)], "doc_id long, text string"))
+    mixed = {r["doc_id"]: r for r in masked_lm.score(shuffled, masked_lm.count(shuffled), vocabulary, flat).collect()}
     assert sum(r["log_probability"] for r in real.values()) > sum(r["log_probability"] for r in mixed.values())
-    start = {r["doc_id"]: r for r in masked_lm.score(docs, known, masked_lm.Network.start().flat).collect()}
+    start = {r["doc_id"]: r for r in masked_lm.score(dealt, answers, vocabulary, masked_lm.Network.start().flat).collect()}
     assert sum(r["log_probability"] for r in real.values()) > sum(r["log_probability"] for r in start.values())
     assert all(real[i]["n_words"] == len(t.split()) for i, t in pairs(docs))
     rows = masked_lm.score_corpus(odd).collect()
     assert len(rows) == odd.count() and all((r["n_words"] == 0) == (r["mean_log_probability"] is None) for r in rows)
 
 
+def test_masked_lm_layout(docs, monkeypatch):
+    """The same scores however the table is cut, through many blocks and ranges."""
+    monkeypatch.setattr(masked_lm, "BLOCK", 1 << 16)
+    monkeypatch.setattr(masked_lm, "RANGE", 1 << 16)
+    one, two = ({r["doc_id"]: r["log_probability"] for r in masked_lm.score_corpus(df).collect()} for df in (docs.repartition(1), docs.orderBy("text").repartition(7)))
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) <= 1e-6 * abs(one[i]) for i in one)
+
+
+def test_masked_lm_sums_to_one():
+    """The probabilities of all words at one place add up to one."""
+    rng = np.random.default_rng(8)
+    n = rng.integers(1, 50, 3000)
+    hashes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    order = np.argsort(-n, kind="stable")[: masked_lm.KNOWN]
+    bucket = (hashes % np.uint64(masked_lm.OTHERS)).astype(int)
+    v = masked_lm.Vocabulary([(int(hashes[i]), int(n[i])) for i in order], np.stack([np.bincount(bucket, n, masked_lm.OTHERS), np.bincount(bucket, minlength=masked_lm.OTHERS)]))
+    number = v.of(hashes)
+    net = masked_lm.Network(masked_lm.Network.start().flat * 20)
+    around = np.tile(np.array([[3, 900, 5, masked_lm.EDGE]], np.int16), (3000, 1))
+    p = np.exp(net.log_probability(around, number))
+    whole = sum(float(np.exp(net.log_probability(around[:1], np.array([k], np.int16)))[0]) for k in range(masked_lm.EDGE))
+    left_out = v.sums[0] - 1 + masked_lm.HALF * v.sums[1]  # the occurrence that is scored is left out of its bucket
+    share = np.where(number < masked_lm.KNOWN, 1.0, (n + masked_lm.HALF) / (left_out + 1)[np.maximum(number.astype(int) - masked_lm.KNOWN, 0)])
+    empty = [k for k in range(masked_lm.EDGE) if k not in set(number.tolist())]
+    unused = sum(float(np.exp(net.log_probability(around[:1], np.array([k], np.int16)))[0]) for k in empty)
+    assert abs(whole - 1) < 1e-4 and abs(float((p * share).sum()) + unused - 1) < 1e-4
+
+
 def test_masked_lm_words(spark):
     """Words of one bucket are told apart, as targets and as neighbours, by counts of the whole corpus."""
-    common = [f"c{i}" for i in range(masked_lm.EDGE - masked_lm.OTHERS)]
-    bucket = lambda w: zlib.crc32(w.encode()) % masked_lm.OTHERS
+    common = [f"c{i}" for i in range(masked_lm.KNOWN)]
+    bucket = lambda w: xxhash.xxh64_intdigest(w) % masked_lm.OTHERS
     rare = [w for w in (f"r{i}" for i in range(40_000)) if bucket(w) == 7][:6]
     texts = [" ".join(common)] * 30 + [f"c1 {rare[0]} {rare[1]} c2"] * 20 + [f"c1 {rare[2]} {rare[3]} c2", f"c1 {rare[0]} {rare[3]} c2", f"c1 {rare[4]}", "", rare[5]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    known = masked_lm.numbers_of(df)
-    flat = masked_lm.train(df, known)
-    got = {r["doc_id"]: r["log_probability"] for r in masked_lm.score(df, known, flat).collect()}
+    dealt, answers, vocabulary, flat = lm(df)
+    got = {r["doc_id"]: r["log_probability"] for r in masked_lm.score(dealt, answers, vocabulary, flat).collect()}
     split = [t.split() for t in texts]
     n, pairs = Counter(w for x in split for w in x), Counter(p for x in split for p in zip(x, x[1:], strict=False))
     before, behind = Counter(w for x in split for w in x[:-1]), Counter(w for x in split for w in x[1:])
-    numbers, net = masked_lm.Numbers(known), masked_lm.Network(flat)
-    shared = [w for w in n if w not in known]
+    net = masked_lm.Network(flat)
+    number_of = {w: int(vocabulary.of(np.array([xxhash.xxh64_intdigest(w)], np.uint64))[0]) for w in n}
+    shared = [w for w in n if number_of[w] >= masked_lm.KNOWN]
+    assert sorted(shared) == sorted(rare)
     for i, x in enumerate(split):
-        around, number, _ = numbers.windows([texts[i]])
+        numbers = [masked_lm.EDGE] * 2 + [number_of[w] for w in x] + [masked_lm.EDGE] * 2
         want = 0.0
         for k, w in enumerate(x):
-            q = float(np.exp(net.log_probability(around[k : k + 1], number[k : k + 1])[0]))
-            if w not in known:
-                same = [v for v in shared if bucket(v) == bucket(w)]
-                q *= (n[w] - 0.5) / (sum(n[v] for v in same) - 1 + len(same) / 2)
+            around = np.array([[numbers[k], numbers[k + 1], numbers[k + 3], numbers[k + 4]]])
+            q = float(np.exp(net.log_probability(around, np.array([number_of[w]]))[0]))
+            if w in shared:
+                q *= (n[w] - 0.5) / (sum(n[v] for v in shared) - 1 + len(shared) / 2)
             sides = []
             for there, seen, pair in ((k > 0, before[x[k - 1]], (x[k - 1], w)), (k + 1 < len(x), behind[x[min(k + 1, len(x) - 1)]], (w, x[min(k + 1, len(x) - 1)]))):
                 a = max(1.0, (seen - 1) ** 0.75) if there else 0
