@@ -124,7 +124,7 @@ def component_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     commented = n.select("source_id", F.when(F.col("source_id").cast("int") % 2 == 0, F.replace("text", F.lit("name s\n"), F.lit("\n# a remark\n\nname s\n"))).otherwise(F.col("text")).alias("text"))
     h = S.schema_hashes(commented)
     same = h.groupBy("ord", "hash").agg(F.count("*").alias("same"))
-    return h.join(same, ["ord", "hash"]).select(key_of("n_nationkey"), F.col("ord").cast("long").alias("ord"), "layer", "same", F.char_length("signature").alias("letters"))
+    return h.join(same, ["ord", "hash"]).select(key_of("n_nationkey"), F.col("ord").cast("long").alias("ord"), "layer", F.col("same").cast("int").alias("same"), F.char_length("signature").alias("letters"))
 
 
 @query("SELECT 's' || n_nationkey AS name, 1 AS copies, true AS resolves FROM nation")
