@@ -39,7 +39,7 @@ from .common import bucketed, saved, slices, table
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text for which there is one bucket; bytes of contexts in a shard.
-BUCKET, SHARD = 8 << 20, 1 << 19
+BUCKET, SHARD = 4 << 20, 1 << 19
 PRIME = 0x100000001B3
 #: Contexts of an anchor beyond which they are dealt by more than the anchor.
 HOT = 4096
@@ -54,7 +54,7 @@ def chunked(docs: DataFrame, text: str) -> DataFrame:
         part = TaskContext.get().partitionId()
         for i, batch in enumerate(slices(batches, text)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 2))) as out:
                 out.write_batch(batch)
             n = batch.column(batch.schema.get_field_index(text)).nbytes
             yield pa.record_batch([pa.array([part << 33 | i], pa.int64()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "n_bytes", "rows"])
@@ -63,18 +63,18 @@ def chunked(docs: DataFrame, text: str) -> DataFrame:
 
 
 class Chunk:
-    """A chunk's texts as one byte array, with the anchors of all its strings."""
+    """A chunk's texts as one byte array, with the anchors of all its strings where they are asked for."""
 
-    def __init__(self, rows: bytes, key: str, text: str, length: int):
+    def __init__(self, rows: bytes, key: str, text: str, length: int, anchors: bool = True):
         self.batch = pa.ipc.open_stream(rows).read_next_batch()
         self.length = length
-        texts = [(t or "").encode() for t in self.batch.column(self.batch.schema.get_field_index(text)).to_pylist()]
         ids = self.batch.column(self.batch.schema.get_field_index(key)).to_pylist()
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.data = b"".join(texts)
-        self._anchors()
+        self.data, ends = bytes_of(self.batch.column(self.batch.schema.get_field_index(text)))
+        self.sizes = np.diff(ends)
+        self.begins = ends[:-1]
+        if anchors:
+            self._anchors()
 
     def _anchors(self) -> None:
         """Runs of strings with one anchor: first and last start, the anchor's hash, the row."""
@@ -131,22 +131,36 @@ class Chunk:
         first, last, row, bucket = self.first[runs], self.last[runs], self.row[runs], bucket_of(self.hash[runs], buckets)
         if (hot := np.flatnonzero(found[runs] & one)).size:
             half = (self.length - GRAM) // 2
-            near = _rolling(np.frombuffer(self.data, np.uint8), half)
+            data = np.frombuffer(self.data, np.uint8)
             anchor = self.at[runs[hot]]
             before, behind = first[hot] <= anchor - half, last[hot] > anchor - half
-            spread = lambda h, k: bucket_of((h ^ near[k] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93), buckets)
+
+            def spread(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+                """Buckets by an anchor's hash and the `half` bytes from `at` on."""
+                for k in range(half):
+                    h = (h ^ data[at + k]) * np.uint64(PRIME)
+                return bucket_of(h ^ h >> np.uint64(29), buckets)
+
             a, b = hot[before], hot[behind]
             cool = np.setdiff1d(np.arange(len(runs)), hot)
             p, q = anchor[before], anchor[behind]
             parts = [(first[cool], last[cool], row[cool], bucket[cool]), (first[a], np.minimum(last[a], p - half), row[a], spread(self.hash[runs[a]], p - half)), (np.maximum(first[b], q - half + 1), last[b], row[b], spread(self.hash[runs[b]], q + GRAM))]
             first, last, row, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
-        seen: dict[tuple[int, bytes], int] = {}
-        which = np.array([seen.setdefault((k, self.data[a:b]), len(seen)) for k, a, b in zip(bucket.tolist(), first.tolist(), (last + self.length).tolist(), strict=True)], np.int64)
+        seen: dict[bytes, int] = {}  # equal contexts have one anchor, are cut alike and so are in one bucket
+        which = np.array([seen.setdefault(self.data[a:b], len(seen)) for a, b in zip(first.tolist(), (last + self.length).tolist(), strict=True)], np.int64)
         least, most, buckets_of = np.full(len(seen), NO_ID), np.full(len(seen), -1 - NO_ID), np.zeros(len(seen), np.int64)
         np.minimum.at(least, which, self.ids[row])
         np.maximum.at(most, which, self.ids[row])
         buckets_of[which] = bucket
-        return first, row, which, [c for _, c in seen], least, most, buckets_of
+        return first, row, which, list(seen), least, most, buckets_of
+
+
+def bytes_of(column: pa.StringArray) -> tuple[bytes, np.ndarray]:
+    """All texts of a column as one string of bytes, and where each begins and the last ends; nulls are empty."""
+    column = column.fill_null("")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return data[int(ends[0]) : int(ends[-1])].to_pybytes() if data else b"", ends - ends[0]
 
 
 def _rolling(data: np.ndarray, n: int) -> np.ndarray:
@@ -395,19 +409,20 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
     shared = saved(shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared")), "shared")
     joined = chunks.select("chunk", "rows").join(shared, "chunk")
 
-    def opened(batch: pa.RecordBatch, i: int) -> tuple:
-        chunk = Chunk(batch.column("rows")[i].as_py(), key, text, length)
-        return chunk, *chunk.contexts(batch.column("shared")[i].as_py() or [], buckets)
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's contexts by bucket, and in bucket -1 where they stand: what is marked later without another search."""
         for batch in batches:
             for i in range(batch.num_rows):
-                *_, contexts, least, most, bucket = opened(batch, i)
-                out: list[tuple] = []
+                number = batch.column("chunk")[i].as_py()
+                chunk = Chunk(batch.column("rows")[i].as_py(), key, text, length)
+                first, row, which, contexts, least, most, bucket = chunk.contexts(batch.column("shared")[i].as_py() or [], buckets)
+                out: list[tuple] = [(-1, number, zstandard.compress(_binary(first.astype("<i4"), row.astype("<i4"), which.astype("<i4")), 1), zstandard.compress(bucket.tobytes(), 1))]
                 for b in np.unique(bucket).tolist():
                     own = np.flatnonzero(bucket == b)
-                    out.append((b, batch.column("chunk")[i].as_py(), zstandard.compress(b"\xff".join([contexts[j] for j in own.tolist()]), 3), zstandard.compress(_binary(least[own], most[own]), 3)))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "contexts", "least"]) if out else pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["bucket", "chunk", "contexts", "least"])
+                    out.append((b, number, zstandard.compress(b"\xff".join([contexts[j] for j in own.tolist()]), 1), zstandard.compress(_binary(least[own], most[own]), 3)))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "chunk", "contexts", "least"])
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in groups(batches):
@@ -427,15 +442,19 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
                 data = _binary(n.astype(np.uint8), lengths[runs].astype(np.uint8), values[runs])
                 yield pa.record_batch([pa.array([r["chunk"]], pa.int64()), pa.array([bucket], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([zstandard.compress(data, 3)], pa.binary())], ["chunk", "bucket", "n", "answer"])
 
-    met = joined.mapInArrow(around, "bucket long, chunk long, contexts binary, least binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    placed = saved(joined.mapInArrow(around, "bucket long, chunk long, contexts binary, least binary"), "contexts", compression="uncompressed")
+    met = placed.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     answers = met.mapInArrow(repeats, "chunk long, bucket long, n int, answer binary")
     answers = saved(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "answer")).alias("answers")), "answers")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, first, row, which, contexts, _, _, bucket = opened(batch, i)
-                counts = np.zeros(len(contexts), np.int64)
+                chunk = Chunk(batch.column("rows")[i].as_py(), key, text, length, anchors=False)
+                runs, of = (b"" if batch.column(k)[i].as_py() is None else zstandard.decompress(batch.column(k)[i].as_py()) for k in ("runs", "of"))
+                first, row, which = np.frombuffer(runs, "<i4").reshape(3, -1).astype(np.int64)
+                bucket = np.frombuffer(of, np.int64)
+                counts = np.zeros(len(bucket), np.int64)
                 parts = {}
                 for a in batch.column("answers")[i].as_py() or []:
                     own = np.flatnonzero(bucket == a["bucket"])
@@ -461,8 +480,9 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
                     np.add.at(change, start[gone] + lengths[at][gone] - 1 + length, -1)
                 yield finish(chunk, np.cumsum(change[:-1]) > 0)
 
-    # a chunk without shared anchors has no row in shared or answers
-    marked = chunks.select("chunk", "rows").join(shared.join(answers, "chunk"), "chunk", "left").select("rows", "shared", "answers")
+    # a chunk without shared anchors has no row in placed or answers
+    runs = placed.where("bucket = -1").select("chunk", F.col("contexts").alias("runs"), F.col("least").alias("of"))
+    marked = chunks.select("chunk", "rows").join(runs.join(answers, "chunk"), "chunk", "left").select("rows", "runs", "of", "answers")
     return marked.mapInArrow(mark, schema)
 
 
