@@ -586,5 +586,5 @@ def test_empty_tables(spark, odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = public_tokenizers.path("piece_bpe_32k.model")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for df in (secret_scan.find_secrets(none), secret_scan.redact(none), packing.pack_documents(none, path), sentence_pieces.encode_digests(none, model), simhash.keep_one(none), suffixes.report(none), suffixes.without_repeats(none), quality.score_documents(none, labels), masked_lm.score_corpus(none)):
+    for df in (secret_scan.find_secrets(none), secret_scan.redact(none), packing.pack_documents(none, path), sentence_pieces.encode_digests(none, model), simhash.keep_one(none), simhash.components(simhash.fingerprint_documents(none), 4, 3), suffixes.report(none), suffixes.without_repeats(none), quality.score_documents(none, labels), masked_lm.score_corpus(none)):
         assert df.count() == 0
