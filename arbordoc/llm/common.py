@@ -44,11 +44,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage is cut, and a lost executor costs nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df written to the shared folder and read again: its lineage is cut, and a lost executor costs nothing.
+
+    Shuffle files go when the driver's JVM finds their plans unused, so it is told to look once a table is written: what
+    earlier steps shuffled does not lie on the executors' disks until the end. The plan that ran last is held until
+    another one runs, so an empty one does.
+    """
+    spark, schema, path = df.sparkSession, df.schema, shared_path(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    del df
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -81,7 +89,7 @@ def tree_sum(vectors: DataFrame, widths: tuple[int, ...] = (64, 8, 1)) -> np.nda
 
     rows = vectors.select("part", "x")
     for width in widths:
-        rows = rows.repartition(width, "part").mapInArrow(add, "part long, x binary")
+        rows = rows.repartitionById(width, F.col("part").cast("int")).mapInArrow(add, "part long, x binary")
     got = rows.collect()
     return np.frombuffer(got[0]["x"], np.float64) if got else None
 

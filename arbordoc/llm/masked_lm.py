@@ -320,7 +320,7 @@ def answered(asked: DataFrame, n_ranges: int) -> DataFrame:
                 sums = np.concatenate([np.bincount(bucket, totals[:, 0], OTHERS), np.bincount(bucket, minlength=OTHERS)])
                 yield row(-1, 3, part, sums.astype(np.float64).tobytes(), None)
 
-    return asked.repartition(n_ranges, "part").mapInArrow(run, "block long, kind int, part int, totals binary, hashes binary")
+    return asked.repartitionById(n_ranges, "part").mapInArrow(run, "block long, kind int, part int, totals binary, hashes binary")
 
 
 def count(blocks: DataFrame) -> DataFrame:
