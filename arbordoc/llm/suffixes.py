@@ -41,6 +41,8 @@ LENGTH, GRAM = 50, 16
 #: Bytes of text for which there is one bucket; bytes of contexts in a shard.
 BUCKET, SHARD = 4 << 20, 1 << 19
 PRIME = 0x100000001B3
+#: Starts of strings whose anchors are sought at once.
+PIECE = 1 << 16
 #: Contexts of an anchor beyond which they are dealt by more than the anchor.
 HOT = 4096
 END = 0xFF  # ends a context; no UTF-8 text holds this byte
@@ -85,26 +87,14 @@ class Chunk:
         full = self.sizes >= self.length
         if not full.any():
             return
-        h = _rolling(data, GRAM)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        low = np.uint64(max(20, int(len(h)).bit_length()))
-        least = (h >> low << low) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first
-        width = 1
-        while 2 * width <= span:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if span > width:
-            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        at = (least & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+        at, h = anchors_of(data, span)
         begins, counts = self.begins[full], self.sizes[full] - self.length + 1
         starts = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         anchor = at[starts]
         new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         self.first = starts[new]
         self.last = starts[np.concatenate([new[1:], [len(starts)]]) - 1]
-        self.at = anchor[new]
+        self.at = anchor[new].astype(np.int64)
         self.hash = h[self.at] & ~np.uint64(1)
         self.row = np.searchsorted(self.begins, self.first, side="right") - 1
         # rows without text share a begin with the next one; the last of them is the one that holds it
@@ -155,6 +145,32 @@ class Chunk:
         return first, row, which, list(seen), least, most, buckets_of
 
 
+def anchors_of(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where the gram of least hash stands among the `span` grams from each byte on, the first of equal ones; all grams' hashes).
+
+    A piece at a time, so that what a piece needs stays in the processor's caches.
+    """
+    n = len(data) - GRAM + 1
+    at, h = np.empty(n - span + 1, np.int32), np.empty(n, np.uint64)
+    low = np.uint64(20)  # bits for the place within a piece; the others decide
+    for begin in range(0, len(at), PIECE):
+        end = min(begin + PIECE, len(at))
+        own = _rolling(data[begin : end + span + GRAM - 2], GRAM)
+        own ^= own >> np.uint64(32)
+        own *= np.uint64(0x9E3779B97F4A7C15)
+        own ^= own >> np.uint64(29)
+        h[begin : begin + len(own)] = own
+        least = (own >> low << low) | np.arange(len(own), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if span > width:
+            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+        at[begin:end] = (least & np.uint64((1 << 20) - 1)).astype(np.int32) + begin
+    return at, h
+
+
 def bytes_of(column: pa.StringArray) -> tuple[bytes, np.ndarray]:
     """All texts of a column as one string of bytes, and where each begins and the last ends; nulls are empty."""
     column = column.fill_null("")
