@@ -38,8 +38,10 @@ from pyspark.sql import types as T
 from .common import bucketed, saved, slices, table
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text for which there is one bucket; bytes of contexts in a shard.
-BUCKET, SHARD = 4 << 20, 1 << 19
+#: Bytes of text whose anchors make a bucket; contexts in a bucket, those of copies included; bytes of contexts in a shard.
+BUCKET, CONTEXTS, SHARD = 32 << 20, 1 << 16, 1 << 19
+#: Buckets of contexts that are dealt together: a chunk sends one row to each such deal, so that rows stay few.
+DEAL = 8
 PRIME = 0x100000001B3
 #: Starts of strings whose anchors are sought at once.
 PIECE = 1 << 16
@@ -109,8 +111,11 @@ class Chunk:
         runs = np.diff(np.concatenate([starts, [len(h)]]))
         return h[starts] | (np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)).astype(np.uint64), np.minimum(runs, 255).astype(np.uint8)
 
-    def contexts(self, shared: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Of the runs with shared anchors, hot ones in two: their first strings, rows and contexts' numbers; the distinct contexts, their least and greatest ids and buckets."""
+    def contexts(self, shared: list[dict], buckets: int, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of the runs with shared anchors, hot ones in two: their first strings, rows and contexts' numbers; the distinct contexts, their least and greatest ids and buckets.
+
+        buckets: those that anchors were dealt to; fine: those of contexts.
+        """
         wide, one = np.uint64(40), np.uint64(1)
         keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.uint64(x["bucket"]) << wide | unpacked(x["shared"]) for x in shared)]))
         own = bucket_of(self.hash, buckets).astype(np.uint64) << wide | self.hash & LOW
@@ -118,7 +123,7 @@ class Chunk:
         found = keys[np.minimum(at, len(keys) - 1)] if len(keys) else np.zeros(len(own), np.uint64)
         is_shared = (found & ~one == own) & (len(keys) > 0)
         runs = np.flatnonzero(is_shared)
-        first, last, row, bucket = self.first[runs], self.last[runs], self.row[runs], bucket_of(self.hash[runs], buckets)
+        first, last, row, bucket = self.first[runs], self.last[runs], self.row[runs], bucket_of(self.hash[runs], fine)
         if (hot := np.flatnonzero(found[runs] & one)).size:
             half = (self.length - GRAM) // 2
             data = np.frombuffer(self.data, np.uint8)
@@ -129,7 +134,7 @@ class Chunk:
                 """Buckets by an anchor's hash and the `half` bytes from `at` on."""
                 for k in range(half):
                     h = (h ^ data[at + k]) * np.uint64(PRIME)
-                return bucket_of(h ^ h >> np.uint64(29), buckets)
+                return bucket_of(h ^ h >> np.uint64(29), fine)
 
             a, b = hot[before], hot[behind]
             cool = np.setdiff1d(np.arange(len(runs)), hot)
@@ -380,6 +385,13 @@ def answer(contexts: list[bytes], least: np.ndarray, several: np.ndarray, length
     return n, out_lengths, out_values
 
 
+def in_groups(bucket: np.ndarray, together: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group of so many buckets that follow each other, and where they stand, bucket after bucket."""
+    order = np.argsort(bucket, kind="stable")
+    used, starts = np.unique(bucket[order] // together, return_index=True)
+    return zip(used.tolist(), np.split(order, starts[1:]), strict=False)  # without buckets there is one part, an empty one
+
+
 def _binary(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
@@ -400,11 +412,11 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
         for batch in batches:
             for i in range(batch.num_rows):
                 h, runs = Chunk(batch.column(1)[i].as_py(), key, text, length).hashes()
-                of = bucket_of(h, buckets)
-                order = np.argsort(of, kind="stable")
-                used, starts = np.unique(of[order], return_index=True)
-                data = [packed(part) + n.tobytes() for part, n in zip(np.split(h[order], starts[1:]), np.split(runs[order], starts[1:]), strict=True)] if len(used) else []
-                yield pa.record_batch([pa.array(used), pa.array([batch.column(0)[i].as_py()] * len(used), pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "hashes"])
+                used, data = [], []
+                for bucket, own in in_groups(bucket_of(h, buckets)):
+                    used.append(bucket)
+                    data.append(packed(h[own]) + runs[own].tobytes())
+                yield pa.record_batch([pa.array(used, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(used), pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "hashes"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in groups(batches):
@@ -417,64 +429,76 @@ def find_repeats(docs: DataFrame, finish: Callable[[Chunk, np.ndarray], pa.Recor
             several[at[h & one == one]] = True
             is_shared, is_hot = several | (n > 1), np.bincount(at, runs, len(keys)) > HOT
             mark = keys << one | is_hot.astype(np.uint64)
-            found = [mark[k][is_shared[k]] for k in np.split(at, np.cumsum([len(x) for x in each])[:-1])]
-            yield pa.record_batch([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(map(packed, found), pa.binary())], ["chunk", "bucket", "shared"])
+            cuts = np.cumsum([len(x) for x in each])[:-1]
+            found = [mark[k][is_shared[k]] for k in np.split(at, cuts)]
+            several_runs = np.add.reduceat(np.where(is_shared[at], runs, 0).astype(np.int64), np.concatenate([[0], cuts]).astype(np.int64))
+            yield pa.record_batch([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(several_runs), pa.array(map(packed, found), pa.binary())], ["chunk", "bucket", "runs", "shared"])
 
-    dealt = chunks.select("chunk", "rows").mapInArrow(anchors, "bucket long, chunk long, hashes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(meet, "chunk long, bucket long, shared binary").where(F.octet_length("shared") > 0)
-    shared = saved(shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared")), "shared")
-    joined = chunks.select("chunk", "rows").join(shared, "chunk")
+    dealt = chunks.select("chunk", "rows").mapInArrow(anchors, "bucket long, chunk long, hashes binary").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(meet, "chunk long, bucket long, runs long, shared binary").where(F.octet_length("shared") > 0)
+    shared = saved(shared.groupBy("chunk").agg(F.sum("runs").alias("runs"), F.collect_list(F.struct("bucket", "shared")).alias("shared")), "shared")
+    deals = (shared.agg(F.sum("runs")).first()[0] or 0) // (CONTEXTS * DEAL) + 8
+    joined = chunks.select("chunk", "rows").join(shared.select("chunk", "shared"), "chunk")
 
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk's contexts by bucket, and in bucket -1 where they stand: what is marked later without another search."""
+        """A chunk's contexts by deal, each with how many its buckets have, and in bucket -1 where they stand: what is marked later without another search."""
+        quick, small = zstandard.ZstdCompressor(1), zstandard.ZstdCompressor(3)
         for batch in batches:
             for i in range(batch.num_rows):
                 number = batch.column("chunk")[i].as_py()
                 chunk = Chunk(batch.column("rows")[i].as_py(), key, text, length)
-                first, row, which, contexts, least, most, bucket = chunk.contexts(batch.column("shared")[i].as_py() or [], buckets)
-                out: list[tuple] = [(-1, number, zstandard.compress(_binary(first.astype("<i4"), row.astype("<i4"), which.astype("<i4")), 1), zstandard.compress(bucket.tobytes(), 1))]
-                for b in np.unique(bucket).tolist():
-                    own = np.flatnonzero(bucket == b)
-                    out.append((b, number, zstandard.compress(b"\xff".join([contexts[j] for j in own.tolist()]), 1), zstandard.compress(_binary(least[own], most[own]), 3)))
+                first, row, which, contexts, least, most, bucket = chunk.contexts(batch.column("shared")[i].as_py() or [], buckets, deals * DEAL)
+                out: list[tuple] = [(-1, number, quick.compress(_binary(first.astype("<i4"), row.astype("<i4"), which.astype("<i4"))), quick.compress(bucket.tobytes()))]
+                for deal, own in in_groups(bucket, DEAL):
+                    sizes = np.bincount(bucket[own] % DEAL, minlength=DEAL)
+                    out.append((deal, number, quick.compress(b"\xff".join([contexts[j] for j in own.tolist()])), small.compress(_binary(sizes, least[own], most[own]))))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "chunk", "contexts", "least"])
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in groups(batches):
-            number: dict[bytes, int] = {}
-            which, ids = [], []
+        small, opened = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+        for deal, rows in groups(batches):
+            held, out = [], [[] for _ in rows]
             for r in rows:
-                which.append(np.array([number.setdefault(c, len(number)) for c in zstandard.decompress(r["contexts"]).split(b"\xff")], np.int64))
-                ids.append(np.frombuffer(zstandard.decompress(r["least"]), np.int64).reshape(2, -1))
-            least, most = np.full(len(number), NO_ID), np.full(len(number), -1 - NO_ID)
-            np.minimum.at(least, np.concatenate(which), np.concatenate([x[0] for x in ids]))
-            np.maximum.at(most, np.concatenate(which), np.concatenate([x[1] for x in ids]))
-            counts, lengths, values = answer(list(number), least, most > least, length)
-            begins = np.cumsum(counts) - counts
-            for r, own in zip(rows, which, strict=True):
-                n = counts[own]
-                runs = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                data = _binary(n.astype(np.uint8), lengths[runs].astype(np.uint8), values[runs])
-                yield pa.record_batch([pa.array([r["chunk"]], pa.int64()), pa.array([bucket], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([zstandard.compress(data, 3)], pa.binary())], ["chunk", "bucket", "n", "answer"])
+                data = np.frombuffer(opened.decompress(r["least"]), np.int64)
+                held.append((opened.decompress(r["contexts"]).split(b"\xff"), np.cumsum([0, *data[:DEAL]]).tolist(), data[DEAL:].reshape(2, -1)))
+            for k in range(DEAL):
+                number: dict[bytes, int] = {}
+                which = [np.array([number.setdefault(c, len(number)) for c in contexts[ends[k] : ends[k + 1]]], np.int64) for contexts, ends, _ in held]
+                if not number:
+                    continue
+                ids = np.concatenate([own[:, ends[k] : ends[k + 1]] for _, ends, own in held], axis=1)
+                least, most = np.full(len(number), NO_ID), np.full(len(number), -1 - NO_ID)
+                np.minimum.at(least, np.concatenate(which), ids[0])
+                np.maximum.at(most, np.concatenate(which), ids[1])
+                counts, lengths, values = answer(list(number), least, most > least, length)
+                begins = np.cumsum(counts) - counts
+                for parts, own in zip(out, which, strict=True):
+                    n = counts[own]
+                    runs = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    parts.append((n.astype(np.uint8), lengths[runs].astype(np.uint8), values[runs]))
+            data = [small.compress(_binary(*itertools.chain(*zip(*parts, strict=True)))) for parts in out]
+            yield pa.record_batch([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([deal] * len(rows), pa.int64()), pa.array([x[1][-1] for x in held], pa.int32()), pa.array(data, pa.binary())], ["chunk", "bucket", "n", "answer"])
 
     placed = saved(joined.mapInArrow(around, "bucket long, chunk long, contexts binary, least binary"), "contexts", compression="uncompressed")
-    met = placed.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = placed.where("bucket >= 0").repartitionById(deals, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     answers = met.mapInArrow(repeats, "chunk long, bucket long, n int, answer binary")
     answers = saved(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "answer")).alias("answers")), "answers")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = Chunk(batch.column("rows")[i].as_py(), key, text, length, anchors=False)
-                runs, of = (b"" if batch.column(k)[i].as_py() is None else zstandard.decompress(batch.column(k)[i].as_py()) for k in ("runs", "of"))
+                runs, of = (b"" if batch.column(k)[i].as_py() is None else opened.decompress(batch.column(k)[i].as_py()) for k in ("runs", "of"))
                 first, row, which = np.frombuffer(runs, "<i4").reshape(3, -1).astype(np.int64)
                 bucket = np.frombuffer(of, np.int64)
                 counts = np.zeros(len(bucket), np.int64)
-                parts = {}
+                parts, places = {}, dict(in_groups(bucket, DEAL))
                 for a in batch.column("answers")[i].as_py() or []:
-                    own = np.flatnonzero(bucket == a["bucket"])
-                    data, n = zstandard.decompress(a["answer"]), a["n"]
+                    own = places[a["bucket"]]
+                    data, n = opened.decompress(a["answer"]), a["n"]
                     counts[own] = np.frombuffer(data, np.uint8, n)
                     m = int(counts[own].sum())
                     parts[a["bucket"]] = own, np.frombuffer(data, np.uint8, m, n), np.frombuffer(data[n + m :], np.int64)

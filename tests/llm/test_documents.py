@@ -409,6 +409,28 @@ def test_suffixes(request, monkeypatch, which, hot):
     assert out.schema == df.schema and out.count() == df.count()
 
 
+def test_suffixes_messages(spark, monkeypatch):
+    """What chunks send each other follows from the contexts, not from the text's length: else rows grow with its square."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").repartition(4)
+    usual, sent, saved = suffixes.report(docs).collect(), {}, suffixes.saved
+
+    def counted(df, name, **options):
+        out = saved(df, name, **options)
+        sent[name] = out
+        return out
+
+    monkeypatch.setattr(suffixes, "saved", counted)
+    monkeypatch.setattr(suffixes, "BUCKET", 1 << 14)  # as a text 2,000 times as long would have them
+    same(suffixes.report(docs).collect(), usual)
+    chunks = sent["contexts"].select("chunk").distinct().count()
+    assert sent["contexts"].where("bucket >= 0").count() <= 9 * chunks
+    for contexts, deal in ((64, 1), (256, 8)):
+        monkeypatch.setattr(suffixes, "CONTEXTS", contexts, raising=False)
+        monkeypatch.setattr(suffixes, "DEAL", deal, raising=False)
+        same(suffixes.report(docs).collect(), usual)
+        assert sent["contexts"].where("bucket >= 0").count() > 9 * chunks
+
+
 def test_quality(spark, odd):
     sf = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
