@@ -60,48 +60,63 @@ class Network:
     def start(cls, seed: int = 11) -> Network:
         return cls(np.random.default_rng(seed).normal(0, 0.1, SIZE).astype(np.float32))
 
-    def forward(self, around: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-        h = self.context[0][around[:, 0]]
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        h = np.take(self.context[0], around[:, 0], axis=0)
         for k in range(1, 2 * SPAN):
-            h = h + self.context[k][around[:, k]]
-        h = np.tanh(h)
+            h += np.take(self.context[k], around[:, k], axis=0)
+        return np.tanh(h, out=h)
+
+    def forward(self, around: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What step needs: the hidden layer, both digits, and for each the exponentials of all its values with their sums."""
+        h = self.hidden(around)
         a, b = word // BASE, word % BASE
-        return h, a, b, _softmax(h @ self.first + self.first_bias), _softmax(h @ self.second + self.second_bias[a])
+        return h, a, b, *_exponentials(h @ self.first + self.first_bias), *_exponentials(h @ self.second + self.second_bias[a])
 
     def log_probability(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
-        _, a, b, p, q = self.forward(around, word)
+        _, a, b, p, all_p, q, all_q = self.forward(around, word)
         i = np.arange(len(word))
-        return np.log(p[i, a] + 1e-30) + np.log(q[i, b] + 1e-30)
+        return np.log(p[i, a] / all_p + 1e-30) + np.log(q[i, b] / all_q + 1e-30)
 
     def step(self, around: np.ndarray, word: np.ndarray, sums: Network) -> None:
         """One AdaGrad step; sums: the squared gradients so far."""
-        h, a, b, p, q = self.forward(around, word)
+        h, a, b, p, all_p, q, all_q = self.forward(around, word)
         i, n = np.arange(len(word)), np.float32(len(word))
+        p /= all_p[:, None]
+        q /= all_q[:, None]
         p[i, a] -= 1
         q[i, b] -= 1
         p /= n
         q /= n
         back = (p @ self.first.T + q @ self.second.T) * (1 - h * h)
-        order = np.argsort(a, kind="stable")
-        used, starts = np.unique(a[order], return_index=True)
-        _move(self.second_bias, sums.second_bias, used, np.add.reduceat(q[order], starts))
+        _move(self.second_bias, sums.second_bias, *_added(a, q))
         for name, g in (("first", h.T @ p), ("first_bias", p.sum(0)), ("second", h.T @ q)):
             _move(getattr(self, name), getattr(sums, name), ..., g)
         for k in range(2 * SPAN):
-            order = np.argsort(around[:, k], kind="stable")
-            used, starts = np.unique(around[order, k], return_index=True)
-            _move(self.context[k], sums.context[k], used, np.add.reduceat(back[order], starts))
+            _move(self.context[k], sums.context[k], *_added(around[:, k], back))
+
+
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row's values, less its greatest one, and their sums; rows are short, so halves are compared and a product adds."""
+    most = x
+    while most.shape[1] > 1:
+        half = most.shape[1] // 2
+        most = np.maximum(most[:, :half], most[:, half:])
+    x = x - most
+    return np.exp(x, out=x), x @ np.ones(x.shape[1], x.dtype)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    x /= x.sum(1, keepdims=True)
-    return x
+def _added(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sum of each one's rows."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[starts], np.add.reduceat(np.take(rows, order, axis=0), starts)
 
 
 def _move(value: np.ndarray, total: np.ndarray, where, g: np.ndarray) -> None:
-    total[where] += g * g
-    value[where] -= RATE * g / np.sqrt(total[where] + 1e-8)
+    new = total[where] + g * g
+    total[where] = new
+    value[where] -= RATE * g / np.sqrt(new + 1e-8)
 
 
 class Vocabulary:
@@ -145,7 +160,7 @@ class Words:
         lengths = np.array([len(x) for x in split], np.int64)
         coded = pa.array([w for x in split for w in x], pa.large_string()).dictionary_encode()
         del split
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
         keys, at = np.unique(hashes, return_inverse=True)
         return cls(lengths, keys, at[coded.indices.to_numpy()].astype(np.int32) if len(hashes) else np.zeros(0, np.int32))
 

@@ -553,6 +553,21 @@ def test_masked_lm_sums_to_one():
     assert abs(whole - 1) < 1e-4 and abs(float((p * share).sum()) + unused - 1) < 1e-4
 
 
+def test_masked_lm_steps():
+    """The parts that make training and scoring cheaper give what their plain forms give."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 5, (50, masked_lm.BASE)), rng.normal(0, 3000, (50, masked_lm.BASE))])
+    e, total = masked_lm._exponentials(x.copy())
+    want = np.exp(x - x.max(1, keepdims=True))
+    assert np.allclose(e, want, rtol=1e-12) and np.allclose(total, want.sum(1), rtol=1e-12)
+    keys, rows = rng.integers(0, 40, 300).astype(np.int16), rng.normal(0, 1, (300, 5))
+    used, sums = masked_lm._added(keys, rows)
+    assert used.tolist() == sorted(set(keys.tolist())) and np.allclose(sums, [rows[keys == k].sum(0) for k in used])
+    texts = ["a b a", "", "  ", "\u00e4\u2003b \x00 a"]
+    words = masked_lm.Words.of(texts)
+    assert words.keys[words.word].tolist() == [xxhash.xxh64_intdigest(w) for t in texts for w in t.split()]
+
+
 def test_masked_lm_words(spark):
     """Words of one bucket are told apart, as targets and as neighbours, by counts of the whole corpus."""
     common = [f"c{i}" for i in range(masked_lm.KNOWN)]
