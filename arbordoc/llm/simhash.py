@@ -11,6 +11,9 @@ that stay large a spanning forest is sought. Only links that connect are handed
 fingerprints than one task should hold is dealt by those second variants before it reaches a task.
 
 Fingerprints are distinct before they are indexed, so copies cost nothing here.
+
+near_copies decides by the exact similarity of shingle sets. What fingerprints link is compared first. Of two sets at 0.8
+some 10 of 64 bits differ, which no such index reaches, so bands of least hashes lead to the pairs beyond the limit.
 """
 
 from __future__ import annotations
@@ -241,6 +244,12 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + shingle])) for i in range(n)), np.uint64, n))
 
 
+def print_of(shingles: np.ndarray) -> int:
+    """The fingerprint of a shingle set, as a signed number: bits that over half of its hashes have."""
+    ones = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def node_of(shingles: np.ndarray) -> int:
     """The number that texts of equal shingle sets share."""
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))))
@@ -307,13 +316,37 @@ def _forests(groups: DataFrame, by: list[str], nodes: DataFrame, texts: DataFram
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
 
 
+def _compared(groups: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, most: int, known: DataFrame | None = None) -> DataFrame:
+    """(a, b): known links, and those that connect what exact similarity links within each group (groups: band, node, n, c).
+
+    c: the component of a node by known links; a group of one component has nothing to add. A group with more than `most`
+    texts is cut into slices. First each slice is compared within itself, and with the first text of the next one, which
+    connects copies of one text. Where that leaves several components in a group, those outside its largest one are compared
+    with all slices. So no task holds a whole group, and no link between components is lost.
+    """
+    slices = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / SHINGLES)).alias("p")
+    often = groups.groupBy("band").agg(F.count("*").alias("members"), slices, (F.min("c") != F.max("c")).alias("apart")).where("apart").drop("apart")
+    crowd = saved(groups.join(often, "band").select("band", "node", "members", "p", F.expr("pmod(xxhash64(node), p)").alias("s")), "crowd")
+    wide = crowd.where("p > 1")
+    heads = wide.groupBy("band", "p", "s").agg(F.min("node").alias("node")).select("band", F.expr("pmod(s - 1, p)").alias("s"), "node")
+    edges = _forests(crowd.select("band", "s", "node").unionByName(heads), ["band", "s"], nodes, texts, similarity, shingle)
+    edges = saved(edges if known is None else edges.unionByName(known), "links")
+    if not wide.limit(1).count():
+        return edges
+    placed = wide.join(nodes.select("node", "key"), "node").join(connected_components(edges).withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
+    main = placed.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), (F.sum("count") - F.max("count")).alias("loose")).where("loose > 0")
+    loose = saved(placed.join(main, "band").withColumn("q", F.expr("CAST(ceil(loose * p / members) AS BIGINT)")).select("band", "node", "p", "s", "q", (F.col("c") != F.col("main")).alias("out"), F.expr("pmod(xxhash64(node, 1), q)").alias("t")), "loose")
+    every = loose.select("band", "s", F.explode(F.expr("sequence(0L, q - 1)")).alias("t"), "node")
+    out = loose.where("out").select("band", F.explode(F.expr("sequence(0L, p - 1)")).alias("s"), "t", "node")
+    return saved(edges.unionByName(_forests(every.unionByName(out), ["band", "s", "t"], nodes, texts, similarity, shingle)), "links")
+
+
 def near_copies(docs: DataFrame, similarity: float, shingle: int, text: str = "text", key: str = "doc_id", most: int = SETS) -> DataFrame:
     """(key, component_id): the smallest key that a text reaches over pairs of at least that Jaccard similarity of shingle sets.
 
-    Texts that agree in a band are compared, each with each up to what a spanning forest needs, by their whole sets. A band
-    with more than `most` texts is cut into slices. First each slice is compared within itself, and with the first text of the
-    next one, which connects copies of one text. Where that leaves several components in a band, those outside its largest
-    one are compared with all slices. So no task holds a whole band, and no link between components is lost.
+    Texts that SimHash fingerprints connect (LIMIT bits, by the index of deletion variants) are compared, each with each up to
+    what a spanning forest needs, by their whole sets. Then texts that agree in a band are, where a band holds more than one
+    of the components found so far: pairs whose fingerprints differ by more bits. See _compared.
     """
     texts = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
 
@@ -321,28 +354,20 @@ def near_copies(docs: DataFrame, similarity: float, shingle: int, text: str = "t
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
             bands = pa.array([bands_of(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            return pa.record_batch([batch.column(0), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), bands], ["key", "node", "n", "bands"])
+            numbers = (pa.array([f(x) for x in sets], pa.int64()) for f in (node_of, len, print_of))
+            return pa.record_batch([batch.column(0), *numbers, bands], ["key", "node", "n", "fp", "bands"])
 
         return work
 
-    prints = saved(map_texts(texts, "text", make, "key long, node long, n long, bands array<long>"), "prints")
-    nodes = saved(prints.where("key IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    slices = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / SHINGLES)).alias("p")
-    often = banded.groupBy("band").agg(F.count("*").alias("members"), slices).where("members > 1")
-    crowd = saved(banded.join(often, "band").select("band", "node", "members", "p", F.expr("pmod(xxhash64(node), p)").alias("s")), "crowd")
-    wide = crowd.where("p > 1")
-    heads = wide.groupBy("band", "p", "s").agg(F.min("node").alias("node")).select("band", F.expr("pmod(s - 1, p)").alias("s"), "node")
-    edges = saved(_forests(crowd.select("band", "s", "node").unionByName(heads), ["band", "s"], nodes, texts, similarity, shingle), "links")
-    reached = connected_components(edges)
-    if wide.limit(1).count():
-        placed = wide.join(nodes.select("node", "key"), "node").join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
-        main = placed.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"), (F.sum("count") - F.max("count")).alias("loose")).where("loose > 0")
-        loose = saved(placed.join(main, "band").withColumn("q", F.expr("CAST(ceil(loose * p / members) AS BIGINT)")).select("band", "node", "p", "s", "q", (F.col("c") != F.col("main")).alias("out"), F.expr("pmod(xxhash64(node, 1), q)").alias("t")), "loose")
-        every = loose.select("band", "s", F.explode(F.expr("sequence(0L, q - 1)")).alias("t"), "node")
-        out = loose.where("out").select("band", F.explode(F.expr("sequence(0L, p - 1)")).alias("s"), "t", "node")
-        more = _forests(every.unionByName(out), ["band", "s", "t"], nodes, texts, similarity, shingle)
-        reached = connected_components(edges.unionByName(more))
+    prints = saved(map_texts(texts, "text", make, "key long, node long, n long, fp long, bands array<long>"), "prints")
+    first = [F.first(c).alias(c) for c in ("n", "fp", "bands")]
+    nodes = saved(prints.where("key IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), *first), "nodes")
+    filled = nodes.where("n > 0").select("node", "n", F.col("key").alias("c"), "fp")
+    linked = components(filled.select("c", "fp"), LIMIT, 3, key="c").select("c", F.col("component_id").alias("band"))
+    edges = _compared(filled.join(linked, "c").select("band", "node", "n", "c"), nodes, texts, similarity, shingle, most)
+    reached = connected_components(edges).withColumnRenamed("node", "key")
+    banded = nodes.join(reached, "key", "left").select("node", "n", F.coalesce("component", "key").alias("c"), F.explode("bands").alias("band"))
+    reached = connected_components(_compared(banded, nodes, texts, similarity, shingle, most, edges))
     of_node = nodes.select("node", F.col("key").alias("first")).join(reached.withColumnRenamed("node", "first"), "first", "left")
     return prints.select("key", "node").join(of_node, "node", "left").select(F.col("key").alias(key), F.coalesce("component", "first").alias("component_id"))
 
@@ -350,8 +375,8 @@ def near_copies(docs: DataFrame, similarity: float, shingle: int, text: str = "t
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, key: str = "doc_id") -> DataFrame:
     """docs without all but the first document of each group of near copies.
 
-    Pairs of at least the given Jaccard similarity of shingle sets are linked, and no others. At 0.8 a pair has no band in
-    common, and is missed, with a chance of one in eight million. Texts without words are copies of each other, null ones
+    Pairs of at least the given Jaccard similarity of shingle sets are linked, and no others. SimHash leads to those within
+    its limit, bands to the rest: at 0.8 a pair has no band in common, and is missed, with a chance of one in eight million. Texts without words are copies of each other, null ones
     too. Rows with a null key are kept; rows that repeat a key go or stay together. Very long texts are compared whole;
     other columns stay as they are, whatever their names. An empty table gives no rows.
     """

@@ -365,6 +365,27 @@ def test_keep_one_exact(spark):
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(root)
 
 
+def test_keep_one_simhash(spark, monkeypatch):
+    """Without bands, fingerprints lead to the near copies within their limit, and exact similarity decides."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for group in range(20):
+        words = [f"w{group}x{i}" for i in range(600)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join(rng.permutation(words))]
+    prints = [simhash.print_of(simhash.shingle_set(t, 5)) % (1 << 64) for t in texts]
+    near = {i for i in range(1, 60, 3) if (prints[i] ^ prints[i - 1]).bit_count() <= simhash.LIMIT}
+    assert len(near) > 15
+    monkeypatch.setattr(simhash, "bands_of", lambda x: np.zeros(0, np.int64))
+    # fingerprints that all agree: exact similarity still parts what is not alike
+    for same_print in (False, True):
+        if same_print:
+            monkeypatch.setattr(simhash, "print_of", lambda x: 5)
+            near = set(range(1, 60, 3))
+        for most in (1024, 16):
+            found = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.8, 5, most=most).collect()
+            assert {r["doc_id"] for r in found if r["component_id"] != r["doc_id"]} == near
+
+
 def test_keep_one_slices(spark):
     """Bands larger than a task may hold: copies of one text, and chains that only far slices connect."""
     rng = np.random.default_rng(6)
