@@ -39,9 +39,9 @@ from .common import bucketed, saved, slices, table
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors make a bucket; contexts in a bucket, those of copies included; bytes of contexts in a shard.
-BUCKET, CONTEXTS, SHARD = 32 << 20, 1 << 16, 1 << 19
+BUCKET, CONTEXTS, SHARD = 16 << 20, 1 << 16, 1 << 19
 #: Buckets of contexts that are dealt together: a chunk sends one row to each such deal, so that rows stay few.
-DEAL = 8
+DEAL = 4
 PRIME = 0x100000001B3
 #: Starts of strings whose anchors are sought at once.
 PIECE = 1 << 16
