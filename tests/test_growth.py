@@ -1,0 +1,37 @@
+"""Work that must not be repeated for each row, and tables that must be dealt to all cores."""
+
+import pytest
+
+from arbordoc import queries, queries_schemas
+from arbordoc.operators import binary
+from arbordoc.plans import patterns
+from arbordoc.sources import schemas as S
+from arbordoc.sources.parser import parse
+
+
+class Inline:
+    """Runs a mapInArrow function of a DataFrame's place here, on rows."""
+
+    def __init__(self, *rows):
+        self.rows, self.isStreaming = rows, False
+
+    def per_row(self, df, columns, ddl, rows):
+        return [r for values in self.rows for r in rows(*values)]
+
+
+def test_a_pair_of_patterns_is_explored_once(monkeypatch):
+    n = []
+    explored = patterns._explored
+    monkeypatch.setattr(patterns, "_explored", lambda *a: n.append(a) or explored(*a))
+    assert [patterns.contained(["growth[0-4]"], r"growth\d") for _ in range(5)] == [True] * 5
+    assert not patterns.contained([r"growth\d"], "growth[0-4]") and len(n) == 2
+    for _ in range(2):
+        with pytest.raises(patterns.NotProven):
+            patterns.contained([r"growth\b."], "x")
+    assert len(n) == 3
+
+
+def counted(monkeypatch, module, name):
+    n, f = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: n.append(a) or f(*a, **k))
+    return n
