@@ -1,7 +1,7 @@
 """Tree documents as DataFrames: sources in, tables of documents, blocks, compounds, elements and errors out.
 
 A source is one row of text or bytes; it is parsed where it lies, a row is the unit of parallelism, and no table here
-needs a shuffle. Each function emits one table only, so a header costs no compound rows. Every row has explicit ordinals.
+needs a shuffle; a table that lies in fewer pieces than there are cores is dealt anew before its rows are read. Each function emits one table only, so a header costs no compound rows. Every row has explicit ordinals.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from ..operators.reports import expand_last_atom, inline_first_child
 from ..plans.paths import resolve
 from ..plans.schema import Schema
 from .parser import MESSAGES, Block, Document, Error, decode_bytes, parse, parse_stream, write
+from .storage import spread
 
 KEY = "source_id string, doc_ord int"
 DOCUMENTS = KEY + ", directive string, ver_major int, ver_minor int, reference string, layers array<string>, signature string, sigil string, line_endings string"
@@ -74,7 +75,7 @@ def _map(df: DataFrame, ddl: str, rows: Callable[[str, int, Document, list[Error
             if out:
                 yield _batch(out, arrow)
 
-    return df.select("source_id", "text").mapInArrow(run, kind)
+    return spread(df.select("source_id", "text")).mapInArrow(run, kind)
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
@@ -241,7 +242,7 @@ def decode_documents(df: DataFrame, schema: Schema | None, codecs: Mapping | Non
             if out:
                 yield _batch(out, arrow)
 
-    return df.select(F.col(key).cast("string").alias("source_id"), F.col(data).alias("data")).mapInArrow(run, kind)
+    return spread(df.select(F.col(key).cast("string").alias("source_id"), F.col(data).alias("data"))).mapInArrow(run, kind)
 
 
 def canonical_sources(df: DataFrame, schema: Schema, signature: bytes | None = None) -> DataFrame:
@@ -324,4 +325,4 @@ def wide(df: DataFrame, schema: Schema) -> DataFrame:
             if out:
                 yield _batch(out, arrow)
 
-    return df.select("source_id", "text").mapInArrow(run, kind)
+    return spread(df.select("source_id", "text")).mapInArrow(run, kind)

@@ -7,6 +7,7 @@ loads into a Resolver, which goes to the tasks as the library that documents are
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.letters import to_letters
 from ..functions.registry import Codecs
 from ..operators.assign import Assigner, Element, assign
-from ..operators.binary import component_hashes, encode_document, encode_self_contained, signature
+from ..operators.binary import component_hashes, encode_document, encode_root, self_contained_head, signature
 from ..operators.reports import position
 from ..plans.compose import compose, in_declaration_order, is_subtype
 from ..plans.patterns import NotProven, contained
@@ -26,12 +27,15 @@ from ..plans.resolve import Identifier, Resolver, Unresolved
 from ..plans.schema import META, Schema, check, construct
 from .documents import ELEMENTS, element_rows
 from .parser import Document, Error, parse, parse_stream
+from .storage import spread
 
 FAULTS = "source_id string, code string, about string"
 MEMBERS = "source_id string, type_name string, member_ix int, kind string, keyword string, member_type string, required boolean, repeatable boolean, is_key boolean, default_text string"
 SCALARS = "source_id string, name string, validators array<string>, patterns array<string>, encoding string"
 HASHES = "source_id string, name string, ord int, layer string, hash binary, signature string"
 BINARY = "source_id string, doc_ord int, data binary, failure string"
+#: Schema sources whose answers a task keeps: rows repeat few of them, and each costs milliseconds.
+KEPT = 512
 
 
 def per_row(df: DataFrame, columns: list[str], ddl: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
@@ -45,7 +49,7 @@ def per_row(df: DataFrame, columns: list[str], ddl: str, rows: Callable[..., Ite
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, kind)
+    return spread(df.select(*columns)).mapInArrow(run, kind)
 
 
 def read_schema(text: str | None) -> tuple[Element, list[Error]]:
@@ -59,16 +63,31 @@ def schema_faults(df: DataFrame) -> DataFrame:
     """(source_id, code, about): errors of each schema source, of its declarations and of its layers' composition."""
 
     def rows(sid: str, text: str | None) -> Iterator[tuple]:
-        root, errors = read_schema(text)
-        schema = construct(root)
-        found = [(e.code, f"{e.start}") for e in errors] + [(f.code, f.about) for f in (*check(schema), *(compose(schema)[1] if schema.layers else ()))]
-        yield from ((sid, *f) for f in dict.fromkeys(found))
+        yield from ((sid, *f) for f in _faults(text))
 
     return per_row(df, ["source_id", "text"], FAULTS, rows)
 
 
+@lru_cache(maxsize=KEPT)
+def _faults(text: str | None) -> tuple[tuple[str, str], ...]:
+    root, errors = read_schema(text)
+    schema = construct(root)
+    found = [(e.code, f"{e.start}") for e in errors] + [(f.code, f.about) for f in (*check(schema), *(compose(schema)[1] if schema.layers else ()))]
+    return tuple(dict.fromkeys(found))
+
+
 def _composed(text: str | None, layers: list[str] | None) -> Schema:
-    return compose(construct(read_schema(text)[0]), layers)[0]
+    return _composition(text, None if layers is None else tuple(layers))
+
+
+@lru_cache(maxsize=KEPT)
+def _composition(text: str | None, layers: tuple[str, ...] | None) -> Schema:
+    return compose(construct(read_schema(text)[0]), None if layers is None else list(layers))[0]
+
+
+@lru_cache(maxsize=KEPT)
+def _subtype(sub: str | None, sup: str | None) -> bool:
+    return is_subtype(_composed(sub, None), _composed(sup, None))
 
 
 def composed_members(df: DataFrame, layers: str | None = None) -> DataFrame:
@@ -103,7 +122,7 @@ def schema_hashes(df: DataFrame) -> DataFrame:
 
 def subtypes(df: DataFrame, sub: str = "sub", sup: str = "sup") -> DataFrame:
     """(source_id, is_subtype) for two schema sources a row, composed."""
-    return per_row(df, ["source_id", sub, sup], "source_id string, is_subtype boolean", lambda sid, a, b: iter([(sid, is_subtype(_composed(a, None), _composed(b, None)))]))
+    return per_row(df, ["source_id", sub, sup], "source_id string, is_subtype boolean", lambda sid, a, b: iter([(sid, _subtype(a, b))]))
 
 
 def patterns_contained(df: DataFrame, narrow: str = "narrow", wide: str = "wide") -> DataFrame:
@@ -163,17 +182,22 @@ def resolver_of(schemas: DataFrame, **more) -> Resolver:
 def typed_documents(df: DataFrame, resolver: Resolver) -> DataFrame:
     """The elements of every document under the schema that its own pragma names, with resolution and the schema's name.
 
-    A document without a schema, or whose schema is not found, has one row of kind untyped.
+    A document without a schema, or whose schema is not found, has one row of kind untyped. A task resolves an identifier once.
     """
+    answers: dict[Identifier, tuple[Schema | None, str]] = {}
 
     def rows(sid: str, text: str | None) -> Iterator[tuple]:
         for i, doc in enumerate(parse_stream(text or "")):
             wanted, schema, status = Identifier.of(doc.pragma), None, "untyped"
             if wanted is not None:
-                try:
-                    schema, status = resolver.resolve(wanted), "resolved"
-                except Unresolved as e:
-                    status = e.kind
+                if wanted not in answers:
+                    if len(answers) >= KEPT:
+                        answers.pop(next(iter(answers)))
+                    try:
+                        answers[wanted] = resolver.resolve(wanted), "resolved"
+                    except Unresolved as e:
+                        answers[wanted] = None, e.kind
+                schema, status = answers[wanted]
             if schema is None:
                 yield sid, i, 0, None, 0, 0, 0, None, None, None, "untyped", None, None, None, None, None, None, status
                 continue
@@ -190,22 +214,22 @@ def binary_documents(df: DataFrame, schema_text: str, self_contained: bool = Fal
     schema, more = compose(construct(root))
     if faults or more:
         raise ValueError(f"bad schema: {faults} {more}")
-    sign = signature(root)
+    head = self_contained_head(root) if self_contained else encode_document(Element("", None, None, "flag", ""), schema, signature(root))
 
     def rows(sid: str, text: str | None) -> Iterator[tuple]:
         for i, doc in enumerate(parse_stream(text or "", schema.admits)):
-            yield sid, i, *_encoded(doc, root, schema, sign, self_contained, Codecs(codecs or {}))
+            yield sid, i, *_encoded(doc, schema, head, Codecs(codecs or {}))
 
     return per_row(df, ["source_id", "text"], BINARY, rows)
 
 
-def _encoded(doc: Document, root: Element, schema: Schema, sign: bytes, self_contained: bool, codecs: Codecs) -> tuple[bytes | None, str | None]:
+def _encoded(doc: Document, schema: Schema, head: bytes, codecs: Codecs) -> tuple[bytes | None, str | None]:
     a = Assigner(schema, None)
     top = a.assign(doc)
     if doc.errors or a.errors:
         return None, min(e.code for e in (*doc.errors, *a.errors))
     try:
-        return encode_self_contained(top, root, codecs) if self_contained else encode_document(top, schema, sign, codecs), None
+        return head + encode_root(top, schema, codecs), None
     except ValueError as e:
         return None, str(e)
 

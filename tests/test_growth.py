@@ -35,3 +35,15 @@ def counted(monkeypatch, module, name):
     n, f = [], getattr(module, name)
     monkeypatch.setattr(module, name, lambda *a, **k: n.append(a) or f(*a, **k))
     return n
+
+
+def test_a_schema_inside_documents_is_read_once(monkeypatch):
+    text = queries_schemas.PART_SCHEMA.replace("name part", "name growth")
+    rows = Inline(*((str(i), f"name x{i}\n") for i in range(20)))
+    monkeypatch.setattr(S, "per_row", rows.per_row)
+    composed = counted(monkeypatch, binary, "compose")
+    made = S.binary_documents(None, text, self_contained=True)
+    back = [binary.decode_document(data, None)[0].children[0].text for _, _, data, _ in made]
+    assert back == [f"x{i}" for i in range(20)] and len(composed) <= 2
+    with pytest.raises(binary.BinaryError, match="B11"):  # a signature that is not the schema's, whatever was read before
+        binary.decode_document(made[0][2][:4] + binary.encode_varint(33) + binary.stack_hashes([binary.blake3(b"x")]) + made[0][2][38:], None)
