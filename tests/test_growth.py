@@ -47,3 +47,11 @@ def test_a_schema_inside_documents_is_read_once(monkeypatch):
     assert back == [f"x{i}" for i in range(20)] and len(composed) <= 2
     with pytest.raises(binary.BinaryError, match="B11"):  # a signature that is not the schema's, whatever was read before
         binary.decode_document(made[0][2][:4] + binary.encode_varint(33) + binary.stack_hashes([binary.blake3(b"x")]) + made[0][2][38:], None)
+
+
+def test_a_task_resolves_an_identifier_once(monkeypatch):
+    resolver = queries_schemas.library()
+    monkeypatch.setattr(S, "per_row", Inline(*((str(i), f"tel 1.0 x.example/{'trade +more' if i % 2 else 'other'}\n\nname a\n") for i in range(20))).per_row)
+    asked = counted(monkeypatch, resolver, "resolve")
+    assert {(r[-2], r[-1]) for r in S.typed_documents(None, resolver)} == {("trade", "resolved"), (None, "not-found")}
+    assert len(asked) == 2
