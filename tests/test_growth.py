@@ -55,3 +55,11 @@ def test_a_task_resolves_an_identifier_once(monkeypatch):
     asked = counted(monkeypatch, resolver, "resolve")
     assert {(r[-2], r[-1]) for r in S.typed_documents(None, resolver)} == {("trade", "resolved"), (None, "not-found")}
     assert len(asked) == 2
+
+
+def test_a_pair_of_schemas_is_compared_once(monkeypatch):
+    head = "tel 1.0\n\nname growth\n\ndocument\n  field a String"
+    monkeypatch.setattr(S, "per_row", Inline(*((str(i), head + "\n", head + (" optional\n" if i % 2 else "\n  field b String\n")) for i in range(20))).per_row)
+    read = counted(monkeypatch, S, "read_schema")
+    assert {(int(k) % 2, v) for k, v in S.subtypes(None)} == {(0, False), (1, True)}
+    assert len(read) == 3
