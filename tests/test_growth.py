@@ -63,3 +63,11 @@ def test_a_pair_of_schemas_is_compared_once(monkeypatch):
     read = counted(monkeypatch, S, "read_schema")
     assert {(int(k) % 2, v) for k, v in S.subtypes(None)} == {(0, False), (1, True)}
     assert len(read) == 3
+
+
+def test_a_schema_source_is_checked_once(monkeypatch):
+    text = "tel 1.0\n\nname growth\n\ndocument\n  field a Nowhere\n  field a String\n"
+    monkeypatch.setattr(S, "per_row", Inline(*((str(i), text) for i in range(20)), ("n", None)).per_row)
+    read = counted(monkeypatch, S, "read_schema")
+    found = S.schema_faults(None)
+    assert {(k, c) for k, c, _ in found} >= {(str(i), c) for i in range(20) for c in ("E201", "E209")} and len(read) == 2
