@@ -71,3 +71,14 @@ def test_a_schema_source_is_checked_once(monkeypatch):
     read = counted(monkeypatch, S, "read_schema")
     found = S.schema_faults(None)
     assert {(k, c) for k, c, _ in found} >= {(str(i), c) for i in range(20) for c in ("E201", "E209")} and len(read) == 2
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    path = str(tmp_path / "part.parquet")
+    names = "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"
+    spark.range(50_000).selectExpr("id AS p_partkey", "repeat(sha1(cast(id AS string)), 2) AS p_name", "'Brand#11' AS p_brand", "'x' AS p_type", "cast(id % 50 AS int) AS p_size", "1.5d AS p_retailprice").coalesce(1).write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    docs = queries.part_documents(spark, str(tmp_path))
+    for df in (queries.D.wide(docs, queries.PART), queries.D.elements(docs, queries.PART), queries.D.encode_documents(docs, queries.PART), S.binary_documents(docs, queries_schemas.PART_SCHEMA), queries.D.decode_documents(queries.D.encode_documents(docs, queries.PART), queries.PART)):
+        assert df.rdd.getNumPartitions() >= 2 * cores
+    assert queries.roundtrip_part(spark, str(tmp_path)).select(*names).exceptAll(spark.read.parquet(path).select(*names)).count() == 0
