@@ -107,7 +107,8 @@ class Schema:
     def __post_init__(self) -> None:
         for name, items in (("_records", self.records), ("_scalars", self.scalars), ("_selects", self.selects)):
             object.__setattr__(self, name, {x.name: x for x in reversed(items)})
-        object.__setattr__(self, "_entries", {})
+        for name in ("_entries", "_keywords", "_keys", "_own"):
+            object.__setattr__(self, name, {})
 
     def kind(self, name: str) -> str | None:
         """flag, scalar, struct or select; None where nothing has that name. The document's own type is ''."""
@@ -137,7 +138,16 @@ class Schema:
         return self._entries[name]
 
     def keywords(self, name: str) -> dict[str, Entry]:
-        return {e.keyword: e for e in reversed(self.entries(name))}
+        """Not to be changed by callers."""
+        if name not in self._keywords:
+            self._keywords[name] = {e.keyword: e for e in reversed(self.entries(name))}
+        return self._keywords[name]
+
+    def own_entries(self, name: str) -> list[list[Entry]]:
+        """The entries of each member of a struct."""
+        if name not in self._own:
+            self._own[name] = [[e for e in self.entries(name) if e.member == i] for i in range(len(self.struct(name).members))]
+        return self._own[name]
 
     def all_flags(self, m: Member) -> bool:
         return all(self.kind(v.type) == "flag" for v in self.select(m.type).variants)
@@ -146,7 +156,9 @@ class Schema:
         return self.all_flags(m) if m.kind == "select" else self.kind(m.type) in ("scalar", "flag")
 
     def key_member(self, name: str) -> Member | None:
-        return next((m for m in self.struct(name).members if m.key), None)
+        if name not in self._keys:
+            self._keys[name] = next((m for m in self.struct(name).members if m.key), None)
+        return self._keys[name]
 
     def structs(self) -> Iterator[Struct]:
         yield self.document

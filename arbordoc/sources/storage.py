@@ -42,6 +42,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * cores)
 
 
+#: Bytes of a plan's files that one task of a shuffle gets.
+PIECE = 4 << 20
+
+
+def pieces(df: DataFrame) -> int:
+    """How many partitions to deal df to before Python works on it: four a core, and more as the files behind it grow."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    most = 50_000 if size < 1 << 60 else 0  # a size that Spark does not know says nothing
+    return max(4 * cores, min(most, -(-size // PIECE)))
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """df written and read again: what several branches of a plan need is parsed once."""
     path = new_path(df.sparkSession, name)

@@ -82,3 +82,34 @@ def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
     for df in (queries.D.wide(docs, queries.PART), queries.D.elements(docs, queries.PART), queries.D.encode_documents(docs, queries.PART), S.binary_documents(docs, queries_schemas.PART_SCHEMA), queries.D.decode_documents(queries.D.encode_documents(docs, queries.PART), queries.PART)):
         assert df.rdd.getNumPartitions() >= 2 * cores
     assert queries.roundtrip_part(spark, str(tmp_path)).select(*names).exceptAll(spark.read.parquet(path).select(*names)).count() == 0
+
+
+def test_an_edit_costs_one_pass_over_its_document(monkeypatch):
+    from arbordoc.operators import edits
+    from arbordoc.queries_texts import MARKED, STEPS
+
+    passes = counted(monkeypatch, edits.Assigner, "assign")
+    doc = parse("tel 1.0\n\nr Ann\n\nw 1\nw 2\nw 3  # old\n")
+    assert edits.merge(doc, [edits.Edit.from_json(x, i, "a") for i, x in enumerate(STEPS)], MARKED) == []
+    assert len(passes) <= 1 + len(STEPS) + 2  # set-flag tries two forms
+    assert edits.write(doc).startswith("tel 1.0\n\nw 9\nw 5\nw 3\nw 1\nw end\nr Ann bold\nr last\n")
+
+
+@pytest.mark.parametrize("agents", ["aa", "ab"])
+def test_an_edit_of_nothing_changes_nothing(agents):
+    from arbordoc.operators import edits
+
+    doc = parse("w 1\nw 2\n")
+    ops = ['{"op": "delete", "path": [[0, 7]]}', '{"op": "update-value", "path": [[0, 1]], "value": "3"}']
+    assert len(edits.merge(doc, [edits.Edit.from_json(x, i, a) for i, (x, a) in enumerate(zip(ops, agents, strict=True))], None)) == 1
+    assert edits.write(doc).endswith("w 1\nw 3\n")
+
+
+def test_edits_are_folded_without_a_frame_for_each_document(spark):
+    from arbordoc.operators import edits
+
+    docs = spark.createDataFrame([("1", "w a\n"), ("2", None), ("2", "w c\n"), (None, "w d\n")], "source_id string, text string")
+    ops = spark.createDataFrame([("1", 2, "a", '{"op": "update-value", "path": [[0, 0]], "value": "z"}'), ("1", 1, "b", '{"op": "update-value", "path": [[0, 0]], "value": "y"}'), ("1", 3, None, "x"), ("3", 1, "a", '{"op": "delete", "path": []}')], "source_id string, timestamp int, agent string, edit string")
+    made = edits.merge_sources(docs, ops, None)
+    assert "Pandas" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect()), key=str) == sorted([("1", "w z\n", 2, 0, 1, "merged"), ("2", None, 0, 0, 0, "repeated source"), ("2", "w c\n", 0, 0, 0, "repeated source"), ("3", None, 0, 1, 0, "no document"), (None, "w d\n", 0, 0, 0, "merged")], key=str)
