@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import copy
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from ..sources.parser import MESSAGES, Atom, Block, Compound, Document, parse, p
 from .assign import assign
 from .binary import CannotEncode, encode_root
 from .canonical import inline_safe
+from .edits import copied
 
 
 def report(errors: DataFrame) -> DataFrame:
@@ -67,42 +67,61 @@ def describe(schema: Schema, path: list[str]) -> str | None:
 
 def same_model(a: str, b: str, schema: Schema) -> bool:
     """Whether two texts type to the same model without errors."""
-    out = []
-    for text in (a, b):
-        d = parse(text)
-        root, errors = assign(d, schema)
-        if d.errors or errors:
-            return False
-        try:
-            out.append(encode_root(root, schema))
-        except CannotEncode:
-            return False
-    return out[0] == out[1]
+    model = model_of(a, schema)
+    return model is not None and model == model_of(b, schema)
 
 
-def expand_last_atom(doc: Document, target: Compound, schema: Schema) -> Document | None:
-    """The target's last inline atom as a child line of its own, where the model stays the same; else None."""
-    return _verified(doc, target, schema, _expand)
+def model_of(text: str, schema: Schema) -> bytes | None:
+    """A text's model as bytes; None where it has errors or no encoding."""
+    d = parse(text)
+    root, errors = assign(d, schema)
+    if d.errors or errors:
+        return None
+    try:
+        return encode_root(root, schema)
+    except CannotEncode:
+        return None
 
 
-def inline_first_child(doc: Document, target: Compound, schema: Schema) -> Document | None:
+def expand_last_atom(doc: Document, target: Compound, schema: Schema, model: bytes | None = None) -> Document | None:
+    """The target's last inline atom as a child line of its own, where the model stays the same; else None. model: the document's, where it is known."""
+    return _verified(doc, target, schema, _expand, model)
+
+
+def inline_first_child(doc: Document, target: Compound, schema: Schema, model: bytes | None = None) -> Document | None:
     """The inverse: the target's first child, a plain value, as its last inline atom."""
-    return _verified(doc, target, schema, _inline)
+    return _verified(doc, target, schema, _inline, model)
 
 
-def _verified(doc: Document, target: Compound, schema: Schema, change) -> Document | None:
+def _verified(doc: Document, target: Compound, schema: Schema, change, model: bytes | None) -> Document | None:
     path = _path_to(doc.root, target)
-    for keyword in change(None, schema, target) or []:
-        new = copy.deepcopy(doc)
+    # a child that the target's type does not have is an error, so no such keyword is tried
+    keywords = [k for k in change(None, schema, target) or [] if k in _admitted(doc.root, path, schema)]
+    if not keywords or (model := model_of(write(doc), schema) if model is None else model) is None:
+        return None
+    for keyword in keywords:
+        new = copied(doc)
         at = new.root
         for b, c in path:
             at = at.blocks[b].compounds[c]
         change(at, schema, keyword)
-        if same_model(write(doc), write(new), schema):
+        if model == model_of(write(new), schema):
             return new
     return None
 
 
+def _admitted(root: Compound, path: list[tuple[int, int]], schema: Schema) -> Container[str]:
+    """The keywords that may stand below the compound at a path; none where it is no struct."""
+    at, keywords = root, schema.keywords("")
+    for b, c in path:
+        at = at.blocks[b].compounds[c]
+        entry = keywords.get(at.keyword)
+        if entry is None or entry.kind != "struct":
+            return ()
+        keywords = schema.keywords(entry.type)
+    return keywords
+
+
 def _path_to(root: Compound, target: Compound) -> list[tuple[int, int]]:
     work: list[tuple[Compound, list]] = [(root, [])]
     while work:

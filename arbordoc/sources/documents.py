@@ -19,7 +19,7 @@ from ..operators.assign import Assigner, walk
 from ..operators.binary import BinaryError, decode_document, encode_root
 from ..operators.canonical import canonical_text
 from ..operators.edits import construct as edit_construct
-from ..operators.reports import expand_last_atom, inline_first_child
+from ..operators.reports import expand_last_atom, inline_first_child, model_of
 from ..plans.paths import resolve
 from ..plans.schema import Schema
 from .parser import MESSAGES, Block, Document, Error, decode_bytes, parse, parse_stream, write
@@ -180,12 +180,12 @@ def rewritten(df: DataFrame, schema: Schema, change: str) -> DataFrame:
             yield 1, write(made)
             return
         offer = {"expand": expand_last_atom, "inline": inline_first_child}[change]
-        seen = 0
-        while True:
+        seen, model = 0, model_of(write(d), schema)  # every change keeps the model
+        while model is not None:
             every = [c for c, k, *_ in _nodes(d) if k]
             if seen >= len(every):
                 break
-            new = offer(d, every[seen], schema)
+            new = offer(d, every[seen], schema, model)
             if new is None:
                 seen += 1
             else:

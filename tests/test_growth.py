@@ -113,3 +113,16 @@ def test_edits_are_folded_without_a_frame_for_each_document(spark):
     made = edits.merge_sources(docs, ops, None)
     assert "Pandas" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, made.collect()), key=str) == sorted([("1", "w z\n", 2, 0, 1, "merged"), ("2", None, 0, 0, 0, "repeated source"), ("2", "w c\n", 0, 0, 0, "repeated source"), ("3", None, 0, 1, 0, "no document"), (None, "w d\n", 0, 0, 0, "merged")], key=str)
+
+
+def test_a_refactor_reads_few_texts(monkeypatch):
+    from arbordoc.operators import reports
+    from arbordoc.query_base import body
+
+    s = body("c", "field contact Contact optional", *(f"field other{i} String optional" for i in range(30)), before="\nrecord Contact\n  field name String\n  field segment String\n")
+    read = counted(monkeypatch, reports, "parse")
+    doc = parse("tel 1.0\n\ncontact Ann BUILDING\n")
+    target = doc.root.blocks[0].compounds[0]
+    made = reports.expand_last_atom(doc, target, s)
+    assert reports.write(made).endswith("contact Ann\n  segment BUILDING\n") and len(read) <= 3
+    assert reports.inline_first_child(made, made.root.blocks[0].compounds[0], s) is not None
