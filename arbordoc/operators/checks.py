@@ -15,6 +15,7 @@ from ..functions.registry import Validator
 from ..plans.patterns import is_pattern, portable
 from ..plans.schema import IDENTIFIER, TYPE_NAME, Schema, catalog
 from ..sources.parser import SIGILS
+from ..sources.storage import pieces
 
 DOC = ["source_id", "doc_ord"]
 PARENT = [*DOC, "parent_id"]
@@ -71,7 +72,7 @@ def broken_runs(elements: DataFrame) -> DataFrame:
 def duplicate_keys(elements: DataFrame, schema: Schema) -> DataFrame:
     """E314: keyed children of repeatable members, less the first of each key value within a parent."""
     m = F.broadcast(_tables(elements, schema)["members"].where("repeatable").select(F.col("type_name").alias("parent_type"), "member_ix"))
-    keyed = known(elements).where("key_value IS NOT NULL").join(m, ["parent_type", "member_ix"], "left_semi")
+    keyed = known(elements).where("key_value IS NOT NULL").join(m, ["parent_type", "member_ix"], "left_semi").repartition(pieces(elements), *PARENT, "key_value")
     ranked = keyed.withColumn("n", F.row_number().over(Window.partitionBy(*PARENT, "key_value").orderBy("source_ord")))
     return _report(ranked.where("n > 1"), "E314")
 
@@ -123,13 +124,19 @@ def filled_flags(elements: DataFrame, compounds: DataFrame) -> DataFrame:
 def struct_views(elements: DataFrame, type_name: str) -> DataFrame:
     """(source_id, doc_ord, elem_id, fields map<keyword, text>): the scalar and flag children of each element of a type."""
     children = known(elements).where((F.col("parent_type") == type_name) & F.col("kind").isin("scalar", "flag"))
+    # one exchange, by element, in pieces that stay as large as they are while the input grows: both groupings sort in memory
+    children = children.select(*PARENT, "keyword", "text", "sib_ord").repartition(pieces(elements), *PARENT)
     first = children.groupBy(*PARENT, "keyword").agg(F.min_by(F.coalesce("text", F.lit("")), "sib_ord").alias("text"))
     return first.groupBy(*PARENT).agg(F.map_from_entries(F.collect_list(F.struct("keyword", "text"))).alias("fields")).withColumnRenamed("parent_id", "elem_id")
 
 
 def misfit_structs(elements: DataFrame, type_name: str, keyword: str, holds) -> DataFrame:
     """E310 of a cross-field rule: holds(fields) is a column over struct_views, true where the rule holds; null counts as holding."""
-    views = struct_views(elements, type_name)
+    return misfit_views(struct_views(elements, type_name), keyword, holds)
+
+
+def misfit_views(views: DataFrame, keyword: str, holds) -> DataFrame:
+    """The same over views, which documents.struct_views gives without an exchange."""
     return _report(views.where(~F.coalesce(holds(F.col("fields")), F.lit(True))).withColumn("keyword", F.lit(keyword)), "E310")
 
 

@@ -68,7 +68,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, count(*) - count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1 HAVING n > 0")
 def key_uniqueness_e314(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = checks.duplicate_keys(D.elements(order_documents(spark, sf_dir), ORDER), ORDER)
+    found = checks.duplicate_keys(D.elements(order_documents(spark, sf_dir), ORDER, kinds=("struct",)), ORDER)  # keys are those of structs
     return found.groupBy("source_id").agg(F.count("*").alias("n")).select(key_of("l_orderkey"), "n")
 
 
@@ -158,7 +158,7 @@ def struct_validator_e310(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cross-field rule as a column over the fields of each struct."""
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate").join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     docs = grouped(li, "o_orderkey", F.concat_ws(" ", F.lit("line"), day("o_orderdate"), day("l_shipdate")), "l_shipdate")
-    bad = checks.misfit_structs(D.elements(docs, SHIPPED), "Line", "line", lambda f: f["ordered"] <= f["shipped"])
+    bad = checks.misfit_views(D.struct_views(docs, SHIPPED, "Line"), "line", lambda f: f["ordered"] <= f["shipped"])
     return bad.groupBy("source_id").agg(F.count("*").alias("n")).select(key_of("o_orderkey"), "n")
 
 

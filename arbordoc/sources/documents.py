@@ -6,7 +6,7 @@ needs a shuffle; a table that lies in fewer pieces than there are cores is dealt
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Container, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -131,13 +131,36 @@ def parse_errors(df: DataFrame, single: bool = False) -> DataFrame:
     return _map(df, ERRORS, rows, single=single)
 
 
-def elements(df: DataFrame, schema: Schema) -> DataFrame:
+def elements(df: DataFrame, schema: Schema, kinds: Container[str] | None = None) -> DataFrame:
     """The semantic elements of every document under a composed schema, in canonical order; a document's root is element 0.
 
-    Compounds whose keyword their parent does not have appear with kind unknown and without a member.
+    Compounds whose keyword their parent does not have appear with kind unknown and without a member. kinds: those that are
+    wanted alone, numbered as among all.
     """
 
-    return _map(df, ELEMENTS, lambda _, __, d, ___: element_rows(d, schema), schema)
+    if kinds is None:
+        return _map(df, ELEMENTS, lambda _, __, d, ___: element_rows(d, schema), schema)
+    return _map(df, ELEMENTS, lambda _, __, d, ___: (r for r in element_rows(d, schema) if r[KIND] in kinds), schema)
+
+
+def struct_views(df: DataFrame, schema: Schema, type_name: str) -> DataFrame:
+    """(source_id, doc_ord, elem_id, fields map<keyword, text>), as checks.struct_views, made where documents are typed."""
+
+    def rows(_, __, d: Document, ___):
+        for e, n, *_ in walk(Assigner(schema, None).assign(d)):
+            if e.kind == "struct" and e.type == type_name:
+                fields: dict[str, str] = {}
+                for c in e.children:
+                    if c.kind in ("scalar", "flag"):
+                        fields.setdefault(c.keyword, c.text or "")
+                if fields:
+                    yield n, list(fields.items())
+
+    return _map(df, KEY + ", elem_id int, fields map<string,string>", rows, schema)
+
+
+#: The place of an element's kind in a row of element_rows.
+KIND = 8
 
 
 def element_rows(d: Document, schema: Schema) -> Iterator[tuple]:

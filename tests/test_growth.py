@@ -126,3 +126,28 @@ def test_a_refactor_reads_few_texts(monkeypatch):
     made = reports.expand_last_atom(doc, target, s)
     assert reports.write(made).endswith("contact Ann\n  segment BUILDING\n") and len(read) <= 3
     assert reports.inline_first_child(made, made.root.blocks[0].compounds[0], s) is not None
+
+
+def test_views_of_structs_need_no_exchange(spark):
+    from arbordoc.operators import checks
+
+    texts = ["line 2 1\nline 1 2\n", "line 2\n  shipped 1\nzz\nline\n", "", "line 1 2\n  ordered 3\n"]
+    docs = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "source_id string, text string")
+    views = queries.D.struct_views(docs, queries.SHIPPED, "Line")
+    assert "Exchange" not in views._jdf.queryExecution().executedPlan().toString()
+    plain = lambda df: sorted((r["source_id"], r["elem_id"], tuple(sorted(r["fields"].items()))) for r in df.collect())
+    elements = queries.D.elements(docs, queries.SHIPPED)
+    assert plain(views) == plain(checks.struct_views(elements, "Line")) and len(plain(views)) == 4
+    holds = lambda f: f["ordered"] <= f["shipped"]
+    bad = checks.misfit_views(views, "line", holds)
+    assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, checks.misfit_structs(elements, "Line", "line", holds).collect())) and bad.count() == 2
+
+
+def test_keys_are_compared_among_structs_alone(spark):
+    from arbordoc.operators import checks
+
+    docs = spark.createDataFrame([("a", "line l1 3\nline l1 4\nline l2 3\nline l1 3\n")], "source_id string, text string")
+    some, every = queries.D.elements(docs, queries.ORDER, kinds=("struct",)), queries.D.elements(docs, queries.ORDER)
+    assert some.count() == 5 and every.count() == 13
+    found = [sorted(map(tuple, checks.duplicate_keys(e, queries.ORDER).collect())) for e in (some, every)]
+    assert found[0] == found[1] and len(found[0]) == 2
