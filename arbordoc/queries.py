@@ -333,15 +333,15 @@ def value_hash_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal models have equal hashes: binary roots by Arrow batches, BLAKE3 over them."""
     s = body("note", "field text String")
     docs = as_documents(load(spark, sf_dir, "documents"), "doc_id", field("text", F.coalesce("text", F.lit(""))))
-    h = D.encode_documents(docs, s).select(hashes.blake3_column("data").alias("h"))
+    h = D.hash_documents(docs, s).select(F.col("hash").alias("h"))
     return h.agg(F.count("*").alias("documents"), F.count_distinct("h").alias("models"))
 
 
 @query()
 def value_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hashes themselves; tests hold BLAKE3 against its published vectors."""
-    h = D.encode_documents(part_documents(spark, sf_dir), PART)
-    return h.select(key_of("p_partkey"), F.lower(F.hex(hashes.blake3_column("data"))).alias("hash"))
+    h = D.hash_documents(part_documents(spark, sf_dir), PART)
+    return h.select(key_of("p_partkey"), F.lower(F.hex("hash")).alias("hash"))
 
 
 @query("""WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.hashes import blake3_many
 from ..functions.registry import BUILT_IN_VALIDATORS, Codecs, Validator
 from ..operators.assign import Assigner, walk
 from ..operators.binary import BinaryError, decode_document, encode_root
@@ -58,24 +59,38 @@ def _documents(text: str | bytes | None, admits, single: bool) -> Iterator[tuple
         yield i, d, extra if i == 0 else []
 
 
-def _map(df: DataFrame, ddl: str, rows: Callable[[str, int, Document, list[Error]], Iterator[tuple]], schema: Schema | None = None, single: bool = False) -> DataFrame:
+def _map(df: DataFrame, ddl: str, rows: Callable[[str, int, Document, list[Error]], Iterator[tuple]], schema: Schema | None = None, single: bool = False, then: tuple[Callable, T.StructType] | None = None) -> DataFrame:
+    """then: what becomes of the batches in the same worker, and its type."""
     kind = T._parse_datatype_string(ddl)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         admits = schema.admits if schema else None
         for batch in batches:
-            out: list[tuple] = []
-            for sid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, doc, extra in _documents(text, admits, single):
-                    out += ((sid, i, *r) for r in rows(sid, i, doc, extra))
-                if len(out) > 20_000:
+            for part in parts(batch):
+                out: list[tuple] = []
+                for sid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for i, doc, extra in _documents(text, admits, single):
+                        out += ((sid, i, *r) for r in rows(sid, i, doc, extra))
+                    if len(out) > 20_000:
+                        yield _batch(out, arrow)
+                        out = []
+                if out:
                     yield _batch(out, arrow)
-                    out = []
-            if out:
-                yield _batch(out, arrow)
 
-    return spread(df.select("source_id", "text")).mapInArrow(run, kind)
+    df = spread(df.select("source_id", "text"))
+    return df.mapInArrow(lambda batches: then[0](run(batches)), then[1]) if then else df.mapInArrow(run, kind)
+
+
+#: Bytes of a batch that are Python objects at a time; a single longer row goes alone.
+PART = 2 << 20
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of so many rows that they have PART bytes on average."""
+    step = max(1, batch.num_rows * PART // max(PART, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
@@ -232,7 +247,10 @@ def errors(df: DataFrame, schema: Schema, validators: Mapping[str, Validator] |
 
 def encode_documents(df: DataFrame, schema: Schema, codecs: Mapping | None = None) -> DataFrame:
     """The root encoding of every document that has one; failure says why another has none."""
+    return _map(df, BINARY, _encoder(schema, codecs), schema)
+
 
+def _encoder(schema: Schema, codecs: Mapping | None) -> Callable[[str, int, Document, list[Error]], Iterator[tuple]]:
     def rows(_, __, d: Document, ___):
         a = Assigner(schema, None)
         try:
@@ -241,7 +259,25 @@ def encode_documents(df: DataFrame, schema: Schema, codecs: Mapping | None = Non
         except ValueError as e:
             yield None, str(e)
 
-    return _map(df, BINARY, rows, schema)
+    return rows
+
+
+def hash_documents(df: DataFrame, schema: Schema, codecs: Mapping | None = None) -> DataFrame:
+    """(source_id, doc_ord, hash, failure): the BLAKE3 hash of each root encoding, made where it is encoded."""
+    kind = T._parse_datatype_string(KEY + ", hash binary, failure string")
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                data = part.column(2)
+                have = [i for i, v in enumerate(data) if v.is_valid]
+                found: list[bytes | None] = [None] * part.num_rows
+                for i, h in zip(have, blake3_many([data[i].as_py() for i in have]), strict=True):
+                    found[i] = h
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(found, pa.binary()), part.column(3)], schema=arrow)
+
+    return _map(df, BINARY, _encoder(schema, codecs), schema, then=(run, kind))
 
 
 def decode_documents(df: DataFrame, schema: Schema | None, codecs: Mapping | None = None, data: str = "data", key: str = "source_id") -> DataFrame:

@@ -151,3 +151,20 @@ def test_keys_are_compared_among_structs_alone(spark):
     assert some.count() == 5 and every.count() == 13
     found = [sorted(map(tuple, checks.duplicate_keys(e, queries.ORDER).collect())) for e in (some, every)]
     assert found[0] == found[1] and len(found[0]) == 2
+
+
+def test_hashes_are_made_in_small_parts_where_documents_are_encoded(spark, monkeypatch):
+    import pyarrow as pa
+
+    from arbordoc.functions import hashes
+    from arbordoc.query_base import body
+
+    s = body("note", "field text String")
+    docs = spark.createDataFrame([(str(i), "note\n" if i == 3 else f"text  a {'x' * i}\n") for i in range(50)], "source_id string, text string")
+    h = queries.D.hash_documents(docs, s)
+    assert h._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    old = queries.D.encode_documents(docs, s).select("source_id", "doc_ord", hashes.blake3_column("data").alias("hash"), "failure")
+    assert sorted(map(str, h.collect())) == sorted(map(str, old.collect()))
+    batch = pa.record_batch([pa.array(["x" * 100_000] * 100), pa.array(range(100))], ["a", "b"])
+    made = list(queries.D.parts(batch))
+    assert max(p.num_rows for p in made) <= 20 and pa.Table.from_batches(made).equals(pa.Table.from_batches([batch]))
